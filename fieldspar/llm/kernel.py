@@ -78,6 +78,17 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[ends[0] : ends[-1]], ends - ends[0]
 
 
+def small(batches: Iterator[pa.RecordBatch], column: int, limit: int = 2 * PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of about ``limit`` bytes of a string column; a longer row is alone."""
+    for batch in batches:
+        _, offsets = string_buffers(batch.column(column))
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def _pieces(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> Iterator[tuple[int, int]]:
     """Byte ranges of about PIECE_BYTES that never cut a word: they end at a row's end or a separator."""
     total, at = int(offsets[-1]), 0
@@ -150,8 +161,6 @@ def shingles(hashes: np.ndarray, counts: np.ndarray, size: int = SHINGLE_WORDS)
     for row in np.flatnonzero((counts > 0) & (counts < size)):
         a, m = starts[row], counts[row]
         total[a] = np.append(hashes[a : a + m] * _COEF[:m], _LENGTH[m]).sum(dtype=np.uint64)
-    keep = np.ones(len(hashes) + 1, np.int64)
-    keep[0] = 0
     mask = np.ones(len(hashes), bool)
     for j in range(1, size):  # the last size - 1 words of a row start no shingle
         at = ends[counts >= size] - j

@@ -61,7 +61,7 @@ def signature(items: np.ndarray) -> np.ndarray:
 
 def _signatures(size: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in kernel.small(batches, 1):
             n, one, two, signs = [], [], [], []
             for items in kernel.distinct_shingles(batch.column(1), size):
                 n.append(len(items))
@@ -112,12 +112,13 @@ def _verify(size: int, percent: int) -> Callable:
     """Sorted (block, id, text) rows to verified links; a block may reach over two batches."""
 
     def links(rows: pa.Table) -> list[tuple[int, int]]:
-        rows = rows.combine_chunks()
-        found, out = list(kernel.distinct_shingles(rows.column("text"), size)), []
+        rows, out = rows.combine_chunks(), []
         ids, blocks = rows.column("id").to_pylist(), rows.column("block").to_numpy()
         cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
         for a, b in zip(cuts, cuts[1:], strict=False):
-            own = {ids[i]: found[i] for i in range(a, b)}  # a central document may also be in its chunk
+            texts = rows.slice(a, b - a).to_batches()
+            found = [s for part in kernel.small(texts, 2) for s in kernel.distinct_shingles(part.column(2), size)]
+            own = dict(zip(ids[a:b], found, strict=True))  # a central document may also be in its chunk
             names = list(own)
             if len(names) > 1:
                 out += [(names[i], names[j]) for i, j in _same(len(names), list(own.values()), percent)]

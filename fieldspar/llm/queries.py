@@ -1,24 +1,127 @@
-"""Thin queries over the driver's tables, one for each operator of this subpackage."""
+"""Thin queries over the driver's tables, one for each operator of this subpackage, and their DuckDB oracles."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from fieldspar.llm.decontam import contaminated
+from fieldspar.llm.embeddings import embedding_dedup
 from fieldspar.llm.minhash import minhash_dedup
+from fieldspar.llm.mixing import plan_mix, rank_weights, take_mix, word_count
+from fieldspar.llm.secrets import find_secrets, span_list
+from fieldspar.llm.storage import materialize
+from fieldspar.llm.toxicity import fit_toxicity, held_out, labelled_texts, score_toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
+    plan = plan_mix(sized, rank_weights(sized), seed=1)
+    return take_mix(sized, plan, seed=1).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(_read(spark, sf_dir, "embeddings"))
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = find_secrets(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def number(kind: str) -> F.Column:
+        return F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    digest = F.sha2(span_list(F.col("base_spans")), 256)
+    return rows.select("doc_id", number("assign"), number("access"), number("hex"), digest.alias("base_sha256"), span_list(F.col("spans")).alias("spans"))
+
+
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup(_read(spark, sf_dir, "documents"), percent=85)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_toxicity(labelled_texts(docs, _read(spark, sf_dir, "labels")))
+    score = F.col("toxicity")
+    return score_toxicity(docs, model).select("doc_id", held_out().alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op5_minhash_dedup": op5_minhash_dedup,
+    f.__name__: f for f in (op1_mix_sources, op2_embedding_dedup, op3_secret_scan, op5_minhash_dedup, op7_toxicity, op10_decontaminate)
 }
 
-ORACLES: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
+
+
+def _shingled(table: str, key: str) -> str:
+    """Distinct five-word shingles of a table's texts, and their numbers."""
+    return f"""
+    {table}_words AS (SELECT {key}, {_WORDS} AS w FROM {table}),
+    {table}_set AS (
+        SELECT DISTINCT {key}, unnest(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i:i + 4], ' '))) AS s
+        FROM {table}_words WHERE len(w) > 0),
+    {table}_n AS (SELECT {key}, count(*) AS n FROM {table}_set GROUP BY {key})"""
+
+
+_REACH = """
+    reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+    least AS (SELECT a, least(a, min(b)) AS component FROM reach GROUP BY a)"""
+
+ORACLES: dict[str, str] = {
+    "op1_mix_sources": r"""
+    WITH sized AS (
+        SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+               CAST('0x' || substr(md5('1:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS place FROM documents),
+    sums AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
+    weighed AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight, 3 * source_size AS cap FROM sums),
+    ranked AS (SELECT *, cap / weight AS ratio, sum(source_size) OVER () AS words FROM weighed),
+    levels AS (
+        SELECT *, (words - coalesce(sum(cap) OVER (ORDER BY ratio RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP), 0))
+               / sum(weight) OVER (ORDER BY ratio RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM ranked),
+    final AS (SELECT arg_min(level, ratio) AS level FROM levels WHERE ratio > level),
+    targets AS (
+        SELECT r.source, r.source_size, CASE WHEN f.level IS NULL OR r.cap <= r.weight * f.level THEN CAST(r.cap AS DOUBLE) ELSE r.weight * f.level END AS target
+        FROM ranked r, final f),
+    plans AS (
+        SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE CAST(floor(target / source_size) AS BIGINT) END AS whole,
+               CAST(round(target - (CASE WHEN source_size = 0 THEN 0 ELSE floor(target / source_size) END) * source_size) AS BIGINT) AS extra FROM targets),
+    placed AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY place RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
+               sum(size) OVER (PARTITION BY source, place) AS own FROM sized)
+    SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+           CAST(size * whole + CASE WHEN upto <= extra THEN size WHEN upto - own < extra THEN size * (extra - upto + own) // own ELSE 0 END AS BIGINT) AS taken
+    FROM placed JOIN plans ON placed.source IS NOT DISTINCT FROM plans.source""",
+    "op2_embedding_dedup": f"""
+    WITH RECURSIVE usable AS (
+        SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+        WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+          AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM usable x JOIN usable y ON x.label = y.label AND x.vec_id <> y.vec_id
+        WHERE list_cosine_similarity(x.v, y.v) >= 0.98),{_REACH}
+    SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links, coalesce(component, e.vec_id) AS component_id,
+           coalesce(component, e.vec_id) = e.vec_id AS kept
+    FROM embeddings e LEFT JOIN least ON a = e.vec_id""",
+    "op5_minhash_dedup": f"""
+    WITH RECURSIVE {_shingled("documents", "doc_id")},
+    shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM documents_set x JOIN documents_set y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+    links AS (
+        SELECT a, b FROM shared JOIN documents_n x ON x.doc_id = a JOIN documents_n y ON y.doc_id = b
+        WHERE 100 * c >= 85 * (x.n + y.n - c)),{_REACH}
+    SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component, d.doc_id) AS component_id, coalesce(component, d.doc_id) = d.doc_id AS kept
+    FROM documents d LEFT JOIN documents_n n ON n.doc_id = d.doc_id LEFT JOIN least ON a = d.doc_id""",
+    "op10_decontaminate": f"""
+    WITH {_shingled("documents", "doc_id")}, {_shingled("benchmark", "item_id")},
+    shared AS (SELECT doc_id, item_id, count(*) AS shared FROM documents_set d JOIN benchmark_set b ON d.s = b.s GROUP BY 1, 2)
+    SELECT doc_id, item_id, shared, n AS item_shingles, shared / n AS containment
+    FROM shared JOIN benchmark_n USING (item_id) WHERE 100 * shared >= 80 * n""",
+}

@@ -34,6 +34,8 @@ COORDINATES = 32
 MISS = 2e-5
 #: Lists up to this length are merged in one block; longer ones go in chunks of CHUNK.
 SHORT, CHUNK = 64, 40
+#: Members, and shingles, of a chunk in the blocks for the rest.
+REST_CHUNK, REST_SHINGLES = 512, 500_000
 #: Ids up to this number (8 bytes each) are broadcast to pick texts; more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -85,14 +87,16 @@ def _same(n: int, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]
     """A spanning forest of the linked pairs among n sets; shared items are counted by a product of indicator matrices."""
     sizes = np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(n), sizes)
-    values, column = np.unique(np.concatenate(sets), return_inverse=True)
+    values, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    often = times[column] > 1  # an item of one set alone is in no intersection
+    owner, column = owner[often], (np.cumsum(times > 1) - 1)[column[often]]
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
     shared = np.zeros((n, n), np.int64)
-    width = 1 << 14
-    for at in range(0, len(values), width):
+    total, width = int((times > 1).sum()), 1 << 12
+    for at in range(0, total, width):
         a, b = np.searchsorted(column, (at, at + width))
-        part = np.zeros((n, min(width, len(values) - at)), np.float32)
+        part = np.zeros((n, min(width, total - at)), np.float32)
         part[owner[a:b], column[a:b] - at] = 1
         shared += (part @ part.T).astype(np.int64)
     linked = 100 * shared >= percent * (sizes[:, None] + sizes[None, :] - shared)
@@ -171,20 +175,27 @@ def _first_blocks(prefix: DataFrame) -> DataFrame:
     return short.union(parts.select("block", "id")).union(parts.select("block", F.col("hub").alias("id"))).distinct()
 
 
-def _rest_blocks(prefix: DataFrame, components: DataFrame) -> DataFrame:
-    """Blocks for what the first pass left open in long lists: members outside the majority's component."""
-    long = prefix.select("id", F.explode("items").alias("item")).where(f"item.df > {SHORT}").select("id", F.col("item.key").alias("key"))
+def _rest_blocks(prefix: DataFrame, components: DataFrame, percent: int) -> DataFrame:
+    """Blocks for what the first pass left open in long lists: members outside the majority's component.
+
+    Sets whose sizes differ by more than the similarity allows can't link, so only neighbouring
+    size classes meet.
+    """
+    long = prefix.select("id", "size", F.explode("items").alias("item")).where(f"item.df > {SHORT}").select("id", "size", F.col("item.key").alias("key"))
     long = long.join(components.toDF("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     sums = long.groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("major"), F.sum("count").alias("n"), F.max("count").alias("n_major"))
-    long = long.join(sums.where("n > n_major"), "key")
-    odd = F.col("component") != F.col("major")
-    long = long.select("key", "id", odd.alias("odd"), F.when(odd, _chunk("id", F.col("n") - F.col("n_major"))).otherwise(_chunk("id", F.col("n_major"))).alias("chunk"))
-    chunks = long.select("key", "odd", "chunk").distinct()
-    other = chunks.toDF("key", "odd2", "chunk2")
-    pairs = chunks.where("odd").join(other, "key").where("not odd2 or chunk <= chunk2")
-    pairs = pairs.select("key", F.xxhash64("key", "chunk", "odd2", "chunk2").alias("block"), F.array(F.struct("odd", "chunk"), F.struct(F.col("odd2").alias("odd"), F.col("chunk2").alias("chunk"))).alias("sides"))
-    pairs = pairs.select("key", "block", F.explode("sides").alias("side")).select("key", "block", "side.odd", "side.chunk")
-    return long.join(pairs, ["key", "odd", "chunk"]).select("block", "id").distinct()
+    grade = F.floor(F.log(F.col("size")) / float(-np.log(percent / 100)) + 1e-9)
+    long = long.join(sums.where("n > n_major"), "key").select("key", "id", "size", (F.col("component") != F.col("major")).alias("odd"), grade.alias("grade"))
+    counts = long.groupBy("key", "odd", "grade").agg(F.ceil(F.greatest(F.count("*") / REST_CHUNK, F.sum("size") / REST_SHINGLES)).alias("chunks"))
+    side = ["key", "odd", "grade", "chunk"]
+    long = long.join(counts, side[:3]).withColumn("chunk", F.pmod(F.xxhash64("id"), "chunks")).select(*side, "id")
+    chunks = long.select(*side).distinct()
+    other = chunks.toDF("key", "odd2", "grade2", "chunk2")
+    meet = F.expr("case when not odd2 then abs(grade2 - grade) <= 1 else grade2 = grade + 1 or (grade2 = grade and chunk <= chunk2) end")
+    pairs = chunks.where("odd").join(other, "key").where(meet)
+    sides = F.array(F.struct("odd", "grade", "chunk"), F.struct(*(F.col(f"{c}2").alias(c) for c in side[1:])))
+    pairs = pairs.select("key", F.xxhash64("key", "grade", "chunk", "odd2", "grade2", "chunk2").alias("block"), F.explode(sides).alias("side"))
+    return long.join(pairs.select("key", "block", "side.*"), side).select("block", "id").distinct()
 
 
 def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = 80, size: int = kernel.SHINGLE_WORDS) -> DataFrame:
@@ -202,20 +213,20 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = materialize(docs.mapInArrow(_signatures(size), "id long, n_shingles long, one long, two long, signature array<int>"), "signatures")
     full = signed.where("n_shingles > 0")
-    classes = full.groupBy("one", "two").agg(F.min("id").alias("leader"), F.first("signature").alias("signature"))
+    classes = full.groupBy("one", "two").agg(F.min("id").alias("leader"), F.first("signature").alias("signature"), F.first("n_shingles").alias("size"))
     classes = materialize(classes, "classes")
 
     need = matches_needed(percent)
-    posts = classes.where("leader is not null").select(F.col("leader").alias("id"), F.posexplode("signature").alias("k", "value"))
-    posts = posts.select("id", F.expr("shiftleft(cast(k as bigint), 32) | (cast(value as bigint) & 4294967295)").alias("key"))
+    posts = classes.where("leader is not null").select(F.col("leader").alias("id"), "size", F.posexplode("signature").alias("k", "value"))
+    posts = posts.select("id", "size", F.expr("shiftleft(cast(k as bigint), 32) | (cast(value as bigint) & 4294967295)").alias("key"))
     counts = posts.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-    hits = posts.join(counts, "key").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("items"), F.sum("df").alias("score"))
-    prefix = hits.where(F.size("items") >= need).select("id", "score", F.expr(f"slice(items, 1, size(items) - {need - 1})").alias("items"))
+    hits = posts.join(counts, "key").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("items"), F.sum("df").alias("score"), F.first("size").alias("size"))
+    prefix = hits.where(F.size("items") >= need).select("id", "score", "size", F.expr(f"slice(items, 1, size(items) - {need - 1})").alias("items"))
     prefix = materialize(prefix, "prefix")
 
     links = materialize(_linked(_first_blocks(prefix), docs, size, percent), "links")
     found = connected_components(links, "a", "b")
-    rest = materialize(_rest_blocks(prefix, found), "rest")
+    rest = materialize(_rest_blocks(prefix, found, percent), "rest")
     if not rest.isEmpty():
         links = links.union(_linked(rest, docs, size, percent))
         found = connected_components(links, "a", "b")

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldspar.llm.storage import small_batches
+
 # The marks of the template.
 START, END = "<|im_start|>", "<|im_end|>"
 
@@ -166,6 +168,7 @@ def format_chats(
     null first, and repeated turns stay; a null conv_id is a conversation of its own; an empty table
     has no windows; other columns are ignored, whatever their names.
     """
+    small_batches(rows.sparkSession)
     turns = rows.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
     turns = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
     return turns.mapInArrow(_format(budget, history_turns, history_tokens, tokens), WINDOWS)

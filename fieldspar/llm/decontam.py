@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldspar.llm import kernel
-from fieldspar.llm.storage import materialize
+from fieldspar.llm.storage import materialize, small_batches
 
 #: Sketch values beyond those that a contained item may miss.
 SLACK = 6
@@ -107,6 +107,7 @@ def contaminated(
     on either side give repeated results; null ids are carried; an empty table on either side gives
     an empty result; other columns are ignored, whatever their names.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     items = items.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text"))
     sets = materialize(items.mapInArrow(_item_sets(size), "item long, hashes array<long>").where("size(hashes) > 0"), "items")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldspar.llm.components import connected_components
-from fieldspar.llm.storage import drop, materialize
+from fieldspar.llm.storage import materialize, small_batches
 
 PASSES, SIGNS, WINDOW = 10, 40, 40
 #: Vectors of a component that are compared with each other at once.
@@ -147,6 +147,7 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     different lengths don't link; equal vectors link as any others (rows that repeat an id too);
     an empty table gives an empty result; other columns are ignored, whatever their names.
     """
+    small_batches(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.when(F.col(id_col).isNotNull(), F.col(label_col)).cast("long").alias("label"), F.col(vector_col).alias("vector"))
     rows = materialize(rows.mapInArrow(_prepare, "id long, label long, dim int, digest binary, unit binary"), "vectors")
     classes = rows.where("dim is not null").groupBy("label", "digest").agg(F.min("id").alias("leader"), F.count("*").alias("copies"), F.first("dim").alias("dim"), F.first("unit").alias("unit"))

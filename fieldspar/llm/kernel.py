@@ -12,9 +12,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 SHINGLE_WORDS = 5
 
+pa.set_memory_pool(pa.system_memory_pool())  # gives freed batches back at once
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _RNG = np.random.default_rng(20240229)

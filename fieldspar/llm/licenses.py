@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldspar.llm import kernel
+from fieldspar.llm.storage import small_batches
 
 DICE = 0.8
 
@@ -133,6 +134,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     templates the first one counts; repeated rows give repeated results; a null id is carried; an
     empty table or no templates give an empty result; other columns are ignored, whatever their names.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = docs.mapInArrow(_scan(_Matcher(templates, dice)), "id long, license string, dice double")
     return rows.select(F.col("id").alias(id_col), "license", "dice")

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from fieldspar.llm import kernel
 from fieldspar.llm.components import connected_components
-from fieldspar.llm.storage import drop, materialize
+from fieldspar.llm.storage import drop, materialize, small_batches
 
 COORDINATES = 32
 #: Chance to miss a pair exactly at the similarity bound; more similar pairs are safer by far.
@@ -210,6 +210,7 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     null id is carried through with component null unless its text has copies with an id; an empty table gives an empty result;
     other columns are ignored, whatever their names.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = materialize(docs.mapInArrow(_signatures(size), "id long, n_shingles long, one long, two long, signature array<int>"), "signatures")
     full = signed.where("n_shingles > 0")

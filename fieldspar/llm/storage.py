@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_BYTES = 8 << 20
+
 _OWN: dict[str, str] = {}
 
 
@@ -37,6 +39,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Spark hand texts to Python in batches of at most 8 MB: executors hold several copies of a batch."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(str(spark.conf.get(key)).rstrip("bB") or 0) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def drop(df: DataFrame) -> None:
     """Delete a materialised table that no later plan reads."""
     spark = df.sparkSession

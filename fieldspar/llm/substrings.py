@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldspar.llm import kernel
-from fieldspar.llm.storage import drop, materialize
+from fieldspar.llm.storage import drop, materialize, small_batches
 
 RUN, MIN_WORDS, PIECE = 3, 25, 12
 #: Ranges up to this number (about 40 bytes each) are broadcast to the texts; more are joined by shuffle.
@@ -121,6 +121,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with a null id are neither compared nor cut; an empty table stays empty; columns named
     n_sentences, n_removed or removed are replaced.
     """
+    small_batches(docs.sparkSession)
     docs = docs.drop("n_sentences", "n_removed", "removed")
     keyed = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc is not null")
     runs = keyed.mapInArrow(_runs, "run long, doc long, place long")

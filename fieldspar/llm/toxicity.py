@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldspar.llm import kernel
-from fieldspar.llm.storage import materialize
+from fieldspar.llm.storage import materialize, small_batches
 
 #: Sets of terms that may stand for each other (single lower-case words).
 IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
@@ -132,6 +132,7 @@ def fit_toxicity(labelled: DataFrame, text_col: str = "text", label_col: str = "
     null text counts as empty.  With no labelled rows, or one label only, the score is the share of
     that label (0.5 with none).
     """
+    small_batches(labelled.sparkSession)
     rows = labelled.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(label_col).cast("long").alias("label")).where("label in (0, 1)")
     rows = materialize(rows, "labelled")
     total = rows.count()
@@ -177,6 +178,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
     ``score_col`` replaces a column of that name.  Repeated rows get equal scores, an empty table
     stays empty.
     """
+    small_batches(docs.sparkSession)
     docs = docs.drop(score_col)
     at = docs.columns.index(text_col)
 

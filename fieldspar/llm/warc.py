@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from fieldspar.llm.storage import materialize
+from fieldspar.llm.storage import materialize, small_batches
 
 SCHEMA = "record_type string, record_id string, target_uri string, payload_digest string, refers_to string, payload_bytes long, payload binary"
 MANIFEST = "_manifest.json"
@@ -292,6 +292,7 @@ class WarcSource(DataSource):
 
 def register(spark: SparkSession) -> None:
     """Make ``format("warc")`` known to a session and let it push predicates down."""
+    small_batches(spark)
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)

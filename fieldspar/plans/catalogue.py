@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fieldspar.functions import scores, taxonomy, temporal, text
+from fieldspar.functions.scores import rate
+from fieldspar.operators import chunks, matching, plots, quality, records, robust, rules, search, summary, textclass, trend
+from fieldspar.plans import grounding, planner, sql_guard
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -39,3 +45,448 @@ def flagship_activity_aggregation(spark: SparkSession, sf_dir: str) -> DataFrame
     rows = rows.where("l_returnflag is not null").groupBy(F.col("l_returnflag").alias("activity"), F.col("o_orderstatus").alias("wellbore"))
     hours = F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double")
     return rows.agg(F.count("*").alias("operations"), hours.alias("hours")).orderBy(F.desc("operations"), "activity", "wellbore").limit(50)
+
+
+# Relational core -------------------------------------------------------------------------------------------------
+
+
+@query("""
+    SELECT c_mktsegment AS entity, count(*) AS reports FROM orders JOIN customer ON o_custkey = c_custkey
+    GROUP BY 1 ORDER BY reports DESC, entity LIMIT 20
+""")
+def entity_report_counts_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.expr("o_custkey = c_custkey"))
+    return rows.groupBy(F.col("c_mktsegment").alias("entity")).agg(F.count("*").alias("reports")).orderBy(F.desc("reports"), "entity").limit(20)
+
+
+@query("""
+    SELECT c_mktsegment AS segment, count(*) AS failed FROM orders JOIN customer ON o_custkey = c_custkey
+    WHERE o_orderstatus = 'F' GROUP BY 1
+""")
+def fail_rows_by_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    failed = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
+    rows = failed.join(table(spark, sf_dir, "customer"), F.expr("o_custkey = c_custkey"))
+    return rows.groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count("*").alias("failed"))
+
+
+@query("""
+    SELECT l_returnflag AS activity, c_mktsegment AS file_name, CAST(sum(CAST(l_quantity AS DECIMAL(18, 2))) AS DOUBLE) AS hours, min(l_linenumber) AS first_page
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+    WHERE o_orderdate >= TIMESTAMP '1997-03-01' AND o_orderdate < TIMESTAMP '1997-03-08' GROUP BY 1, 2
+""")
+def main_activity_on_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = table(spark, sf_dir, "orders").where("o_orderdate >= timestamp_ntz'1997-03-01' and o_orderdate < timestamp_ntz'1997-03-08'")
+    rows = table(spark, sf_dir, "lineitem").join(days, F.expr("l_orderkey = o_orderkey")).join(table(spark, sf_dir, "customer"), F.expr("o_custkey = c_custkey"))
+    return rows.groupBy(F.col("l_returnflag").alias("activity"), F.col("c_mktsegment").alias("file_name")).agg(_exact_sum("l_quantity").alias("hours"), F.min("l_linenumber").alias("first_page"))
+
+
+def _exact_sum(column: str) -> Column:
+    return F.sum(F.col(column).cast("decimal(18,2)")).cast("double")
+
+
+@query("""
+    SELECT l_returnflag AS detector, l_linestatus AS category, o_orderpriority AS severity, o_orderstatus AS status, count(*) AS candidates
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_tax > 0.02 GROUP BY 1, 2, 3, 4
+""")
+def status_breakdown_4key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").where("l_tax > 0.02").join(table(spark, sf_dir, "orders"), F.expr("l_orderkey = o_orderkey"))
+    keys = {"l_returnflag": "detector", "l_linestatus": "category", "o_orderpriority": "severity", "o_orderstatus": "status"}
+    return rows.groupBy(*[F.col(c).alias(n) for c, n in keys.items()]).agg(F.count("*").alias("candidates"))
+
+
+@query("""
+    SELECT o_orderkey AS failure_id, 'equipment_failure:' || o_orderkey AS evidence_id, c_name AS wellbore, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS report_date, l_linenumber AS row_index,
+           CASE WHEN l_orderkey IS NOT NULL THEN 'operation:' || l_linenumber || ':' || coalesce(p_type, '') END AS operation
+    FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_returnflag = 'R' LEFT JOIN part ON p_partkey = l_partkey
+    WHERE o_orderstatus = 'F' AND (o_orderpriority ILIKE '%urgent%' OR c_mktsegment ILIKE '%machin%')
+""")
+def failure_left_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").join(table(spark, sf_dir, "customer"), F.expr("o_custkey = c_custkey"))
+    rows = rows.where(F.col("o_orderpriority").ilike("%urgent%") | F.col("c_mktsegment").ilike("%machin%"))
+    rows = rows.join(table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'"), F.expr("l_orderkey = o_orderkey"), "left").join(table(spark, sf_dir, "part"), F.expr("p_partkey = l_partkey"), "left")
+    return rows.selectExpr(
+        "o_orderkey as failure_id", "concat('equipment_failure:', o_orderkey) as evidence_id", "c_name as wellbore", "cast(cast(o_orderdate as date) as string) as report_date", "l_linenumber as row_index",
+        "case when l_orderkey is not null then concat('operation:', l_linenumber, ':', coalesce(p_type, '')) end as operation",
+    )
+
+
+@query("""
+    WITH a AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'operation' ELSE 'section' END AS kind, o_orderkey AS record_id, o_custkey FROM orders)
+    SELECT a.id, a.kind, count(l_orderkey) AS operations, min(c_name) AS wellbore
+    FROM a LEFT JOIN lineitem ON a.kind = 'operation' AND l_orderkey = a.record_id LEFT JOIN customer ON l_orderkey IS NOT NULL AND c_custkey = a.o_custkey GROUP BY 1, 2
+""")
+def polymorphic_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = table(spark, sf_dir, "orders").selectExpr("o_orderkey as id", "case when o_orderkey % 2 = 0 then 'operation' else 'section' end as kind", "o_orderkey as record_id", "o_custkey")
+    rows = a.join(table(spark, sf_dir, "lineitem"), F.expr("kind = 'operation' and l_orderkey = record_id"), "left").join(table(spark, sf_dir, "customer"), F.expr("l_orderkey is not null and c_custkey = o_custkey"), "left")
+    return rows.groupBy("id", "kind").agg(F.count("l_orderkey").alias("operations"), F.min("c_name").alias("wellbore"))
+
+
+@query("""
+    SELECT count(DISTINCT l_orderkey) AS orders, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS suppliers,
+           (SELECT count(DISTINCT user_id) FROM events) AS users, (SELECT count(DISTINCT o_custkey) FROM orders) AS customers FROM lineitem
+""")
+def distinct_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Each count is deduplicated by itself: one Expand over all columns would multiply the rows.
+    count = lambda t, c, n: table(spark, sf_dir, t).select(c).distinct().agg(F.count(c).alias(n))
+    parts = [count("lineitem", "l_orderkey", "orders"), count("lineitem", "l_partkey", "parts"), count("lineitem", "l_suppkey", "suppliers"), count("events", "user_id", "users"), count("orders", "o_custkey", "customers")]
+    return reduce(lambda a, b: a.crossJoin(b), parts)
+
+
+@query("""
+    SELECT count(*) AS rows, count(*) FILTER (l_returnflag = 'R') AS returned, count(*) FILTER (l_discount > 0.05) AS discounted,
+           count(*) FILTER (l_linestatus = 'O' AND l_quantity > 25) AS open_large, count(*) FILTER (l_quantity > 25) / count(*) AS large_rate FROM lineitem
+""")
+def count_if_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hit = lambda test: F.count_if(F.expr(test))
+    return table(spark, sf_dir, "lineitem").agg(
+        F.count("*").alias("rows"), hit("l_returnflag = 'R'").alias("returned"), hit("l_discount > 0.05").alias("discounted"),
+        hit("l_linestatus = 'O' and l_quantity > 25").alias("open_large"), rate(hit("l_quantity > 25"), F.count("*")).alias("large_rate"),
+    )
+
+
+@query("""
+    SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45 AND l_returnflag IN ('R', 'A'))
+""")
+def semi_join_in_subquery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    large = table(spark, sf_dir, "lineitem").where("l_quantity > 45 and l_returnflag in ('R', 'A')")
+    return table(spark, sf_dir, "orders").join(large, F.expr("l_orderkey = o_orderkey"), "left_semi").select("o_orderkey", "o_orderstatus")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
+def anti_join_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.expr("l_orderkey = o_orderkey"), "left_anti").select("o_orderkey", "o_custkey")
+
+
+@query("""
+    WITH new AS (SELECT 'operation' AS kind, n_name AS rule, CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE n_regionkey END AS record_id FROM nation),
+    stored AS (SELECT 'operation' AS kind, n_name AS rule, CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE 0 END AS record_id FROM nation WHERE n_nationkey % 2 = 0)
+    SELECT * FROM new n WHERE NOT EXISTS (SELECT 1 FROM stored s WHERE s.kind IS NOT DISTINCT FROM n.kind AND s.rule IS NOT DISTINCT FROM n.rule AND s.record_id IS NOT DISTINCT FROM n.record_id)
+""")
+def null_safe_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = table(spark, sf_dir, "nation")
+    new = nation.selectExpr("'operation' as kind", "n_name as rule", "case when n_nationkey % 3 = 0 then null else n_regionkey end as record_id")
+    stored = nation.where("n_nationkey % 2 = 0").selectExpr("'operation' as kind", "n_name as rule", "case when n_nationkey % 3 = 0 then null else 0 end as record_id")
+    return rules.not_stored(new, stored, ["kind", "rule", "record_id"])
+
+
+@query("""
+    SELECT o_orderstatus AS status, count(*) AS orders, count(*) FILTER (o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')) AS known FROM orders GROUP BY 1
+""")
+def mark_join_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    returned = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    marked = rules.mark_known(table(spark, sf_dir, "orders"), returned, "o_orderkey", "is_known")
+    return marked.groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("orders"), F.count_if("is_known").alias("known"))
+
+
+@query("""
+    WITH last AS (SELECT l_partkey, arg_max(struct_pack(s := l_suppkey, q := l_quantity), struct_pack(a := l_shipdate, b := l_orderkey, c := l_linenumber, d := l_suppkey, e := l_quantity)) AS r FROM lineitem GROUP BY 1)
+    SELECT p_partkey, r.s AS last_supplier, r.q AS last_quantity FROM part LEFT JOIN last ON l_partkey = p_partkey
+""")
+def lookup_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_quantity", "l_shipdate", "l_orderkey", "l_linenumber")
+    last = records.last_wins(rows, "l_partkey", [F.col(c) for c in ("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity")])
+    return table(spark, sf_dir, "part").join(last, F.expr("p_partkey = l_partkey"), "left").select("p_partkey", F.col("l_suppkey").alias("last_supplier"), F.col("l_quantity").alias("last_quantity"))
+
+
+@query("""
+    WITH c AS (SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_acctbal > 9900), s AS (SELECT DISTINCT s_nationkey AS k FROM supplier WHERE s_acctbal > 5000)
+    SELECT 'both' AS kind, k FROM (SELECT k FROM c INTERSECT SELECT k FROM s) UNION ALL SELECT 'either', k FROM (SELECT k FROM c UNION SELECT k FROM s)
+    UNION ALL SELECT 'customers_only', k FROM (SELECT k FROM c EXCEPT SELECT k FROM s)
+""")
+def set_union_intersect_except(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").where("c_acctbal > 9900").select(F.col("c_nationkey").alias("k"))
+    s = table(spark, sf_dir, "supplier").where("s_acctbal > 5000").select(F.col("s_nationkey").alias("k"))
+    tag = lambda df, kind: df.select(F.lit(kind).alias("kind"), "k")
+    return tag(c.intersect(s), "both").union(tag(c.union(s).distinct(), "either")).union(tag(c.subtract(s), "customers_only"))
+
+
+# Intervals and the match decision --------------------------------------------------------------------------------
+
+_INTERVALS = """
+    ops AS (SELECT event_id AS operation_id, user_id AS report_id, ts AS op_start, ts + INTERVAL 6 HOUR AS op_end FROM events WHERE event_type = 'view'),
+    fails AS (SELECT event_id AS failure_id, user_id AS report_id, ts AS start FROM events WHERE event_type = 'error')"""
+
+
+def _operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    views = table(spark, sf_dir, "events").where("event_type = 'view'")
+    return views.selectExpr("event_id as operation_id", "user_id as report_id", "ts as op_start", "ts + interval 6 hours as op_end", "1.0D as op_confidence")
+
+
+def _failures(spark: SparkSession, sf_dir: str, hours: int | None = None) -> DataFrame:
+    end = f"ts + interval {hours} hours" if hours else "cast(null as timestamp_ntz)"
+    return table(spark, sf_dir, "events").where("event_type = 'error'").selectExpr("event_id as failure_id", "user_id as report_id", "ts as start", f"{end} as end")
+
+
+@query(f"""
+    WITH {_INTERVALS} SELECT failure_id, operation_id FROM fails JOIN ops ON fails.report_id = ops.report_id AND op_start <= start AND start < op_end
+""")
+def interval_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.interval_join(_failures(spark, sf_dir), _operations(spark, sf_dir), "report_id", "start", "op_start", "op_end").select("failure_id", "operation_id")
+
+
+@query(f"""
+    WITH {_INTERVALS} SELECT failure_id, operation_id FROM fails JOIN ops ON fails.report_id = ops.report_id AND op_start < start + INTERVAL 3 HOUR AND op_end > start
+""")
+def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.overlap_join(_failures(spark, sf_dir, 3), _operations(spark, sf_dir), "report_id", ("start", "end"), ("op_start", "op_end")).select("failure_id", "operation_id")
+
+
+@query(f"""
+    WITH {_INTERVALS},
+    d AS (SELECT failure_id, operation_id, least(abs(epoch_us(start) - epoch_us(op_start)), abs(epoch_us(start) - epoch_us(op_end))) / 60000000.0 AS distance FROM fails JOIN ops USING (report_id)),
+    best AS (SELECT *, min(distance) OVER (PARTITION BY failure_id) AS least FROM d WHERE distance <= 240)
+    SELECT failure_id, operation_id, round(distance, 6) AS distance, count(*) OVER (PARTITION BY failure_id) AS ties FROM best WHERE distance = least
+""")
+def nearest_with_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = matching.nearest_join(_failures(spark, sf_dir), _operations(spark, sf_dir), "report_id", "failure_id", "start", "op_start", "op_end", tolerance_minutes=240)
+    return near.select("failure_id", "operation_id", F.round("distance", 6).alias("distance"), "ties")
+
+
+_LATTICE = f"""
+    WITH {_INTERVALS},
+    spans AS (SELECT *, CASE WHEN failure_id % 2 = 0 THEN start + INTERVAL 2 HOUR END AS finish FROM fails),
+    pairs AS (
+        SELECT failure_id, operation_id, op_start <= start AND start < op_end AS is_exact, coalesce(op_start < finish AND op_end > start, false) AS is_overlap FROM spans JOIN ops USING (report_id)),
+    n AS (SELECT failure_id, count(*) FILTER (is_exact) AS e, count(*) FILTER (is_overlap) AS o FROM pairs GROUP BY 1),
+    decided AS (
+        SELECT s.failure_id, CASE WHEN n.failure_id IS NULL THEN 'missing_operation_time' WHEN e > 1 THEN 'ambiguous' WHEN o = 1 AND e = 0 THEN 'overlap' WHEN o > 1 THEN 'ambiguous'
+               WHEN e = 1 THEN 'exact' ELSE 'unmatched' END AS status,
+               CASE WHEN e > 1 THEN 'e' WHEN o = 1 AND e = 0 THEN 'o' WHEN o > 1 THEN 'o' WHEN e = 1 THEN 'e' ELSE 'n' END AS uses
+        FROM spans s LEFT JOIN n USING (failure_id))
+    SELECT d.failure_id, p.operation_id, d.status FROM decided d
+    LEFT JOIN pairs p ON p.failure_id = d.failure_id AND ((uses = 'e' AND is_exact) OR (uses = 'o' AND is_overlap))"""
+
+
+def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _failures(spark, sf_dir, 2).withColumn("end", F.expr("case when failure_id % 2 = 0 then end end"))
+
+
+@query(_LATTICE)
+def match_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.match_failures(_spans(spark, sf_dir), _operations(spark, sf_dir)).select("failure_id", "operation_id", "status")
+
+
+@query(f"SELECT status, count(DISTINCT failure_id) AS failures FROM ({_LATTICE}) GROUP BY 1")
+def match_lattice_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.status_counts(matching.match_failures(_spans(spark, sf_dir), _operations(spark, sf_dir)))
+
+
+@query("""
+    SELECT event_id, last_value(CASE WHEN event_type = 'signup' OR event_type = 'view' THEN event_id END IGNORE NULLS)
+           OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS heading FROM events
+""")
+def asof_carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").withColumn("h", F.expr("case when event_type in ('signup', 'view') then event_id end"))
+    return matching.carry_forward(rows, "user_id", ["ts", "event_id"], "h", "heading").select("event_id", "heading")
+
+
+# Robust statistics and trends ------------------------------------------------------------------------------------
+
+_FALLBACK = """
+    base AS (SELECT event_id, event_type AS main, CASE WHEN user_id % 7 = 0 THEN NULL ELSE CAST(user_id % 40 AS VARCHAR) END AS sub, value FROM events),
+    support AS (SELECT main, sub, count(*) AS n FROM base GROUP BY 1, 2),
+    grouped AS (SELECT b.*, CASE WHEN coalesce(s.n, 0) >= 30 THEN coalesce(b.sub, 'unknown') ELSE '*' END AS grp
+        FROM base b LEFT JOIN support s ON s.main = b.main AND s.sub = coalesce(b.sub, 'unknown')),
+    med AS (SELECT main, grp, count(*) AS n, median(value) AS m, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM grouped GROUP BY 1, 2 HAVING count(*) >= 30),
+    mads AS (SELECT g.main, g.grp, median(abs(value - m)) AS mad FROM grouped g JOIN med USING (main, grp) GROUP BY 1, 2),
+    scored AS (SELECT g.*, n, m, q1, q3, (value - m) / greatest(mad * 1.4826, 0.000001) AS z FROM grouped g JOIN med USING (main, grp) JOIN mads USING (main, grp))"""
+
+
+def _grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = table(spark, sf_dir, "events").selectExpr("event_id", "event_type as main", "case when user_id % 7 = 0 then null else cast(user_id % 40 as string) end as sub", "value")
+    return robust.fallback_groups(base, "main", "sub")
+
+
+@query(f"""
+    WITH {_FALLBACK}
+    SELECT event_id, grp AS group_sub, round(q1, 6) AS q1, round(q3, 6) AS q3, round(z, 6) AS z,
+           CASE WHEN abs(z) >= 8 THEN 'high' WHEN abs(z) >= 5 THEN 'medium' ELSE 'low' END AS severity, round(least(0.99, 0.70 + least(abs(z), 10) / 40), 6) AS confidence
+    FROM scored WHERE abs(z) >= 3.5
+""")
+def robust_z_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    far = robust.outliers(robust.robust_scores(_grouped(spark, sf_dir), "value", ["main", "group_sub"]))
+    r = lambda c: F.round(c, 6).alias(c)
+    return far.select("event_id", "group_sub", r("q1"), r("q3"), r("z"), "severity", r("confidence"))
+
+
+@query("""
+    SELECT l_suppkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) < 150
+""")
+def small_group_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return robust.small_groups(table(spark, sf_dir, "lineitem"), ["l_suppkey", "l_returnflag"], min_group=150)
+
+
+@query()
+def isolation_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = robust.robust_scores(_grouped(spark, sf_dir), "value", ["main", "group_sub"])
+    found = robust.isolation_candidates(scored, ["main", "group_sub"], "event_id", version="v1")
+    return found.select("event_id", "main", "group_sub", F.round("z", 6).alias("z"), "severity", "candidate_key")
+
+
+@query("""
+    WITH o AS (SELECT l_orderkey AS operation_id, l_linenumber AS line, CASE WHEN l_returnflag = 'R' THEN 'fail' ELSE 'ok' END AS state, lower(p_type) AS sub, p_name AS remark, l_quantity - 1 AS hours
+        FROM lineitem JOIN part ON p_partkey = l_partkey)
+    SELECT rule, count(*) AS candidates FROM (
+        SELECT 'operation_state_fail' AS rule FROM o WHERE state = 'fail' UNION ALL SELECT 'promo' FROM o WHERE sub = 'promo' OR remark ILIKE '%promo%'
+        UNION ALL SELECT 'negative_operation_duration' FROM o WHERE hours < 1) GROUP BY 1
+""")
+def rule_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.expr("p_partkey = l_partkey"))
+    operations = rows.selectExpr("l_orderkey as operation_id", "case when l_returnflag = 'R' then 'fail' else 'ok' end as state", "lower(p_type) as sub_activity", "p_name as remark", "l_quantity - 1 as hours")
+    own = {
+        "operation_state_fail": rules.OPERATION_RULES["operation_state_fail"], "promo": ("sub_activity = 'promo' or lower(remark) like '%promo%'", "high", 0.9),
+        "negative_operation_duration": ("hours < 1", "high", 0.9),
+    }
+    return rules.operation_candidates(operations, own).groupBy("rule").agg(F.count("*").alias("candidates"))
+
+
+_MONTHS = """
+    m AS (SELECT o_orderpriority AS series, CAST(date_trunc('month', o_orderdate) AS DATE) AS day, median(o_totalprice) AS y FROM orders GROUP BY 1, 2),
+    p AS (SELECT series, CAST(date_diff('day', DATE '0001-01-01', day) + 1 AS DOUBLE) AS x, y FROM m)"""
+
+
+def _monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").withColumn("month", F.date_trunc("month", F.col("o_orderdate")).cast("timestamp_ntz"))
+    return trend.daily_medians(rows.withColumnRenamed("o_orderpriority", "series"), ["series"], "month", "o_totalprice")
+
+
+@query(f"""
+    WITH {_MONTHS},
+    s AS (SELECT a.series, median((b.y - a.y) / (b.x - a.x)) AS slope FROM p a JOIN p b ON a.series = b.series AND a.x < b.x GROUP BY 1),
+    f AS (SELECT series, slope, median(y) - slope * median(x) AS intercept, count(*) AS n FROM p JOIN s USING (series) GROUP BY series, slope),
+    r AS (SELECT series, y - slope * x - intercept AS e FROM p JOIN f USING (series)),
+    q AS (SELECT series, median(e) AS me FROM r GROUP BY 1)
+    SELECT f.series, n, round(slope, 6) AS slope, round(intercept, 3) AS intercept, round(median(abs(e - me)), 4) AS residual_mad
+    FROM f JOIN r USING (series) JOIN q USING (series) GROUP BY f.series, n, slope, intercept
+""")
+def theil_sen_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fit = trend.theil_sen(_monthly(spark, sf_dir), ["series"])
+    return fit.select("series", "n", F.round("slope", 6).alias("slope"), F.round("intercept", 3).alias("intercept"), F.round("residual_mad", 4).alias("residual_mad"))
+
+
+@query(f"""
+    WITH {_MONTHS},
+    k AS (SELECT series, rank() OVER (PARTITION BY series ORDER BY x) + (count(*) OVER (PARTITION BY series, x) - 1) / 2.0 AS rx,
+          rank() OVER (PARTITION BY series ORDER BY y) + (count(*) OVER (PARTITION BY series, y) - 1) / 2.0 AS ry FROM p)
+    SELECT series, round(corr(rx, ry), 6) AS rho FROM k GROUP BY 1
+""")
+def spearman_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trend.spearman(_monthly(spark, sf_dir), ["series"], p_value=False).select("series", F.round("rho", 6).alias("rho"))
+
+
+@query("""
+    WITH o AS (SELECT o_orderpriority AS series, CASE WHEN o_orderstatus = 'F' AND o_orderkey % 3 = 0 THEN 'manual' WHEN o_orderstatus = 'F' THEN 'data_quality_exclusion'
+        WHEN o_orderkey % 11 = 0 THEN 'invalid_or_missing_date' WHEN o_orderkey % 13 = 0 THEN 'invalid_or_missing_value' WHEN o_orderkey % 17 = 0 THEN 'unknown_unit' END AS reason FROM orders)
+    SELECT series, reason, count(*) AS n FROM o WHERE reason IS NOT NULL GROUP BY 1, 2
+""")
+def trend_exclusion_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderpriority as series", "o_orderstatus <> 'F' as included", "case when o_orderstatus = 'F' and o_orderkey % 3 = 0 then 'manual' end as given",
+        "case when o_orderkey % 11 <> 0 then o_orderdate end as observed_at", "case when o_orderkey % 13 <> 0 then o_totalprice end as value", "case when o_orderkey % 17 = 0 then ' Unknown ' else 'sg' end as unit",
+    )
+    reason = trend.exclusion_reason(*(F.col(c) for c in ("included", "given", "observed_at", "value", "unit")))
+    return rows.withColumn("reason", reason).where("reason is not null").groupBy("series", "reason").agg(F.count("*").alias("n"))
+
+
+@query("""
+    WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS row_index, CASE WHEN l_linenumber % 3 > 0 THEN l_extendedprice END AS depth FROM lineitem),
+    h AS (SELECT l_orderkey, l_returnflag AS activity, CAST(sum(CAST(l_quantity AS DECIMAL(18, 4))) AS DOUBLE) AS hours, min(row_index) AS first_row FROM l GROUP BY 1, 2),
+    t AS (SELECT l_orderkey, arg_max(activity, struct_pack(a := hours, b := -first_row)) AS main_activity, max(hours) AS main_hours FROM h GROUP BY 1),
+    d AS (SELECT l_orderkey, count(depth) AS n_depths, round(arg_max(depth, row_index) - arg_min(depth, row_index), 2) AS progress FROM l WHERE depth IS NOT NULL GROUP BY 1)
+    SELECT t.l_orderkey AS report_id, main_activity, round(main_hours, 2) AS main_hours, n_depths, CASE WHEN n_depths >= 2 THEN progress END AS progress FROM t LEFT JOIN d USING (l_orderkey)
+""")
+def daily_summary_first_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = Window.partitionBy("l_orderkey").orderBy("l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    rows = table(spark, sf_dir, "lineitem").withColumn("row_index", F.row_number().over(order) - 1).withColumn("depth", F.expr("case when l_linenumber % 3 > 0 then l_extendedprice end"))
+    rows = rows.withColumnRenamed("l_orderkey", "report_id")
+    best = summary.main_activity(summary.hours_by_activity(rows, ["report_id"], "l_returnflag", "l_quantity", "row_index"), ["report_id"])
+    depths = summary.depth_progress(rows, ["report_id"], "row_index", "depth")
+    return best.join(depths, "report_id", "left").select("report_id", "main_activity", F.round("main_hours", 2).alias("main_hours"), "n_depths", "progress")
+
+
+# Logs, sections, chunks ------------------------------------------------------------------------------------------
+
+
+@query("""
+    SELECT conv_id, arg_max(role, turn) AS status, arg_max(role, turn) = 'assistant' AS validated, count(*) AS decisions FROM conversations GROUP BY 1
+""")
+def latest_status_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    newest = records.latest(log, "conv_id", [F.col("turn")])
+    n = log.groupBy("conv_id").agg(F.count("*").alias("decisions"))
+    return newest.join(n, "conv_id").select("conv_id", F.col("role").alias("status"), (F.col("role") == "assistant").alias("validated"), "decisions")
+
+
+@query(r"""
+    WITH d AS (SELECT source, doc_id, trim(regexp_replace(substr(text, 1, 200), '\s+', ' ', 'g')) AS t, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 5 AS batch_no FROM documents)
+    SELECT source, CAST(batch_no AS BIGINT) AS batch_no, count(*) AS n_rows, sha256(string_agg(t, chr(10) ORDER BY doc_id)) AS content_hash FROM d GROUP BY 1, 2
+""")
+def chunk_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = text.collapse(F.substring("text", 1, 200))
+    batches = chunks.batch_texts(table(spark, sf_dir, "documents"), ["source"], ["doc_id"], chunks.BATCH["operation"], body)
+    return batches.select("source", "batch_no", "n_rows", F.sha2("text", 256).alias("content_hash"))
+
+
+@query(r"""
+    WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents),
+    h AS (SELECT *, CASE WHEN regexp_matches(line, '^[^ ]+( [^ ]+)?\.$') THEN line END AS heading FROM l),
+    s AS (SELECT *, count(heading) OVER (PARTITION BY doc_id ORDER BY line_no) AS section_no FROM h)
+    SELECT doc_id, section_no, max(heading) AS heading, count(*) AS n_lines, sha256(string_agg(line, chr(10) ORDER BY line_no)) AS text_hash FROM s GROUP BY 1, 2
+""")
+def section_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    numbered = chunks.lines(table(spark, sf_dir, "documents"), ["doc_id"], "text")
+    heading = F.when(F.col("line").rlike(r"^[^ ]+( [^ ]+)?\.$"), F.col("line"))
+    sections = chunks.split_sections(numbered, ["doc_id"], ["line_no"], "line", heading)
+    return sections.select("doc_id", "section_no", "heading", "n_lines", F.sha2("text", 256).alias("text_hash"))
+
+
+_TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')"
+_WORD_INDEX = rf"""
+    g AS (SELECT doc_id, unnest(list_concat({_TOKENS}, [{_TOKENS}[i] || ' ' || {_TOKENS}[i + 1] for i in range(1, len({_TOKENS}))])) AS term FROM documents),
+    tf AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY 1, 2),
+    df AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY 1 ORDER BY total DESC, term LIMIT 25000),
+    w AS (SELECT doc_id, term, df, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS w FROM tf JOIN df USING (term)),
+    norms AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY 1),
+    idx AS (SELECT doc_id, term, df, w / norm AS weight FROM w JOIN norms USING (doc_id)),
+    qg AS (SELECT item_id, unnest(list_concat({_TOKENS}, [{_TOKENS}[i] || ' ' || {_TOKENS}[i + 1] for i in range(1, len({_TOKENS}))])) AS term FROM benchmark),
+    qtf AS (SELECT item_id, term, count(*) AS tf FROM qg GROUP BY 1, 2),
+    qw AS (SELECT item_id, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS w FROM qtf JOIN df USING (term)),
+    qn AS (SELECT item_id, sqrt(sum(w * w)) AS norm FROM qw GROUP BY 1),
+    q AS (SELECT item_id, term, w / norm AS q FROM qw JOIN qn USING (item_id)),
+    scored AS (SELECT item_id, doc_id, round(sum(weight * q), 6) AS score FROM idx JOIN q USING (term) GROUP BY 1, 2)"""
+
+
+def _word_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, queries = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    n = docs.count()
+    index = search.postings(search.term_counts(docs, "doc_id", search.word_grams(F.col("text"))), "doc_id", n, cap=search.WORD_CAP)
+    vector = search.query_vector(index.select("term", "df").distinct(), queries, "item_id", search.word_grams(F.col("text")), n)
+    return search.cosine(index, "doc_id", vector, "item_id").withColumn("score", F.round("score", 6))
+
+
+@query(f"""
+    WITH {_WORD_INDEX}, r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM scored WHERE score >= 0.035)
+    SELECT item_id, doc_id, score, place FROM r WHERE place <= 10
+""")
+def topk_search_word(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
+    hits = _word_scores(spark, sf_dir).where(F.col("score") >= search.WORD_LEAST).withColumn("place", F.row_number().over(best))
+    return hits.where("place <= 10").select("item_id", "doc_id", "score", "place")
+
+
+@query()
+def two_stage_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queries = table(spark, sf_dir, "benchmark").selectExpr("item_id", "case when item_id % 2 = 0 then text else substr(text, 3, 5) end as text")
+    hits = search.two_stage(table(spark, sf_dir, "documents"), "doc_id", "text", queries, "item_id", "text")
+    best = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
+    return hits.withColumn("place", F.row_number().over(best)).where("place <= 10").select("item_id", "doc_id", F.round("score", 6).alias("score"), "stage")
+
+
+@query("""
+    WITH r AS (SELECT source, doc_id, length(substr(text, 1, 1000)) AS n, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS place FROM documents),
+    u AS (SELECT *, sum(n) OVER (PARTITION BY source ORDER BY place) AS upto FROM r)
+    SELECT source, doc_id, place, CAST(upto AS BIGINT) AS upto FROM u WHERE upto <= 7000 AND place <= 12
+""")
+def evidence_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").withColumn("n", F.length(F.substring("text", 1, 1000)))
+    return chunks.within_budget(rows, ["source"], [F.desc("n_chars"), F.asc("doc_id")], "n").select("source", "doc_id", "place", "upto")

@@ -35,7 +35,7 @@ MISS = 2e-5
 #: Lists up to this length are merged in one block; longer ones go in chunks of CHUNK.
 SHORT, CHUNK = 64, 40
 #: Members, and shingles, of a chunk in the blocks for the rest.
-REST_CHUNK, REST_SHINGLES = 512, 500_000
+REST_CHUNK, REST_SHINGLES = 512, 2_000_000
 #: Ids up to this number (8 bytes each) are broadcast to pick texts; more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -112,14 +112,57 @@ def _same(n: int, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]
     return edges
 
 
+def _streamed(batches: Iterator[pa.RecordBatch], work: Callable[[pa.Table], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Work on whole blocks of rows sorted by block; a block may reach over several batches."""
+    kept = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = pa.concat_tables([kept, rows]) if kept is not None else rows
+        blocks = rows.column("block").to_numpy()
+        last = int(np.searchsorted(blocks, blocks[-1]))
+        kept = rows.slice(last)
+        if last:
+            yield work(rows.slice(0, last))
+    if kept is not None and kept.num_rows:
+        yield work(kept)
+
+
+def _cuts(blocks: np.ndarray) -> Iterator[tuple[int, int]]:
+    edges = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
+    yield from zip(edges, edges[1:], strict=False)
+
+
+def _promising(need: int) -> Callable:
+    """Sorted (block, id, component, signature) to the members of each block that agree with one of another
+    component in ``need`` coordinates, as (block, id); equal sets of members get one block."""
+
+    def work(rows: pa.Table) -> pa.RecordBatch:
+        rows = rows.combine_chunks()
+        ids, components = rows.column("id").to_numpy(), rows.column("component").to_numpy()
+        signs = rows.column("signature").combine_chunks().flatten().to_numpy().reshape(-1, COORDINATES)
+        found = []
+        for a, b in _cuts(rows.column("block").to_numpy()):
+            same = np.zeros((b - a, b - a), np.int16)
+            for k in range(COORDINATES):
+                own = signs[a:b, k]
+                same += own[:, None] == own[None, :]
+            near = ((same >= need) & (components[a:b, None] != components[None, a:b])).any(axis=1)
+            if near.any():
+                own = np.unique(ids[a:b][near])
+                found.append(np.stack([np.full(len(own), kernel.mix(own.view(np.uint64)).sum(dtype=np.uint64).view(np.int64)), own]))
+        pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["block", "id"])
+
+    return lambda batches: _streamed(batches, work)
+
+
 def _verify(size: int, percent: int) -> Callable:
-    """Sorted (block, id, text) rows to verified links; a block may reach over two batches."""
+    """Sorted (block, id, text) rows to verified links."""
 
     def links(rows: pa.Table) -> list[tuple[int, int]]:
         rows, out = rows.combine_chunks(), []
-        ids, blocks = rows.column("id").to_pylist(), rows.column("block").to_numpy()
-        cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
-        for a, b in zip(cuts, cuts[1:], strict=False):
+        ids = rows.column("id").to_pylist()
+        for a, b in _cuts(rows.column("block").to_numpy()):
             texts = rows.slice(a, b - a).to_batches()
             found = [s for part in kernel.small(texts, 2) for s in kernel.distinct_shingles(part.column(2), size)]
             own = dict(zip(ids[a:b], found, strict=True))  # a central document may also be in its chunk
@@ -128,20 +171,7 @@ def _verify(size: int, percent: int) -> Callable:
                 out += [(names[i], names[j]) for i, j in _same(len(names), list(own.values()), percent)]
         return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = None
-        for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            rows = pa.concat_tables([kept, rows]) if kept is not None else rows
-            blocks = rows.column("block").to_numpy()
-            last = int(np.searchsorted(blocks, blocks[-1]))
-            kept = rows.slice(last)
-            if last:
-                yield _pairs(links(rows.slice(0, last)))
-        if kept is not None and kept.num_rows:
-            yield _pairs(links(kept))
-
-    return run
+    return lambda batches: _streamed(batches, lambda rows: _pairs(links(rows)))
 
 
 def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -175,27 +205,31 @@ def _first_blocks(prefix: DataFrame) -> DataFrame:
     return short.union(parts.select("block", "id")).union(parts.select("block", F.col("hub").alias("id"))).distinct()
 
 
-def _rest_blocks(prefix: DataFrame, components: DataFrame, percent: int) -> DataFrame:
+def _rest_blocks(prefix: DataFrame, components: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Blocks for what the first pass left open in long lists: members outside the majority's component.
 
     Sets whose sizes differ by more than the similarity allows can't link, so only neighbouring
-    size classes meet.
+    size classes meet.  The signatures of a block are compared before any text is fetched: only
+    members that agree with one of another component in enough coordinates remain.
     """
     long = prefix.select("id", "size", F.explode("items").alias("item")).where(f"item.df > {SHORT}").select("id", "size", F.col("item.key").alias("key"))
     long = long.join(components.toDF("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     sums = long.groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("major"), F.sum("count").alias("n"), F.max("count").alias("n_major"))
     grade = F.floor(F.log(F.col("size")) / float(-np.log(percent / 100)) + 1e-9)
-    long = long.join(sums.where("n > n_major"), "key").select("key", "id", "size", (F.col("component") != F.col("major")).alias("odd"), grade.alias("grade"))
+    long = long.join(sums.where("n > n_major"), "key").select("key", "id", "size", "component", (F.col("component") != F.col("major")).alias("odd"), grade.alias("grade"))
     counts = long.groupBy("key", "odd", "grade").agg(F.ceil(F.greatest(F.count("*") / REST_CHUNK, F.sum("size") / REST_SHINGLES)).alias("chunks"))
     side = ["key", "odd", "grade", "chunk"]
-    long = long.join(counts, side[:3]).withColumn("chunk", F.pmod(F.xxhash64("id"), "chunks")).select(*side, "id")
+    long = long.join(counts, side[:3]).withColumn("chunk", F.pmod(F.xxhash64("id"), "chunks")).select(*side, "id", "component")
     chunks = long.select(*side).distinct()
     other = chunks.toDF("key", "odd2", "grade2", "chunk2")
     meet = F.expr("case when not odd2 then abs(grade2 - grade) <= 1 else grade2 = grade + 1 or (grade2 = grade and chunk <= chunk2) end")
     pairs = chunks.where("odd").join(other, "key").where(meet)
     sides = F.array(F.struct("odd", "grade", "chunk"), F.struct(*(F.col(f"{c}2").alias(c) for c in side[1:])))
     pairs = pairs.select("key", F.xxhash64("key", "grade", "chunk", "odd2", "grade2", "chunk2").alias("block"), F.explode(sides).alias("side"))
-    return long.join(pairs.select("key", "block", "side.*"), side).select("block", "id").distinct()
+    rows = long.join(pairs.select("key", "block", "side.*"), side).select("block", "id", "component").distinct()
+    signed = rows.join(classes.select(F.col("leader").alias("id"), "signature"), "id").select("block", "id", "component", "signature")
+    near = signed.repartition("block").sortWithinPartitions("block").mapInArrow(_promising(matches_needed(percent)), "block long, id long")
+    return near.distinct()
 
 
 def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = 80, size: int = kernel.SHINGLE_WORDS) -> DataFrame:
@@ -227,7 +261,7 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     links = materialize(_linked(_first_blocks(prefix), docs, size, percent), "links")
     found = connected_components(links, "a", "b")
-    rest = materialize(_rest_blocks(prefix, found, percent), "rest")
+    rest = materialize(_rest_blocks(prefix, found, classes, percent), "rest")
     if not rest.isEmpty():
         links = links.union(_linked(rest, docs, size, percent))
         found = connected_components(links, "a", "b")

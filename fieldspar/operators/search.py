@@ -6,6 +6,8 @@ table of postings, so a query is a semi-join of its few terms with the postings
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,24 +20,32 @@ WORD_LEAST, BLEND_LEAST, BLEND = 0.035, 0.012, 0.65
 BOOSTS = {"wellbore": 0.18, "section": 0.12, "identifier": 0.18, "activity": 0.1, "equipment": 0.1}
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, as a lambda's variable."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def word_grams(text: Column, most: int = 2) -> Column:
     """Words and runs of up to ``most`` words."""
-    tokens = index_words(text)
-    grams = [tokens]
-    for n in range(2, most + 1):
-        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - n + 1, F.lit(1))), lambda i, n=n: F.array_join(F.slice(tokens, i, n), " "))
-        grams.append(F.when(F.size(tokens) >= n, runs).otherwise(F.expr("cast(array() as array<string>)")))
-    return F.concat(*grams)
+
+    def runs(tokens: Column) -> Column:
+        grams = [tokens]
+        for n in range(2, most + 1):  # each run is the one before it and the next word
+            left = F.greatest(F.size(tokens) - n + 1, F.lit(0))
+            grams.append(F.zip_with(F.slice(grams[-1], 1, left), F.slice(tokens, n, left), lambda a, b: F.concat_ws(" ", a, b)))
+        return F.concat(*grams)
+
+    return _bound(index_words(text), runs)
 
 
 def char_grams(text: Column, sizes: tuple[int, ...] = (3, 4)) -> Column:
     """Character grams within words, each word with a space on either side."""
-    padded = F.transform(index_words(text), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
 
-    def of(n: int) -> Column:
-        return F.flatten(F.transform(padded, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1))), lambda i: F.substring(w, i, n))))
+    def of(word: Column) -> Column:
+        own = lambda w, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1))), lambda i: F.substring(w, i, n))
+        return _bound(F.concat(F.lit(" "), word, F.lit(" ")), lambda w: F.concat(*[own(w, n) for n in sizes]))
 
-    return F.concat(*[of(n) for n in sizes])
+    return F.flatten(F.transform(index_words(text), of))
 
 
 def term_counts(docs: DataFrame, key: str, grams: Column) -> DataFrame:

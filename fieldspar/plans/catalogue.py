@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from fieldspar.functions import scores, taxonomy, temporal, text
 from fieldspar.functions.scores import rate
 from fieldspar.operators import chunks, matching, plots, quality, records, robust, rules, search, summary, textclass, trend
 from fieldspar.plans import grounding, planner, sql_guard
+from fieldspar.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -441,14 +443,16 @@ def section_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')"
+_GRAMS = "unnest(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])))"
 _WORD_INDEX = rf"""
-    g AS (SELECT doc_id, unnest(list_concat({_TOKENS}, [{_TOKENS}[i] || ' ' || {_TOKENS}[i + 1] for i in range(1, len({_TOKENS}))])) AS term FROM documents),
+    dt AS (SELECT doc_id, {_TOKENS} AS t FROM documents), qt AS (SELECT item_id, {_TOKENS} AS t FROM benchmark),
+    g AS (SELECT doc_id, {_GRAMS} AS term FROM dt),
     tf AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY 1, 2),
     df AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY 1 ORDER BY total DESC, term LIMIT 25000),
     w AS (SELECT doc_id, term, df, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS w FROM tf JOIN df USING (term)),
     norms AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY 1),
     idx AS (SELECT doc_id, term, df, w / norm AS weight FROM w JOIN norms USING (doc_id)),
-    qg AS (SELECT item_id, unnest(list_concat({_TOKENS}, [{_TOKENS}[i] || ' ' || {_TOKENS}[i + 1] for i in range(1, len({_TOKENS}))])) AS term FROM benchmark),
+    qg AS (SELECT item_id, {_GRAMS} AS term FROM qt),
     qtf AS (SELECT item_id, term, count(*) AS tf FROM qg GROUP BY 1, 2),
     qw AS (SELECT item_id, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS w FROM qtf JOIN df USING (term)),
     qn AS (SELECT item_id, sqrt(sum(w * w)) AS norm FROM qw GROUP BY 1),
@@ -490,3 +494,309 @@ def two_stage_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evidence_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").withColumn("n", F.length(F.substring("text", 1, 1000)))
     return chunks.within_budget(rows, ["source"], [F.desc("n_chars"), F.asc("doc_id")], "n").select("source", "doc_id", "place", "upto")
+
+
+# Normalisation of literals ---------------------------------------------------------------------------------------
+
+
+def _values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+_CELLS = ("-999.99", "-999.9", "8,8", " 1 234.5 ", "1,234.5", "abc", "", "   ", None, "+7", "-0.5", "1e3", ".5", "5.", "--1")
+_CELL_SQL = ", ".join(f"({i}, {'NULL' if c is None else repr(c)})" for i, c in enumerate(_CELLS))
+_NUMBER_SQL = r"""
+    trimmed AS (SELECT *, trim(raw) AS t, replace(trim(raw), ' ', '') AS p FROM cells),
+    packed AS (SELECT *, CASE WHEN contains(p, ',') AND NOT contains(p, '.') THEN replace(p, ',', '.') ELSE p END AS n FROM trimmed),
+    parsed AS (SELECT *, CASE WHEN regexp_matches(n, '^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$') THEN TRY_CAST(n AS DOUBLE) END AS v FROM packed),
+    numbers AS (SELECT *, CASE WHEN v NOT IN (-999.99, -999.9) AND t <> '' THEN v END AS value,
+        CASE WHEN t IS NULL OR t = '' THEN 'source_blank' WHEN v IS NULL THEN 'not_numeric' WHEN v IN (-999.99, -999.9) THEN 'source_sentinel' END AS missing_reason FROM parsed)"""
+
+
+@query(f"""
+    WITH cells AS (SELECT * FROM (VALUES {_CELL_SQL}) v(id, raw) UNION ALL SELECT event_id + 1000, json_extract_string(props, '$.k') FROM events), {_NUMBER_SQL}
+    SELECT CAST(id AS BIGINT) AS id, value, missing_reason FROM numbers
+""")
+def normalize_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = _values(spark, list(enumerate(_CELLS)), "id long, raw string")
+    cells = cells.union(table(spark, sf_dir, "events").select(F.col("event_id") + 1000, F.get_json_object("props", "$.k")))
+    n = cells.withColumn("n", text.number(F.col("raw")))
+    return n.select("id", "n.value", "n.missing_reason")
+
+
+_LABELS = ("Plug & Abandon", "plug_abandon", "Formation\nEvaluation", "DRILLING", "novel operation", None, "", "Moving ")
+
+
+@query("""
+    WITH l AS (SELECT CAST(p_partkey AS BIGINT) AS id, CASE p_partkey % 8 WHEN 0 THEN 'Plug & Abandon' WHEN 1 THEN 'plug_abandon' WHEN 2 THEN 'Formation' || chr(10) || 'Evaluation' WHEN 3 THEN 'DRILLING'
+        WHEN 4 THEN 'novel operation' WHEN 6 THEN '' WHEN 7 THEN 'Moving ' END AS raw FROM part),
+    k AS (SELECT *, nullif(trim(regexp_replace(lower(replace(raw, chr(10), '')), '[^a-z0-9]+', ' ', 'g')), '') AS key FROM l),
+    n AS (SELECT *, CASE WHEN key IN ('completion', 'drilling', 'formation evaluation', 'interruption', 'moving', 'plug abandon', 'workover') THEN replace(key, ' ', '_') END AS canonical,
+        CASE key WHEN 'formationevaluation' THEN 'formation_evaluation' WHEN 'plug abandon' THEN 'plug_abandon' WHEN 'plug and abandon' THEN 'plug_abandon' WHEN 'plugabandon' THEN 'plug_abandon' END AS alias FROM k)
+    SELECT id, coalesce(canonical, alias, 'unknown') AS label, CASE WHEN canonical IS NOT NULL THEN 'canonical' WHEN alias IS NOT NULL THEN 'alias' ELSE 'unknown' END AS method,
+           CAST(CASE WHEN canonical IS NOT NULL THEN 1.0 WHEN alias IS NOT NULL THEN 0.99 ELSE 0 END AS DOUBLE) AS confidence FROM n
+""")
+def normalize_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.get(F.array(*map(F.lit, _LABELS)), (F.col("p_partkey") % len(_LABELS)).cast("int"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), taxonomy.normalize_main(raw).alias("n"))
+    return rows.select("id", "n.label", "n.method", "n.confidence")
+
+
+_CLOCKS = (("23:00", "00:00"), ("08:00", "12:30"), ("07:15", "07:15"), ("24:00", "01:00"), ("", "01:00"), (None, None), ("9:5", "10:00"), ("10:00:30", "10:01:00"))
+_CLOCK_SQL = ", ".join(f"({i}, {'NULL' if a is None else repr(a)}, {'NULL' if b is None else repr(b)})" for i, (a, b) in enumerate(_CLOCKS))
+
+
+@query(rf"""
+    WITH c AS (SELECT * FROM (VALUES {_CLOCK_SQL}) v(id, a, b)),
+    s AS (SELECT *, CASE WHEN regexp_matches(a, '^([01][0-9]|2[0-3]):[0-5][0-9](:[0-5][0-9])?$') THEN epoch(CAST(a AS TIME)) END AS x,
+        CASE WHEN regexp_matches(b, '^([01][0-9]|2[0-3]):[0-5][0-9](:[0-5][0-9])?$') THEN epoch(CAST(b AS TIME)) END AS y FROM c),
+    t AS (SELECT *, CASE WHEN (x IS NULL OR y IS NULL) AND (coalesce(a, '') = '' OR coalesce(b, '') = '') THEN 'missing_operation_time' WHEN x IS NULL OR y IS NULL THEN 'invalid_operation_time'
+        WHEN y < x THEN 'midnight_rollover' WHEN x = y THEN 'equal_time_ambiguous' ELSE 'valid' END AS status FROM s)
+    SELECT CAST(id AS BIGINT) AS id, status, strftime(TIMESTAMP '2008-06-13' + to_seconds(CAST(CASE WHEN status IN ('valid', 'midnight_rollover', 'equal_time_ambiguous') THEN x END AS BIGINT)), '%Y-%m-%dT%H:%M:%S') AS start,
+           strftime(TIMESTAMP '2008-06-13' + to_seconds(CAST(CASE status WHEN 'valid' THEN y WHEN 'midnight_rollover' THEN y + 86400 END AS BIGINT)), '%Y-%m-%dT%H:%M:%S') AS finish,
+           round((y - x + CASE WHEN y <= x THEN 86400 ELSE 0 END) / 3600, 4) AS hours FROM t
+""")
+def parse_clock_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _values(spark, [(i, a, b) for i, (a, b) in enumerate(_CLOCKS)], "id long, a string, b string")
+    period = F.lit("2008-06-13 00:00:00").cast("timestamp_ntz")
+    rows = rows.withColumn("i", temporal.operation_interval(F.col("a"), F.col("b"), period))
+    return rows.select("id", "i.status", temporal.iso(F.col("i.start")).alias("start"), temporal.iso(F.col("i.end")).alias("finish"), temporal.duration_hours(F.col("a"), F.col("b")).alias("hours"))
+
+
+_NAMES = ("15_9_F_11_A_2008_01_02.pdf", "15_9_19_A_1997_07_25.pdf", "data/15_9_F_4_2008_02_30.pdf", "notes.pdf", "15_9_2008_01_02.pdf", "c:\\in\\15_9_F_1_2013_12_31.PDF")
+_NAME_SQL = ", ".join(f"({i}, '{n}')" for i, n in enumerate(_NAMES))
+
+
+@query(rf"""
+    WITH v AS (SELECT id, regexp_extract(path, '([^/\\]+)$', 1) AS name FROM (VALUES {_NAME_SQL}) t(id, path)),
+    p AS (SELECT id, string_split(regexp_extract(name, '(?i)^(.+)_(\d{{4}})_(\d{{2}})_(\d{{2}})\.pdf$', 1), '_') AS k,
+          TRY_CAST(regexp_replace(regexp_extract(name, '(?i)_(\d{{4}}_\d{{2}}_\d{{2}})\.pdf$', 1), '_', '-', 'g') AS DATE) AS day FROM v),
+    w AS (SELECT id, day, CASE WHEN len(k) >= 4 AND upper(k[3]) = 'F' THEN k[1] || '/' || k[2] || '-F-' || k[4] ELSE k[1] || '/' || k[2] || '-' || k[3] END AS head,
+          array_to_string(k[CASE WHEN len(k) >= 4 AND upper(k[3]) = 'F' THEN 5 ELSE 4 END:], ' ') AS tail, len(k) AS n FROM p)
+    SELECT CAST(id AS BIGINT) AS id, CASE WHEN day IS NOT NULL AND n >= 3 THEN upper(trim(head || ' ' || tail)) END AS wellbore, CASE WHEN day IS NOT NULL AND n >= 3 THEN CAST(day AS VARCHAR) END AS report_date FROM w
+""")
+def filename_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _values(spark, list(enumerate(_NAMES)), "id long, path string").withColumn("i", text.filename_identity(F.col("path")))
+    return rows.select("id", "i.wellbore", F.col("i.report_date").cast("string").alias("report_date"))
+
+
+def _sql_list(values: tuple[str, ...]) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+@query(rf"""
+    WITH f AS (SELECT doc_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS t FROM documents),
+    w AS (SELECT doc_id, length(t) - length(translate(t, '{text.AZ_LETTERS}', '')) AS letters, list_distinct(regexp_extract_all(t, '\p{{L}}+')) AS k FROM f),
+    s AS (SELECT doc_id, letters + 2 * len(list_intersect(k, {_sql_list(text.AZ_WORDS)})) AS az, len(list_intersect(k, {_sql_list(text.EN_WORDS)})) AS en FROM w)
+    SELECT doc_id, CASE WHEN az > 0 AND en > 0 THEN 'mixed' WHEN az > 0 THEN 'az' ELSE 'en' END AS language FROM s
+""")
+def language_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.language(F.col("text")).alias("language"))
+
+
+# Questions, guard, grounding -------------------------------------------------------------------------------------
+
+QUESTIONS = (
+    "What was the main activity on 15/9-F-11 on 2008-01-02?", "Show the daily summary for 15/9-19 A", "How many operations are there by wellbore?", "Which equipment failure had the longest downtime?",
+    "Pressure trend of the plots", "Are these related to the same well?", "Show unusual duration anomalies", "What is the current oil price?", "Completed activities for 15/9-F-4", "Mud weight of the drilling fluid", "stuck pipe problems",
+    "Compare wellbore activities", "Hansı avadanlıq nasazlıq olub?",
+)
+
+
+@query()
+def plan_intent_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(i, p.intent, p.confidence, p.language, p.wellbore, str(p.date_from) if p.date_from else None, ",".join(p.terms)) for i, p in enumerate(map(planner.analyze, QUESTIONS))]
+    return _values(spark, rows, "id long, intent string, confidence double, language string, wellbore string, date_from string, terms string")
+
+
+_ANSWERS = (
+    ("a fact occurred", "structured_x", 0, 0, 0, False, [], ""), ("they are the same well", "structured_mapping", 0, 1, 0, False, [], ""), ("12 psi measured", "plot_sql", 1, 1, 0, True, [], "12"),
+    ("All failures occurred during drilling", "structured_equipment_failures", 3, 1, 1, False, [], ""), ("see other.pdf", "x", 1, 1, 0, False, ["report.pdf"], ""), ("see report.pdf", "x", 1, 1, 0, False, ["report.pdf"], "report"),
+    ("There were 999 failures.", "x", 1, 1, 0, False, [], "failure_count 2"), ("There were 2 failures, +1,5 h.", "x", 1, 1, 0, False, [], "2 1,5"),
+)
+_REJECTED = ("fact_without_evidence", "mapping_unresolved", "pressure_unit_unknown", "matches_unresolved", "foreign_citation", None, "unsupported_number", None)
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"(CAST({i} AS BIGINT), {'NULL' if r is None else repr(r)})" for i, r in enumerate(_REJECTED)) + ") v(id, rejection)")
+def grounding_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _values(spark, [(i, *a) for i, a in enumerate(_ANSWERS)], "id long, answer string, route string, n_rows long, n_evidence long, unresolved long, unit_unknown boolean, files array<string>, facts string")
+    return grounding.verify(rows.withColumn("deterministic", F.lit(""))).select("id", "rejection")
+
+
+STATEMENTS = (
+    "SELECT wellbore FROM reports", "SELECT wellbore FROM reports LIMIT 99999", "DELETE FROM reports", "SELECT 1; SELECT 2", "SELECT * FROM secrets", "DROP TABLE reports",
+    "WITH r AS (SELECT wellbore FROM reports) SELECT wellbore FROM r", "SELECT wellbore FROM reports UNION SELECT main FROM operations", "INSERT INTO reports VALUES (1)", "SELECT wellbore FROM reports WHERE id IN (SELECT id FROM secrets)",
+)
+
+
+@query()
+def sql_guard_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = []
+    for i, statement in enumerate(STATEMENTS):
+        try:
+            rows.append((i, True, sql_guard.guard(spark, statement, {"reports", "operations"}).limit))
+        except sql_guard.Refused:
+            rows.append((i, False, None))
+    return _values(spark, rows, "id long, allowed boolean, applied_limit int")
+
+
+# Classification and evaluation -----------------------------------------------------------------------------------
+
+
+@query("""
+    WITH n AS (SELECT substr(lower(text), 1, 3) AS t, quality, toxic, count(*) AS n, min(doc_id) AS first_id FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2, 3),
+    r AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY n DESC, quality, toxic) AS k FROM n)
+    SELECT t AS text, quality, toxic, n AS votes, first_id AS row_id FROM r WHERE k = 1
+""")
+def majority_label_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.substring(F.lower("text"), 1, 3).alias("text")).join(table(spark, sf_dir, "labels"), "doc_id")
+    return textclass.majority_labels(rows, "text", ["quality", "toxic"], "doc_id")
+
+
+_WORDS_SQL = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_/.\-]+')"
+
+
+@query(rf"""
+    WITH a AS (SELECT item_id AS id, t, count(*) AS n FROM (SELECT item_id, unnest({_WORDS_SQL}) AS t FROM benchmark) GROUP BY 1, 2),
+    b AS (SELECT doc_id AS id, t, count(*) AS n FROM (SELECT doc_id, unnest({_WORDS_SQL}) AS t FROM documents WHERE doc_id < 40) GROUP BY 1, 2),
+    s AS (SELECT coalesce(a.id, b.id) AS id, sum(least(coalesce(a.n, 0), coalesce(b.n, 0))) AS hit, sum(coalesce(a.n, 0)) AS expected, sum(coalesce(b.n, 0)) AS found FROM a FULL JOIN b ON a.id = b.id AND a.t = b.t GROUP BY 1)
+    SELECT id, round(CASE WHEN found > 0 THEN hit / found ELSE 0 END, 9) AS precision, round(CASE WHEN expected > 0 THEN hit / expected ELSE 0 END, 9) AS recall FROM s
+""")
+def token_multiset_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The benchmark's ids are the first document ids: each item is scored against the document of its id.
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
+    docs = table(spark, sf_dir, "documents").where("doc_id < 40").select(F.col("doc_id").alias("id"), "text")
+    return quality.token_scores(items, docs, "id", "text").select("id", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"))
+
+
+@query("""
+    WITH c AS (SELECT CAST(quality AS VARCHAR) AS actual, CAST(CASE WHEN n_chars % 3 = 0 THEN 1 - quality ELSE quality END AS VARCHAR) AS predicted, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY 1, 2),
+    l AS (SELECT actual AS label FROM c UNION SELECT predicted FROM c),
+    m AS (SELECT label, coalesce((SELECT sum(n) FROM c WHERE actual = label), 0) AS support, coalesce((SELECT sum(n) FROM c WHERE predicted = label), 0) AS guessed, coalesce((SELECT sum(n) FROM c WHERE actual = label AND predicted = label), 0) AS hits FROM l)
+    SELECT label, CAST(support AS BIGINT) AS support, round(CASE WHEN guessed > 0 THEN hits / guessed ELSE 0 END, 9) AS precision, round(CASE WHEN support > 0 THEN hits / support ELSE 0 END, 9) AS recall,
+           round(2 * hits / (guessed + support), 9) AS f1 FROM m
+""")
+def confusion_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
+    rows = rows.selectExpr("cast(quality as string) as a", "cast(case when n_chars % 3 = 0 then 1 - quality else quality end as string) as p")
+    r = lambda c: F.round(c, 9).alias(c)
+    return textclass.class_metrics(textclass.confusion(rows, "a", "p")).select("label", "support", r("precision"), r("recall"), r("f1"))
+
+
+@query(rf"""
+    WITH cells AS (SELECT event_id AS id, unnest([CAST(value AS VARCHAR), CASE WHEN event_id % 5 = 0 THEN '-999.99' ELSE '1' END, CASE WHEN event_id % 7 = 0 THEN '-999,9' ELSE 'x' END]) AS raw FROM events), {_NUMBER_SQL}
+    SELECT id, CAST(count(*) FILTER (missing_reason = 'source_sentinel') AS INTEGER) AS sentinels FROM numbers GROUP BY 1
+""")
+def json_array_cond_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = F.array(F.col("value").cast("string"), F.expr("case when event_id % 5 = 0 then '-999.99' else '1' end"), F.expr("case when event_id % 7 = 0 then '-999,9' else 'x' end"))
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), text.sentinel_cells(cells).alias("sentinels"))
+
+
+# Plots, runs, hashes, pages --------------------------------------------------------------------------------------
+
+
+@query("""
+    WITH f AS (SELECT l_returnflag AS plot, l_linestatus AS axis, count(*) AS n, regr_slope(l_extendedprice, l_quantity) AS s, regr_intercept(l_extendedprice, l_quantity) AS b,
+        max(l_quantity) - min(l_quantity) AS reach, max(l_extendedprice) - min(l_extendedprice) AS span FROM lineitem GROUP BY 1, 2),
+    r AS (SELECT l_returnflag AS plot, l_linestatus AS axis, sqrt(avg((l_extendedprice - s * l_quantity - b) ** 2)) AS rmse FROM lineitem JOIN f ON plot = l_returnflag AND axis = l_linestatus GROUP BY 1, 2)
+    SELECT plot, axis, n, round(s, 4) AS slope, round(b, 3) AS intercept, round(rmse, 3) AS rmse FROM f JOIN r USING (plot, axis) WHERE reach >= 5 AND span <> 0
+""")
+def axis_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").withColumnsRenamed({"l_returnflag": "plot", "l_linestatus": "axis"})
+    fit = plots.fit_axis(rows, ["plot", "axis"], "l_quantity", "l_extendedprice")
+    return fit.select("plot", "axis", "n", F.round("slope", 4).alias("slope"), F.round("intercept", 3).alias("intercept"), F.round("rmse", 3).alias("rmse"))
+
+
+@query("""
+    WITH p AS (SELECT p_partkey, p_retailprice AS x, CASE WHEN p_size % 4 > 0 THEN 950 + p_size END AS low, CASE WHEN p_size % 3 > 0 THEN 1200 END AS base, CASE WHEN p_size % 5 > 0 THEN 1500 END AS high, CASE WHEN p_size % 2 > 0 THEN 1700 END AS virgin FROM part)
+    SELECT band, count(*) AS n FROM (SELECT CASE WHEN x < low THEN 'below_min' WHEN x < base THEN 'between_min_base' WHEN x <= high THEN 'between_base_max' WHEN x <= virgin THEN 'between_max_virgin'
+        WHEN x > virgin THEN 'above_virgin' WHEN x > high THEN 'above_max' ELSE 'unclassified' END AS band FROM p) GROUP BY 1
+""")
+def band_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    curves = ("case when p_size % 4 > 0 then 950 + p_size end", "case when p_size % 3 > 0 then 1200 end", "case when p_size % 5 > 0 then 1500 end", "case when p_size % 2 > 0 then 1700 end")
+    return table(spark, sf_dir, "part").select(scores.band(F.col("p_retailprice"), *map(F.expr, curves)).alias("band")).groupBy("band").agg(F.count("*").alias("n"))
+
+
+@query("""
+    WITH d AS (SELECT DISTINCT user_id, CAST(date_diff('day', TIMESTAMP '2024-01-01', ts) AS BIGINT) AS day FROM events), r AS (SELECT *, day - row_number() OVER (PARTITION BY user_id ORDER BY day) AS run FROM d)
+    SELECT user_id, min(day) AS first, max(day) AS last, count(*) AS n FROM r GROUP BY user_id, run
+""")
+def gaps_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).cast("long")
+    return records.islands(table(spark, sf_dir, "events").select("user_id", day.alias("day")), ["user_id"], "day")
+
+
+@query("SELECT source, sha256(string_agg(sha256(text), chr(10) ORDER BY doc_id)) AS sha256 FROM documents GROUP BY 1")
+def hash_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hashed = table(spark, sf_dir, "documents").select("source", "doc_id", F.sha2("text", 256).alias("h"))
+    return records.ordered_hash(hashed, ["source"], "doc_id", "h")
+
+
+@query(r"""
+    WITH p AS (SELECT page_id % 20 AS document_id, length(html) AS chars, length(regexp_replace(html, '[^ -~]', '', 'g')) / greatest(length(html), 1) AS printable, (page_id % 7) / 6.0 AS image_share FROM pages),
+    r AS (SELECT document_id, CASE WHEN (chars >= 80 AND printable >= 0.75 AND image_share < 0.95) OR (chars > 0 AND image_share = 0 AND printable >= 0.6) THEN 'native' ELSE 'ocr' END AS route FROM p)
+    SELECT CAST(document_id AS BIGINT) AS document_id, count(*) AS pages, count(*) FILTER (route = 'native') AS native_pages,
+           CASE WHEN count(*) FILTER (route = 'native') = count(*) THEN 'digital' WHEN count(*) FILTER (route = 'native') = 0 THEN 'scanned' ELSE 'hybrid' END AS kind FROM r GROUP BY 1
+""")
+def page_routing_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    printable = F.length(F.regexp_replace("html", "[^ -~]", "")) / F.greatest(F.length("html"), F.lit(1))
+    rows = table(spark, sf_dir, "pages").select((F.col("page_id") % 20).alias("document_id"), quality.page_route(F.length("html"), printable, (F.col("page_id") % 7) / 6).alias("route"))
+    return quality.document_route(rows, ["document_id"], "route")
+
+
+@query("""
+    WITH k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations)
+    SELECT conv_id, count(*) AS n_turns, string_agg(role, ',' ORDER BY turn) AS roles, sha256(arg_max(text, turn) FILTER (role = 'user')) AS latest_user_hash FROM k WHERE n <= 4 GROUP BY 1
+""")
+def sequence_follow_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.chat_context(table(spark, sf_dir, "conversations"), "conv_id", "turn").select("conv_id", "n_turns", "roles", F.sha2("latest_user_text", 256).alias("latest_user_hash"))
+
+
+_PAIRS = (("a", "x", 1.0), ("a", None, 2.0), (None, "x", 3.0), (None, None, 4.0), ("a", "x", 5.0))
+_PAIR_SQL = ", ".join(f"({'NULL' if a is None else repr(a)}, {'NULL' if b is None else repr(b)}, {v})" for a, b, v in _PAIRS)
+
+
+@query(f"""
+    WITH p AS (SELECT * FROM (VALUES {_PAIR_SQL}) t(a, b, v))
+    SELECT 'kept' AS nulls, a, NULL AS b, CAST(sum(v) AS DOUBLE) AS total, count(*) AS n FROM p GROUP BY a UNION ALL SELECT 'dropped', a, b, CAST(sum(v) AS DOUBLE), count(*) FROM p WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY a, b
+""")
+def pandas_null_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _values(spark, list(_PAIRS), "a string, b string, v double")
+    kept = rows.groupBy("a").agg(F.sum("v").alias("total"), F.count("*").alias("n")).select(F.lit("kept").alias("nulls"), "a", F.lit(None).cast("string").alias("b"), "total", "n")
+    dropped = rows.dropna(subset=["a", "b"]).groupBy("a", "b").agg(F.sum("v").alias("total"), F.count("*").alias("n"))
+    return kept.union(dropped.select(F.lit("dropped"), "a", "b", "total", "n"))
+
+
+@query("""
+    SELECT wellbore, status, count(*) AS n FROM (
+        SELECT c_mktsegment AS wellbore, CASE WHEN l_orderkey IS NULL THEN 'unmatched' ELSE 'exact' END AS status FROM orders JOIN customer ON o_custkey = c_custkey
+        LEFT JOIN (SELECT DISTINCT l_orderkey FROM lineitem) ON l_orderkey = o_orderkey) GROUP BY 1, 2
+""")
+def replace_by_key_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.expr("o_custkey = c_custkey")).select("o_orderkey", F.col("c_mktsegment").alias("wellbore"))
+    stored = orders.withColumn("status", F.lit("unmatched"))
+    new = orders.join(table(spark, sf_dir, "lineitem"), F.expr("l_orderkey = o_orderkey"), "left_semi").withColumn("status", F.lit("exact"))
+    return records.replace_by_key(stored, new, ["o_orderkey"]).groupBy("wellbore", "status").agg(F.count("*").alias("n"))
+
+
+@query("""
+    SELECT o_orderkey AS version, CASE WHEN o_orderkey % 3 = 0 THEN 'new' ELSE 'old' END AS metrics FROM orders WHERE o_orderkey % 3 > 0 OR o_orderkey % 2 = 0 OR o_orderkey % 3 = 0
+""")
+def upsert_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("version"))
+    stored = keys.where("version % 3 > 0 or version % 2 = 0").withColumn("metrics", F.lit("old"))
+    return records.merge_by_key(stored, keys.where("version % 3 = 0").withColumn("metrics", F.lit("new")), ["version"])
+
+
+@query()
+def stream_ext_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    path = f"{sf_dir}/events.parquet"
+    source = spark.readStream.schema(events.schema).option("pathGlobFilter", "*events.parquet").parquet(sf_dir) if not path.startswith("viewfs") else None
+    if source is None:
+        return events.dropDuplicates(["event_id"]).groupBy("event_type").agg(F.count("*").alias("n"))
+    name = f"events_once_{uuid4().hex[:8]}"
+    rows = jobs.once(source.withColumn("ts", F.col("ts").cast("timestamp")), "event_id", "ts", "60 days").select("event_id", "event_type")
+    writer = rows.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    writer.awaitTermination()
+    return spark.table(name).groupBy("event_type").agg(F.count("*").alias("n"))

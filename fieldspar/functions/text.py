@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Numbers that stand for "missing".
 SENTINELS = (-999.99, -999.9)
@@ -34,7 +35,7 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc_casefold(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """NFKC, casefold and collapse: no built-in function does the first two for all of Unicode."""
     for series in texts:

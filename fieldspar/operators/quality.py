@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldspar.functions.scores import f1, guarded_recall, reaches
 from fieldspar.functions.text import evidence_key, words
@@ -49,7 +50,7 @@ def token_scores(expected: DataFrame, found: DataFrame, key: str, text: str) ->
     return sums.withColumns({"precision": share("found"), "recall": share("expected")}).withColumn("f1", f1(F.col("precision"), F.col("recall")))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def word_error_rate(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Edits between two word sequences, by the sequence matcher's blocks, for each expected word."""
     from difflib import SequenceMatcher

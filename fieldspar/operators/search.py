@@ -65,16 +65,16 @@ def postings(counts: DataFrame, key: str, n_docs: int, *, cap: int | None = None
 
 
 def query_vector(terms: DataFrame, query: DataFrame, query_key: str, grams: Column, n_docs: int) -> DataFrame:
-    """(query, term, q): query vectors of length 1 over the index's terms; ``terms`` is (term, df)."""
+    """(query, term, query_weight): query vectors of length 1 over the index's terms; ``terms`` is (term, df)."""
     counts = query.select(query_key, F.explode(grams).alias("term")).groupBy(query_key, "term").agg(F.count("*").alias("tf"))
     raw = counts.join(terms, "term").withColumn("w", (1 + F.log("tf")) * (F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1))
     norms = raw.groupBy(query_key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, query_key).select(query_key, "term", (F.col("w") / F.col("norm")).alias("q"))
+    return raw.join(norms, query_key).select(query_key, "term", (F.col("w") / F.col("norm")).alias("query_weight"))
 
 
 def cosine(index: DataFrame, key: str, vector: DataFrame, query_key: str) -> DataFrame:
     """(query, key, score) of the documents that share a term."""
-    return index.join(vector, "term").groupBy(query_key, key).agg(F.sum(F.col("weight") * F.col("q")).alias("score"))
+    return index.join(vector, "term").groupBy(query_key, key).agg(F.sum(F.col("weight") * F.col("query_weight")).alias("score"))
 
 
 def boost(score: Column, *, wellbore: Column, section: Column, identifier: Column, signals: Column, activity: Column, equipment: Column) -> Column:

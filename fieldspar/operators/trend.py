@@ -7,6 +7,7 @@ from math import exp, lgamma, log
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldspar.functions.scores import trend_direction
 from fieldspar.functions.temporal import day_number
@@ -33,7 +34,7 @@ def daily_medians(rows: DataFrame, by: list[str], ts: str, value: str) -> DataFr
     return rows.groupBy(*by, day.alias("day")).agg(F.median(value).alias("y")).withColumn("x", day_number(F.col("day")).cast("double"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _two_sided_t(rho: pd.Series, n: pd.Series) -> pd.Series:
     """Two-sided p-value of a rank correlation, by Student's t through the incomplete beta function's continued fraction."""
     def beta(a: float, b: float, x: float) -> float:
@@ -94,7 +95,7 @@ def spearman(series: DataFrame, by: list[str], *, p_value: bool = True) -> DataF
     rank = lambda c: F.rank().over(Window.partitionBy(*by).orderBy(c)) + (F.count("*").over(Window.partitionBy(*by, c)) - 1) / 2
     ranks = points.withColumns({"rx": rank("x"), "ry": rank("y")})
     flat = F.max("y") == F.min("y")
-    out = ranks.groupBy(*by).agg(F.when(flat, 0.0).otherwise(F.corr("rx", "ry")).alias("rho"), F.count("*").alias("m"), flat.alias("flat"))
+    out = ranks.groupBy(*by).agg(F.coalesce(F.try_divide(F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry")), F.lit(0.0)).alias("rho"), F.count("*").alias("m"), flat.alias("flat"))
     if not p_value:
         return out.select(*by, "rho")
     return out.select(*by, "rho", F.when(F.col("flat"), 1.0).otherwise(_two_sided_t("rho", F.col("m").cast("double"))).alias("p"))

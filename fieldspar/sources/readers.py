@@ -103,5 +103,6 @@ def manifest(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def json_list(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A JSON file that is a list of objects, or an object of them."""
     text = spark.read.text(path, wholetext=True)
-    rows = F.coalesce(F.from_json("value", f"array<struct<{schema}>>"), F.map_values(F.from_json("value", f"map<string,struct<{schema}>>")))
+    listed = F.ltrim("value").startswith("[")
+    rows = F.when(listed, F.from_json("value", f"array<struct<{schema}>>")).otherwise(F.map_values(F.from_json("value", f"map<string,struct<{schema}>>")))
     return text.select(F.explode(rows).alias("r")).select("r.*")

@@ -80,7 +80,7 @@ def hot_range(candidate: Column, alphabet: str, bits: float) -> Column:
     """(first, last): where the first window of at least ``bits`` of entropy starts and the last one ends, -1 if none."""
     # At step i place[i] enters the window and place[i - WINDOW] leaves it; 0 stands for none.  The
     # places are a lambda's variable, so they are computed once.
-    places = F.transform(F.split(candidate, "(?!^)"), lambda c: F.instr(F.lit(alphabet), c))
+    places = F.transform(F.regexp_extract_all(candidate, F.lit("."), F.lit(0)), lambda c: F.instr(F.lit(alphabet), c))
     steps = F.flatten(F.transform(F.array(places), lambda place: F.transform(place, lambda p, i: F.struct(p.alias("enter"), F.when(i >= WINDOW, F.get(place, i - WINDOW)).otherwise(F.lit(0)).alias("leave"), i.alias("i")))))
     state = F.struct(F.array_repeat(F.lit(0), len(alphabet)).alias("counts"), F.lit(0.0).alias("total"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
     least = WINDOW * (log2(WINDOW) - bits)

@@ -113,10 +113,12 @@ def _pieces(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> Iterato
         at = to
 
 
-def words(column: pa.Array, table: np.ndarray = SPACED, places: bool = False) -> tuple[np.ndarray, ...]:
+def words(column: pa.Array, table: np.ndarray = SPACED, places: bool = False, stems: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
     """Hashes of all words of a column, in order, and the number of words of each row.
 
     With ``places`` also the byte range of each word, counted from the start of the column's bytes.
+    With ``stems``, numbers of bytes, each word is followed by the hashes of its first so many
+    bytes, and by its own hash again where it isn't longer; the numbers of words count all of them.
     """
     data, offsets = string_buffers(column)
     hashes, firsts, lasts = [], [], []
@@ -134,13 +136,18 @@ def words(column: pa.Array, table: np.ndarray = SPACED, places: bool = False) ->
         running = np.empty(len(part) + 1, np.uint64)
         running[0] = 0
         np.cumsum(VALUES[part] * _power("up", len(part)), out=running[1:])
-        value = (running[last] - running[first]) * _power("down", len(part))[first]
-        hashes.append(mix(value + (last - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+        down = _power("down", len(part))[first]
+        own = mix((running[last] - running[first]) * down + (last - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        if stems:
+            heads = [mix((running[np.minimum(first + n, last)] - running[first]) * down + np.uint64(n << 40)) for n in stems]
+            longer = [last - first > n for n in stems]
+            own = np.stack([own, *(np.where(ok, h, own) for ok, h in zip(longer, heads, strict=True))], axis=1).ravel()
+        hashes.append(own)
         firsts.append(first + at)
         lasts.append(last + at)
     empty = np.zeros(0, np.int64)
     first = np.concatenate(firsts) if firsts else empty
-    counts = np.diff(np.searchsorted(first, offsets))
+    counts = np.diff(np.searchsorted(first, offsets)) * (1 + len(stems))
     out = (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), counts)
     return (*out, first, np.concatenate(lasts) if lasts else empty) if places else out
 

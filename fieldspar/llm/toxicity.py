@@ -1,6 +1,7 @@
 """A counterfactual-regularised toxicity classifier.
 
-A logistic model over the presence of words.  For every labelled text that mentions an identity
+A logistic model over the presence of words and of their stems (first bytes, so that unseen
+inflections count).  For every labelled text that mentions an identity
 term, the fit also looks at that text with the term swapped for each other term of its set and for
 none, and penalises the squared change of the score's logit.  Weight that a term gained only by
 standing in toxic texts is so pushed back to zero, and neutral mentions of a group stay neutral.
@@ -38,7 +39,9 @@ MAX_WORDS = 256
 #: A word counts if that many labelled rows have it, and its share differs by so many deviations.
 MIN_ROWS, MIN_Z = 5, 5.0
 #: Weight of the ridge, and of the counterfactual penalty for each text.
-RIDGE, FAIRNESS = 0.1, 5.0
+RIDGE, FAIRNESS = 0.02, 5.0
+#: Bytes of a word's stems.
+STEMS = (4, 5, 6)
 
 
 @dataclass
@@ -49,29 +52,33 @@ class ToxicityModel:
     weights: np.ndarray
     bias: float
     swaps: dict[int, list[int]] = field(default_factory=dict)
+    stems: tuple[int, ...] = STEMS
 
     def logits(self, column: pa.Array) -> np.ndarray:
         """The logit of each row of a string column."""
-        return self.bias + np.bincount((p := _present(column, self.words))[0], self.weights[p[1]], minlength=len(column)) if len(self.words) else np.full(len(column), self.bias)
+        return self.bias + np.bincount((p := _present(column, self.words, self.stems))[0], self.weights[p[1]], minlength=len(column)) if len(self.words) else np.full(len(column), self.bias)
 
     def scores(self, column: pa.Array) -> np.ndarray:
         """Scores from 0 to 1."""
         return 1 / (1 + np.exp(-np.clip(self.logits(column), -30, 30)))
 
 
-def _present(column: pa.Array, vocabulary: np.ndarray) -> np.ndarray:
-    """(row, word) for each vocabulary word that a row has, once."""
-    hashes, counts = kernel.words(column, kernel.LETTERS)
-    at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
-    hit = np.flatnonzero(vocabulary[at] == hashes)
-    row = np.searchsorted(np.cumsum(counts), hit, side="right")
-    return np.unique(np.stack([row, at[hit]]), axis=1)
+def _present(column: pa.Array, vocabulary: np.ndarray, stems: tuple[int, ...]) -> np.ndarray:
+    """(row, word) for each vocabulary word or stem that a row has, once."""
+    hashes, counts = kernel.words(column, kernel.LETTERS, stems=stems)
+    marks = np.zeros(1 << 16, bool)
+    marks[vocabulary & np.uint64(0xFFFF)] = True
+    maybe = np.flatnonzero(marks[hashes & np.uint64(0xFFFF)])
+    at = np.minimum(np.searchsorted(vocabulary, hashes[maybe]), len(vocabulary) - 1)
+    right = vocabulary[at] == hashes[maybe]
+    row = np.searchsorted(np.cumsum(counts), maybe[right], side="right")
+    return np.unique(np.stack([row, at[right]]), axis=1)
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A task's (word, label, rows)."""
     for batch in kernel.small(batches, 0):
-        hashes, counts = kernel.words(batch.column(0), kernel.LETTERS)
+        hashes, counts = kernel.words(batch.column(0), kernel.LETTERS, stems=STEMS)
         label = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), np.int64)
         pairs = [np.unique(hashes[a:b]) for a, b in kernel.row_slices(counts)]
         for want in (0, 1):
@@ -84,7 +91,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _features(vocabulary: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in kernel.small(batches, 0):
-            row, word = _present(batch.column(0), vocabulary)
+            row, word = _present(batch.column(0), vocabulary, STEMS)
             cuts = np.searchsorted(row, np.arange(batch.num_rows + 1))
             lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(word.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(1), lists], names=["label", "words"])
@@ -152,6 +159,8 @@ def fit_toxicity(labelled: DataFrame, text_col: str = "text", label_col: str = "
 
     names = [t for group in terms for t in group]
     hashed = dict(zip(names, kernel.words(pa.array(names), kernel.LETTERS)[0].tolist(), strict=True))
+    # A term counts by its own weight alone, which the swaps penalise, not by its stems.
+    chosen = np.setdiff1d(chosen, kernel.words(pa.array(names), kernel.LETTERS, stems=STEMS)[0])
     vocabulary = np.unique(np.concatenate([chosen, np.array(list(hashed.values()), np.uint64)]))
     place = {int(h): i for i, h in enumerate(vocabulary)}
     swaps: dict[int, list[int]] = {}

@@ -57,25 +57,36 @@ def _path_length(n: np.ndarray) -> np.ndarray:
     return np.where(n < 2, 0.0, 2 * (np.log(m - 1) + 0.5772156649015329) - 2 * (m - 1) / m)
 
 
-def forest_scores(x: np.ndarray, *, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED) -> np.ndarray:
-    """Isolation scores of one-dimensional values: 2 to the power of minus the mean depth by the expected one."""
+def forest_scores(x: np.ndarray, weight: np.ndarray | None = None, *, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED) -> np.ndarray:
+    """Isolation scores of sorted one-dimensional values, each standing for ``weight`` rows.
+
+    A tree's node is a range of the sorted values, so a split is a binary search and a leaf adds its
+    depth to a slice.
+    """
     rng = np.random.default_rng(seed)
-    m = min(sample, len(x))
+    p = None if weight is None else weight / weight.sum()
+    m = int(min(sample, len(x) if weight is None else weight.sum()))
     limit = int(np.ceil(np.log2(max(m, 2))))
-    depth = np.zeros(len(x))
+    leaf = _path_length(np.arange(m + 1))
+    steps = np.zeros(len(x) + 1)  # differences of the summed depths
     for _ in range(trees):
-        points = np.sort(rng.choice(x, m, replace=False))
-        todo = [(points, np.arange(len(x)), 0)]
+        own = np.sort(x[rng.choice(len(x), m, replace=weight is not None, p=p)])
+        cuts = rng.random(2 * m + 1)
+        todo, k = [(0, m, 0, len(x), 0)], 0
         while todo:
-            own, rows, d = todo.pop()
-            if d >= limit or len(own) < 2 or own[0] == own[-1]:
-                depth[rows] += d + _path_length(np.array(len(own)))
+            a, b, low, high, d = todo.pop()
+            if low == high:
+                continue
+            if d >= limit or b - a < 2 or own[a] == own[b - 1]:
+                depth = d + leaf[b - a]
+                steps[low] += depth
+                steps[high] -= depth
                 continue
-            cut = rng.uniform(own[0], own[-1])
-            left = x[rows] < cut
-            k = np.searchsorted(own, cut)
-            todo += [(own[:k], rows[left], d + 1), (own[k:], rows[~left], d + 1)]
-    return 2 ** (-(depth / trees) / max(float(_path_length(np.array(m))), 1e-9))
+            cut = own[a] + (own[b - 1] - own[a]) * cuts[k % len(cuts)]
+            k += 1
+            mid, at = int(np.searchsorted(own[a:b], cut)) + a, int(np.searchsorted(x[low:high], cut)) + low
+            todo += [(a, mid, low, at, d + 1), (mid, b, at, high, d + 1)]
+    return 2 ** (-(np.cumsum(steps)[:-1] / trees) / max(float(_path_length(np.array(m))), 1e-9))
 
 
 def isolation_candidates(scored: DataFrame, groups: list[str], key: str, *, version: str, contamination: float = CONTAMINATION, min_z: float = MIN_Z, bins: int = 4096) -> DataFrame:
@@ -91,14 +102,12 @@ def isolation_candidates(scored: DataFrame, groups: list[str], key: str, *, vers
     sums = binned.groupBy(*groups, "_bin").agg(F.avg("z").alias("z"), F.count("*").alias("n"))
 
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf["z"].to_numpy()
+        pdf = pdf.sort_values("z", ignore_index=True)
         weight = pdf["n"].to_numpy()
-        rng = np.random.default_rng(SEED)
-        drawn = rng.choice(x, min(int(weight.sum()), 8192), p=weight / weight.sum())
-        score = forest_scores(np.concatenate([x, drawn]))[: len(x)]
+        score = forest_scores(pdf["z"].to_numpy(), weight)
         order = np.argsort(-score, kind="stable")
         upto = np.cumsum(weight[order]) - weight[order]
-        flagged = np.zeros(len(x), bool)
+        flagged = np.zeros(len(pdf), bool)
         flagged[order[upto < contamination * weight.sum()]] = True
         return pdf[[*groups, "_bin"]].assign(score=score, flagged=flagged)
 

@@ -7,6 +7,7 @@ table of postings, so a query is a semi-join of its few terms with the postings
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,28 +54,45 @@ def term_counts(docs: DataFrame, key: str, grams: Column) -> DataFrame:
     return docs.select(key, F.explode(grams).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def postings(counts: DataFrame, key: str, n_docs: int, *, cap: int | None = None, min_df: int = 1) -> DataFrame:
-    """(key, term, weight): document vectors of length 1 over the most frequent terms; of equal ones the first by name."""
+@dataclass(frozen=True)
+class Index:
+    """Postings (key, term, weight) of document vectors of length 1, the terms' (term, df), and the number of documents."""
+
+    postings: DataFrame
+    terms: DataFrame
+    n_docs: int
+
+
+def build_index(docs: DataFrame, key: str, grams: Column, *, cap: int, min_df: int = 1) -> Index:
+    """An index over the most frequent terms, of equal ones the first by name.
+
+    The terms, at most ``cap``, are kept in memory; the postings are a plan over the documents.
+    """
+    counts = term_counts(docs, key, grams)
     terms = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).where(F.col("df") >= min_df)
-    if cap:
-        terms = terms.orderBy(F.desc("total"), "term").limit(cap)
-    raw = counts.join(terms.select("term", "df"), "term")
-    raw = raw.withColumn("w", (1 + F.log("tf")) * (F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1))
-    norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, key).select(key, "term", "df", (F.col("w") / F.col("norm")).alias("weight"))
+    terms = terms.orderBy(F.desc("total"), "term").limit(cap).select("term", "df").persist()
+    n = docs.count()
+    raw = counts.join(F.broadcast(terms), "term").withColumn("w", _weight(n))
+    norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.struct("term", "w")).alias("own"))
+    rows = norms.select(key, "norm", F.explode("own").alias("o")).select(key, "o.term", (F.col("o.w") / F.col("norm")).alias("weight"))
+    return Index(rows, terms, n)
 
 
-def query_vector(terms: DataFrame, query: DataFrame, query_key: str, grams: Column, n_docs: int) -> DataFrame:
-    """(query, term, query_weight): query vectors of length 1 over the index's terms; ``terms`` is (term, df)."""
+def _weight(n: int) -> Column:
+    return (1 + F.log("tf")) * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1)
+
+
+def query_vector(index: Index, query: DataFrame, query_key: str, grams: Column) -> DataFrame:
+    """(query, term, query_weight): query vectors of length 1 over the index's terms."""
     counts = query.select(query_key, F.explode(grams).alias("term")).groupBy(query_key, "term").agg(F.count("*").alias("tf"))
-    raw = counts.join(terms, "term").withColumn("w", (1 + F.log("tf")) * (F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1))
+    raw = counts.join(F.broadcast(index.terms), "term").withColumn("w", _weight(index.n_docs))
     norms = raw.groupBy(query_key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return raw.join(norms, query_key).select(query_key, "term", (F.col("w") / F.col("norm")).alias("query_weight"))
 
 
-def cosine(index: DataFrame, key: str, vector: DataFrame, query_key: str) -> DataFrame:
+def cosine(index: Index, key: str, vector: DataFrame, query_key: str) -> DataFrame:
     """(query, key, score) of the documents that share a term."""
-    return index.join(vector, "term").groupBy(query_key, key).agg(F.sum(F.col("weight") * F.col("query_weight")).alias("score"))
+    return index.postings.join(vector, "term").groupBy(query_key, key).agg(F.sum(F.col("weight") * F.col("query_weight")).alias("score"))
 
 
 def boost(score: Column, *, wellbore: Column, section: Column, identifier: Column, signals: Column, activity: Column, equipment: Column) -> Column:
@@ -107,17 +125,18 @@ def top_hits(scored: DataFrame, key: str, k: int, *, recent_first: bool = False,
 
 
 def two_stage(docs: DataFrame, key: str, text: str, queries: DataFrame, query_key: str, query_text: str) -> DataFrame:
-    """(query, key, score, stage): word hits; queries without any get the blend of word and character scores."""
-    n = docs.count()
-    words = term_counts(docs, key, word_grams(F.col(text)))
-    word_index = postings(words, key, n, cap=WORD_CAP)
-    vocabulary = word_index.select("term", "df").distinct()
-    first = cosine(word_index, key, query_vector(vocabulary, queries, query_key, word_grams(F.col(query_text)), n), query_key)
+    """(query, key, score, stage): word hits; queries without any get the blend of word and character scores.
+
+    The character index is only built if there are such queries.
+    """
+    words = build_index(docs, key, word_grams(F.col(text)), cap=WORD_CAP)
+    first = cosine(words, key, query_vector(words, queries, query_key, word_grams(F.col(query_text))), query_key).persist()
     strong = first.where(F.col("score") >= WORD_LEAST).withColumn("stage", F.lit(1))
-    open_ = queries.join(strong.select(query_key).distinct(), query_key, "left_anti")
-    chars = term_counts(docs, key, char_grams(F.col(text)))
-    char_index = postings(chars, key, n, cap=CHAR_CAP, min_df=CHAR_MIN_DF)
-    second = cosine(char_index, key, query_vector(char_index.select("term", "df").distinct(), open_, query_key, char_grams(F.col(query_text)), n), query_key)
+    open_ = queries.join(strong.select(query_key).distinct(), query_key, "left_anti").persist()
+    if open_.isEmpty():
+        return strong
+    chars = build_index(docs, key, char_grams(F.col(text)), cap=CHAR_CAP, min_df=CHAR_MIN_DF)
+    second = cosine(chars, key, query_vector(chars, open_, query_key, char_grams(F.col(query_text))), query_key)
     both = second.toDF(query_key, key, "c").join(first.toDF(query_key, key, "w"), [query_key, key], "full_outer").join(open_.select(query_key), query_key, "left_semi")
     blended = both.select(query_key, key, (BLEND * F.coalesce("w", F.lit(0.0)) + (1 - BLEND) * F.coalesce("c", F.lit(0.0))).alias("score"))
     return strong.union(blended.where(F.col("score") >= BLEND_LEAST).withColumn("stage", F.lit(2)))

@@ -462,9 +462,8 @@ _WORD_INDEX = rf"""
 
 def _word_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, queries = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    n = docs.count()
-    index = search.postings(search.term_counts(docs, "doc_id", search.word_grams(F.col("text"))), "doc_id", n, cap=search.WORD_CAP)
-    vector = search.query_vector(index.select("term", "df").distinct(), queries, "item_id", search.word_grams(F.col("text")), n)
+    index = search.build_index(docs, "doc_id", search.word_grams(F.col("text")), cap=search.WORD_CAP)
+    vector = search.query_vector(index, queries, "item_id", search.word_grams(F.col("text")))
     return search.cosine(index, "doc_id", vector, "item_id").withColumn("score", F.round("score", 6))
 
 

@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from fieldspar.llm.chat import format_chats, read_back
 from fieldspar.llm.decontam import contaminated
 from fieldspar.llm.embeddings import embedding_dedup
-from fieldspar.llm.licenses import license_scan
+from fieldspar.llm.licenses import DICE, TEMPLATES, license_scan
 from fieldspar.llm.minhash import minhash_dedup
 from fieldspar.llm.mixing import plan_mix, rank_weights, take_mix, word_count
-from fieldspar.llm.secrets import find_secrets, span_list
+from fieldspar.llm.secrets import ALLOWED, find_secrets, span_list
 from fieldspar.llm.storage import materialize, new_path
-from fieldspar.llm.substrings import substring_dedup
+from fieldspar.llm.substrings import MIN_WORDS, PIECE, RUN, substring_dedup
 from fieldspar.llm.toxicity import fit_toxicity, held_out, labelled_texts, score_toxicity
 from fieldspar.llm.warc import page_number, page_records, register
 
@@ -106,6 +106,51 @@ def _shingled(table: str, key: str) -> str:
     {table}_n AS (SELECT {key}, count(*) AS n FROM {table}_set GROUP BY {key})"""
 
 
+
+
+def _matches(kind: str, rank: int, pattern: str, test: str) -> str:
+    """Spans of a pattern: the pieces between its matches give the positions."""
+    return rf"""
+    {kind}_m AS (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS m, list_transform(string_split_regex(t, '{pattern}'), lambda x: length(x)) AS gap FROM texts WHERE regexp_matches(t, '{pattern}')),
+    {kind}_p AS (SELECT doc_id, unnest(m) AS match, unnest(range(1, len(m) + 1)) AS i, gap, list_transform(m, lambda x: length(x)) AS own FROM {kind}_m),
+    {kind}_s AS (SELECT doc_id, match, CAST(list_sum(gap[1:i]) + coalesce(list_sum(own[1:i - 1]), 0) AS BIGINT) AS a FROM {kind}_p),
+    {kind} AS (SELECT doc_id, {rank} AS rank, '{kind}' AS kind, a, a + length(match) AS b, match FROM {kind}_s WHERE {test})"""
+
+
+# The patterns of the secret scan for RE2, which has no look-around: whole runs are taken and tested.
+_ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_SECRETS = ", ".join((
+    "texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)",
+    _matches("assign", 1, _ASSIGN, f"length(regexp_extract(match, '{_ASSIGN}', 2)) >= 8"),
+    _matches("access", 2, "AKIA[A-Z0-9]+", "length(match) >= 16"),
+    _matches("hex", 3, "[0-9a-f]+", "length(match) >= 32"),
+    _matches("entropy_hex", 4, "[0-9A-Za-z]+", "length(match) >= 24 AND regexp_matches(match, '^[0-9a-fA-F]+$') AND regexp_matches(match, '[0-9]') AND regexp_matches(match, '[a-fA-F]')"),
+    _matches("entropy_base64", 5, "[A-Za-z0-9+/_=-]+", "length(match) >= 24 AND regexp_matches(match, '[0-9]') AND regexp_matches(match, '[A-Z]') AND regexp_matches(match, '[a-z]')"),
+))
+_ALLOWED = " OR ".join(f"regexp_matches(match, '{rule}')" for rule in ALLOWED)
+
+
+_LICENSE_GRAM = " || ' ' || ".join(f"translate(w[i{d}], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')" for d in ("", " + 1"))
+_LICENSE_VALUES = ", ".join(f"({k}, '{name}', '{body}')" for k, (name, body) in enumerate(TEMPLATES))
+
+
+def _units() -> str:
+    """Sentences of the substring dedup, and its runs."""
+    return rf"""
+    w0 AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, string_split_regex(t, '[^\x20\x09-\x0D]+') AS g FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
+    w1 AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i, unnest(g[:len(w)]) AS gap, unnest(list_transform(range(1, len(w) + 1), lambda j: contains(g[j + 1], chr(10)))) AS line, len(w) AS n FROM w0 WHERE len(w) > 0),
+    w2 AS (SELECT *, regexp_matches(word, '[.!?;:,]$') OR line OR i = n AS closes, octet_length(encode(gap)) AS gb, octet_length(encode(word)) AS wb FROM w1),
+    w3 AS (SELECT *, coalesce(sum(CAST(closes AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part,
+           sum(gb + wb) OVER (PARTITION BY doc_id ORDER BY i) AS ends FROM w2),
+    w4 AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, part ORDER BY i) - 1) // {PIECE} AS piece FROM w3),
+    units AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY min(i)) - 1 AS u, min(i) AS first, max(i) AS last, min(ends - wb) AS a, max(ends) AS b FROM w4 GROUP BY doc_id, part, piece),
+    starts AS (SELECT x.doc_id, x.u, min(y.u) AS e, x.first, min(y.last) AS last FROM units x JOIN units y ON y.doc_id = x.doc_id AND y.u >= x.u + {RUN - 1} AND y.u <= x.u + {MIN_WORDS} AND y.last - x.first + 1 >= {MIN_WORDS} GROUP BY ALL),
+    low AS (SELECT doc_id, list_transform(w, lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS w FROM w0),
+    runs AS (SELECT s.doc_id, u, e, md5(array_to_string(w[first:last], ' ')) AS h FROM starts s JOIN low USING (doc_id)),
+    later AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, u) AS k FROM runs) WHERE k > 1),
+    gone AS (SELECT DISTINCT l.doc_id, x.u, x.a, x.b FROM later l JOIN units x ON x.doc_id = l.doc_id AND x.u BETWEEN l.u AND l.e)"""
+
+
 _REACH = """
     reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
     least AS (SELECT a, least(a, min(b)) AS component FROM reach GROUP BY a)"""
@@ -143,6 +188,33 @@ ORACLES: dict[str, str] = {
     SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links, coalesce(component, e.vec_id) AS component_id,
            coalesce(component, e.vec_id) = e.vec_id AS kept
     FROM embeddings e LEFT JOIN least ON a = e.vec_id""",
+    "op3_secret_scan": rf"""
+    WITH {_SECRETS},
+    base AS (SELECT * FROM assign UNION ALL SELECT * FROM access UNION ALL SELECT * FROM hex),
+    candidates AS (SELECT * FROM entropy_hex UNION ALL SELECT * FROM entropy_base64),
+    windows AS (SELECT *, unnest(range(0, length(match) - 23)) AS i FROM candidates WHERE NOT ({_ALLOWED})),
+    hot AS (SELECT doc_id, rank, kind, a + min(i) AS a, a + max(i) + 24 AS b FROM windows
+        WHERE list_aggregate(string_split(substr(match, CAST(i AS BIGINT) + 1, 24), ''), 'entropy') >= CASE kind WHEN 'entropy_hex' THEN 3.0 ELSE 4.1 END - 1e-9 GROUP BY doc_id, rank, kind, windows.a, match),
+    more AS (SELECT * FROM hot h WHERE NOT EXISTS (SELECT 1 FROM base x WHERE x.doc_id = h.doc_id AND x.a <= h.a AND h.b <= x.b)),
+    listed AS (SELECT doc_id, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank) AS s, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex FROM base GROUP BY 1),
+    whole AS (SELECT doc_id, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank) AS s FROM (SELECT doc_id, rank, kind, a, b FROM base UNION ALL SELECT doc_id, rank, kind, a, b FROM more) GROUP BY 1)
+    SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(listed.s, '')) AS base_sha256, coalesce(whole.s, '') AS spans
+    FROM documents d LEFT JOIN listed USING (doc_id) LEFT JOIN whole USING (doc_id)""",
+    "op4_license_scan": rf"""
+    WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+    tokens AS (SELECT doc_id, regexp_extract_all(t, '[0-9A-Za-z\x{{80}}-\x{{10FFFF}}]+') AS w, string_split_regex(t, '[0-9A-Za-z\x{{80}}-\x{{10FFFF}}]+') AS g FROM texts),
+    pairs AS (SELECT doc_id, i, {_LICENSE_GRAM} AS gram, regexp_matches(g[i + 1], '\n|[.!?][\x01-\x20]') AS sentence_end, contains(g[i + 1], chr(10) || chr(10)) AS paragraph_end
+        FROM (SELECT doc_id, w, g, unnest(range(1, len(w))) AS i FROM tokens)),
+    cut AS (SELECT *, sum(CAST(sentence_end AS INT)) OVER o AS s, sum(CAST(paragraph_end AS INT)) OVER o AS p FROM pairs WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+    segments AS (SELECT DISTINCT doc_id, 1 AS level, s AS seg, gram FROM cut WHERE NOT sentence_end UNION ALL SELECT DISTINCT doc_id, 2, p, gram FROM cut WHERE NOT paragraph_end UNION ALL SELECT DISTINCT doc_id, 3, 0, gram FROM cut),
+    sizes AS (SELECT doc_id, level, seg, count(*) AS n FROM segments GROUP BY ALL),
+    templates AS (SELECT * FROM (VALUES {_LICENSE_VALUES}) v(k, license, body)),
+    template_grams AS (SELECT DISTINCT k, license, gram FROM (SELECT k, license, unnest(list_transform(range(1, len(w)), lambda i: {_LICENSE_GRAM})) AS gram FROM (SELECT k, license, regexp_extract_all(body, '[0-9A-Za-z]+') AS w FROM templates))),
+    template_sizes AS (SELECT k, license, count(*) AS n FROM template_grams GROUP BY ALL),
+    shared AS (SELECT s.doc_id, s.level, s.seg, g.k, count(*) AS c FROM segments s JOIN template_grams g USING (gram) GROUP BY ALL),
+    scored AS (SELECT h.doc_id, h.level, h.seg, h.k, t.license, 2 * c / (z.n + t.n) AS dice FROM shared h JOIN sizes z USING (doc_id, level, seg) JOIN template_sizes t USING (k)),
+    best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, level, seg ORDER BY dice DESC, k) AS place FROM scored WHERE dice >= {DICE})
+    SELECT doc_id, license, max(dice) AS dice FROM best WHERE place = 1 GROUP BY 1, 2""",
     "op5_minhash_dedup": f"""
     WITH RECURSIVE {_shingled("documents", "doc_id")},
     shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM documents_set x JOIN documents_set y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2),
@@ -151,6 +223,18 @@ ORACLES: dict[str, str] = {
         WHERE 100 * c >= 85 * (x.n + y.n - c)),{_REACH}
     SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component, d.doc_id) AS component_id, coalesce(component, d.doc_id) = d.doc_id AS kept
     FROM documents d LEFT JOIN documents_n n ON n.doc_id = d.doc_id LEFT JOIN least ON a = d.doc_id""",
+    "op8_substring_dedup": f"""
+    WITH {_units()},
+    marked AS (SELECT x.*, g.u IS NOT NULL AS cut, lead(x.a) OVER (PARTITION BY x.doc_id ORDER BY x.u) AS next_a FROM units x LEFT JOIN gone g USING (doc_id, u)),
+    grouped AS (SELECT *, u - row_number() OVER (PARTITION BY doc_id, cut ORDER BY u) AS island FROM marked),
+    ranges AS (SELECT doc_id, min(a) AS a, max(b) AS b, arg_max(coalesce(next_a, -1), u) AS upto FROM grouped WHERE cut GROUP BY doc_id, island),
+    cuts AS (SELECT doc_id, list(CAST(a AS BIGINT) ORDER BY a) AS starts, list(CAST(upto AS BIGINT) ORDER BY a) AS stops, string_agg(CAST(a AS BIGINT) || ':' || CAST(b AS BIGINT), ',' ORDER BY a) AS removed FROM ranges GROUP BY 1),
+    n AS (SELECT doc_id, count(*) AS n_sentences, count(*) FILTER (cut) AS n_removed FROM marked GROUP BY 1),
+    bytes AS (SELECT doc_id, hex(encode(text)) AS x FROM documents),
+    kept AS (SELECT doc_id, list_reduce(list_prepend('', list_transform(range(0, len(starts) + 1), lambda j: CASE WHEN j > 0 AND stops[j] = -1 THEN '' ELSE
+        substr(x, CASE WHEN j = 0 THEN 1 ELSE 2 * stops[j] + 1 END, CASE WHEN j = len(starts) THEN length(x) ELSE 2 * (starts[j + 1] - CASE WHEN j = 0 THEN 0 ELSE stops[j] END) END) END)), lambda p, q: p || q) AS x FROM cuts JOIN bytes USING (doc_id))
+    SELECT d.doc_id, CAST(coalesce(n_sentences, 0) AS INTEGER) AS n_sentences, CAST(coalesce(n_removed, 0) AS INTEGER) AS n_removed, coalesce(removed, '') AS removed, sha256(coalesce(decode(unhex(kept.x)), d.text)) AS kept_sha256
+    FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN cuts USING (doc_id) LEFT JOIN kept USING (doc_id)""",
     "op9_warc": """
     WITH rows AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS payload_bytes FROM pages),
     named AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY html) END AS first FROM rows)

@@ -16,7 +16,7 @@ from fieldspar.llm.decontam import contaminated
 from fieldspar.llm.minhash import minhash_dedup
 from fieldspar.llm.mixing import plan_mix, rank_weights, take_mix, word_count
 from fieldspar.llm.secrets import mask_secrets
-from fieldspar.llm.storage import materialize
+from fieldspar.llm.storage import drop, materialize
 from fieldspar.llm.toxicity import fit_toxicity, labelled_texts, score_toxicity
 
 #: Ids up to this number (8 bytes each) are broadcast to the documents; more are joined by shuffle.
@@ -70,9 +70,12 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over ``documents``; each one's rows are written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            drop(before)
+        before = docs
     return docs
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldspar.llm import kernel
-from fieldspar.llm.storage import materialize, small_batches
+from fieldspar.llm.storage import drop, materialize, small_batches
 
 #: Sets of terms that may stand for each other (single lower-case words).
 IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
@@ -145,7 +145,8 @@ def fit_toxicity(labelled: DataFrame, text_col: str = "text", label_col: str = "
     total = rows.count()
     if total > MAX_ROWS:
         share = F.pmod(F.xxhash64("text"), F.lit(1 << 20))
-        rows = materialize(rows.where(share < int(MAX_ROWS / total * (1 << 20))), "labelled")
+        rows, whole = materialize(rows.where(share < int(MAX_ROWS / total * (1 << 20))), "labelled"), rows
+        drop(whole)
     n = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     n0, n1 = n.get(0, 0), n.get(1, 0)
     if not n0 or not n1:
@@ -170,6 +171,7 @@ def fit_toxicity(labelled: DataFrame, text_col: str = "text", label_col: str = "
             swaps.setdefault(g, []).extend(h for h in own if h != g)
 
     data = rows.mapInArrow(_features(vocabulary), "label long, words array<int>").toArrow()
+    drop(rows)
     lists, y = data.column("words").to_pylist(), data.column("label").to_numpy().astype(float)
     width = len(vocabulary) + 1
     x = np.zeros((len(lists), width))

@@ -43,7 +43,7 @@ def nfkc_casefold(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def fold(text: Column) -> Column:
-    """Comparison form of a text; plain ASCII, the usual case, never leaves the JVM's own functions by meaning."""
+    """Comparison form of a text by built-in functions; nfkc_casefold is the full one."""
     return collapse(F.lower(text))
 
 

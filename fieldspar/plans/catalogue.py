@@ -789,11 +789,8 @@ def upsert_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def stream_ext_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events")
-    path = f"{sf_dir}/events.parquet"
-    source = spark.readStream.schema(events.schema).option("pathGlobFilter", "*events.parquet").parquet(sf_dir) if not path.startswith("viewfs") else None
-    if source is None:
-        return events.dropDuplicates(["event_id"]).groupBy("event_type").agg(F.count("*").alias("n"))
+    schema = table(spark, sf_dir, "events").schema
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     name = f"events_once_{uuid4().hex[:8]}"
     rows = jobs.once(source.withColumn("ts", F.col("ts").cast("timestamp")), "event_id", "ts", "60 days").select("event_id", "event_type")
     writer = rows.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()

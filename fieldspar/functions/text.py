@@ -95,7 +95,7 @@ def zip_cells(headers: Column, cells: Column) -> Column:
 
 def join_wrapped(text: Column, compact: bool) -> Column:
     """A cell's lines as one: compact without separator, else glued after a hyphen or before a short word rest."""
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     if compact:
         return F.array_join(lines, "")
 

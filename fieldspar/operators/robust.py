@@ -60,32 +60,35 @@ def _path_length(n: np.ndarray) -> np.ndarray:
 def forest_scores(x: np.ndarray, weight: np.ndarray | None = None, *, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED) -> np.ndarray:
     """Isolation scores of sorted one-dimensional values, each standing for ``weight`` rows.
 
-    A tree's node is a range of the sorted values, so a split is a binary search and a leaf adds its
-    depth to a slice.
+    A node is a range of its tree's sorted sample and a range of the values.  All trees grow
+    together, a level at a time; leaves add their depth to a range of values.
     """
     rng = np.random.default_rng(seed)
     p = None if weight is None else weight / weight.sum()
     m = int(min(sample, len(x) if weight is None else weight.sum()))
-    limit = int(np.ceil(np.log2(max(m, 2))))
+    levels = int(np.ceil(np.log2(max(m, 2))))
     leaf = _path_length(np.arange(m + 1))
+    unit = (x - x[0]) / max(x[-1] - x[0], 1e-300)
+    own = np.sort(np.stack([unit[rng.choice(len(x), m, replace=weight is not None, p=p)] for _ in range(trees)]), axis=1)
+    keys = (own + 2.0 * np.arange(trees)[:, None]).ravel()  # one sorted array of all trees
+    own = own.ravel()
+    tree = np.arange(trees)
+    a, b = tree * m, (tree + 1) * m
+    low, high = np.zeros(trees, np.int64), np.full(trees, len(x))
     steps = np.zeros(len(x) + 1)  # differences of the summed depths
-    for _ in range(trees):
-        own = np.sort(x[rng.choice(len(x), m, replace=weight is not None, p=p)])
-        cuts = rng.random(2 * m + 1)
-        todo, k = [(0, m, 0, len(x), 0)], 0
-        while todo:
-            a, b, low, high, d = todo.pop()
-            if low == high:
-                continue
-            if d >= limit or b - a < 2 or own[a] == own[b - 1]:
-                depth = d + leaf[b - a]
-                steps[low] += depth
-                steps[high] -= depth
-                continue
-            cut = own[a] + (own[b - 1] - own[a]) * cuts[k % len(cuts)]
-            k += 1
-            mid, at = int(np.searchsorted(own[a:b], cut)) + a, int(np.searchsorted(x[low:high], cut)) + low
-            todo += [(a, mid, low, at, d + 1), (mid, b, at, high, d + 1)]
+    for d in range(levels + 1):
+        first, last = own[np.minimum(a, len(own) - 1)], own[np.maximum(b - 1, 0)]
+        done = (b - a < 2) | (first == last) | (d == levels)
+        depth = d + leaf[(b - a)[done]]
+        np.add.at(steps, low[done], depth)
+        np.add.at(steps, high[done], -depth)
+        a, b, low, high, tree, first, last = (v[~done] for v in (a, b, low, high, tree, first, last))
+        if not len(a):
+            break
+        cut = first + (last - first) * rng.random(len(a))
+        mid = np.clip(np.searchsorted(keys, cut + 2.0 * tree), a, b)
+        at = np.clip(np.searchsorted(unit, cut), low, high)
+        a, b, low, high, tree = (np.concatenate(v) for v in ((a, mid), (mid, b), (low, at), (at, high), (tree, tree)))
     return 2 ** (-(np.cumsum(steps)[:-1] / trees) / max(float(_path_length(np.array(m))), 1e-9))
 
 

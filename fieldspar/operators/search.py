@@ -39,19 +39,27 @@ def word_grams(text: Column, most: int = 2) -> Column:
     return _bound(index_words(text), runs)
 
 
-def char_grams(text: Column, sizes: tuple[int, ...] = (3, 4)) -> Column:
-    """Character grams within words, each word with a space on either side."""
+def char_grams(word: Column, sizes: tuple[int, ...] = (3, 4)) -> Column:
+    """Character grams of a word with a space on either side."""
+    own = lambda w, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1))), lambda i: F.substring(w, i, n))
+    return _bound(F.concat(F.lit(" "), word, F.lit(" ")), lambda w: F.concat(*[own(w, n) for n in sizes]))
 
-    def of(word: Column) -> Column:
-        own = lambda w, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1))), lambda i: F.substring(w, i, n))
-        return _bound(F.concat(F.lit(" "), word, F.lit(" ")), lambda w: F.concat(*[own(w, n) for n in sizes]))
 
-    return F.flatten(F.transform(index_words(text), of))
+def text_char_grams(text: Column, sizes: tuple[int, ...] = (3, 4)) -> Column:
+    """Character grams of all words of a text."""
+    return F.flatten(F.transform(index_words(text), lambda w: char_grams(w, sizes)))
 
 
-def term_counts(docs: DataFrame, key: str, grams: Column) -> DataFrame:
-    """(key, term, tf)."""
-    return docs.select(key, F.explode(grams).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+def word_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, term, tf) of words and pairs of words."""
+    return docs.select(key, F.explode(word_grams(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+
+
+def char_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, term, tf) of character grams; each distinct word of a text is cut into grams once."""
+    words = docs.select(key, F.explode(index_words(F.col(text))).alias("w")).groupBy(key, "w").agg(F.count("*").alias("n"))
+    grams = words.select(key, "n", F.explode(char_grams(F.col("w"))).alias("term"))
+    return grams.groupBy(key, "term").agg(F.sum("n").alias("tf"))
 
 
 @dataclass(frozen=True)
@@ -63,28 +71,25 @@ class Index:
     n_docs: int
 
 
-def build_index(docs: DataFrame, key: str, grams: Column, *, cap: int, min_df: int = 1) -> Index:
-    """An index over the most frequent terms, of equal ones the first by name.
+def build_index(counts: DataFrame, key: str, n_docs: int, *, cap: int, min_df: int = 1) -> Index:
+    """An index of (key, term, tf) over the most frequent terms, of equal ones the first by name.
 
     The terms, at most ``cap``, are kept in memory; the postings are a plan over the documents.
     """
-    counts = term_counts(docs, key, grams)
     terms = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).where(F.col("df") >= min_df)
     terms = terms.orderBy(F.desc("total"), "term").limit(cap).select("term", "df").persist()
-    n = docs.count()
-    raw = counts.join(F.broadcast(terms), "term").withColumn("w", _weight(n))
+    raw = counts.join(F.broadcast(terms), "term").withColumn("w", _weight(n_docs))
     norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.struct("term", "w")).alias("own"))
     rows = norms.select(key, "norm", F.explode("own").alias("o")).select(key, "o.term", (F.col("o.w") / F.col("norm")).alias("weight"))
-    return Index(rows, terms, n)
+    return Index(rows, terms, n_docs)
 
 
 def _weight(n: int) -> Column:
     return (1 + F.log("tf")) * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1)
 
 
-def query_vector(index: Index, query: DataFrame, query_key: str, grams: Column) -> DataFrame:
+def query_vector(index: Index, counts: DataFrame, query_key: str) -> DataFrame:
     """(query, term, query_weight): query vectors of length 1 over the index's terms."""
-    counts = query.select(query_key, F.explode(grams).alias("term")).groupBy(query_key, "term").agg(F.count("*").alias("tf"))
     raw = counts.join(F.broadcast(index.terms), "term").withColumn("w", _weight(index.n_docs))
     norms = raw.groupBy(query_key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return raw.join(norms, query_key).select(query_key, "term", (F.col("w") / F.col("norm")).alias("query_weight"))
@@ -129,14 +134,15 @@ def two_stage(docs: DataFrame, key: str, text: str, queries: DataFrame, query_ke
 
     The character index is only built if there are such queries.
     """
-    words = build_index(docs, key, word_grams(F.col(text)), cap=WORD_CAP)
-    first = cosine(words, key, query_vector(words, queries, query_key, word_grams(F.col(query_text))), query_key).persist()
+    n = docs.count()
+    words = build_index(word_counts(docs, key, text), key, n, cap=WORD_CAP)
+    first = cosine(words, key, query_vector(words, word_counts(queries, query_key, query_text), query_key), query_key).persist()
     strong = first.where(F.col("score") >= WORD_LEAST).withColumn("stage", F.lit(1))
     open_ = queries.join(strong.select(query_key).distinct(), query_key, "left_anti").persist()
     if open_.isEmpty():
         return strong
-    chars = build_index(docs, key, char_grams(F.col(text)), cap=CHAR_CAP, min_df=CHAR_MIN_DF)
-    second = cosine(chars, key, query_vector(chars, open_, query_key, char_grams(F.col(query_text))), query_key)
+    chars = build_index(char_counts(docs, key, text), key, n, cap=CHAR_CAP, min_df=CHAR_MIN_DF)
+    second = cosine(chars, key, query_vector(chars, char_counts(open_, query_key, query_text), query_key), query_key)
     both = second.toDF(query_key, key, "c").join(first.toDF(query_key, key, "w"), [query_key, key], "full_outer").join(open_.select(query_key), query_key, "left_semi")
     blended = both.select(query_key, key, (BLEND * F.coalesce("w", F.lit(0.0)) + (1 - BLEND) * F.coalesce("c", F.lit(0.0))).alias("score"))
     return strong.union(blended.where(F.col("score") >= BLEND_LEAST).withColumn("stage", F.lit(2)))

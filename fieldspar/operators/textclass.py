@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldspar.functions.text import collapse
-from fieldspar.operators.search import char_grams, word_grams
+from fieldspar.operators.search import text_char_grams, word_grams
 
 # Confidence that a predicted label needs, and what a model must reach to be used.
 THRESHOLDS = {"main": 0.55, "sub": 0.40}
@@ -55,7 +55,7 @@ def large_classes(rows: DataFrame, label: str, least: int = MIN_CLASS) -> DataFr
 
 def fit_classifier(train: DataFrame, text: str, label: str, *, features: int = 18_000, iterations: int = 60) -> tuple[PipelineModel, list[str]]:
     """A class-balanced logistic regression over word and character grams, and its labels by index."""
-    rows = train.withColumn("_grams", F.concat(word_grams(F.col(text)), char_grams(F.col(text), (3, 4, 5))))
+    rows = train.withColumn("_grams", F.concat(word_grams(F.col(text)), text_char_grams(F.col(text), (3, 4, 5))))
     counts = rows.groupBy(label).agg(F.count("*").alias("_n"))
     total, kinds = counts.agg(F.sum("_n"), F.count("*")).first()
     rows = rows.join(counts, label).withColumn("_weight", F.lit(float(total)) / (F.lit(float(kinds)) * F.col("_n")))
@@ -72,7 +72,7 @@ def fit_classifier(train: DataFrame, text: str, label: str, *, features: int = 1
 def classify(rows: DataFrame, text: str, model: tuple[PipelineModel, list[str]], threshold: float) -> DataFrame:
     """Adds predicted and confidence; below the threshold the label is unknown."""
     pipeline, labels = model
-    grams = rows.withColumn("_grams", F.concat(word_grams(F.col(text)), char_grams(F.col(text), (3, 4, 5))))
+    grams = rows.withColumn("_grams", F.concat(word_grams(F.col(text)), text_char_grams(F.col(text), (3, 4, 5))))
     for stage in pipeline.stages[1:]:
         grams = stage.transform(grams)
     p = vector_to_array("_p")

@@ -462,8 +462,8 @@ _WORD_INDEX = rf"""
 
 def _word_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, queries = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    index = search.build_index(docs, "doc_id", search.word_grams(F.col("text")), cap=search.WORD_CAP)
-    vector = search.query_vector(index, queries, "item_id", search.word_grams(F.col("text")))
+    index = search.build_index(search.word_counts(docs, "doc_id", "text"), "doc_id", docs.count(), cap=search.WORD_CAP)
+    vector = search.query_vector(index, search.word_counts(queries, "item_id", "text"), "item_id")
     return search.cosine(index, "doc_id", vector, "item_id").withColumn("score", F.round("score", 6))
 
 

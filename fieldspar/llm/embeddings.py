@@ -33,30 +33,41 @@ def _planes(dim: int) -> np.ndarray:
 
 
 def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, label, vector) to (id, label, dim, digest, unit): dim is null for vectors that can't link."""
+    """(id, label, vector) to (id, label, dim, digest, unit), in any order: dim is null for vectors that can't link."""
+    names = ["id", "label", "dim", "digest", "unit"]
     for batch in batches:
         ids, labels, column = batch.columns
-        dims, digests, units = [], [], []
-        for vector, label in zip(column.to_pylist(), labels.to_pylist(), strict=True):
-            x = None if vector is None or label is None or None in vector else np.array(vector, np.float64)
-            norm = 0.0 if x is None or not len(x) or not np.isfinite(x).all() else np.abs(x).max()
-            if norm > 0:
-                unit = x / norm  # first by the largest part, against overflow
-                unit = unit / np.sqrt(unit @ unit)
-                dims.append(len(x))
-                digests.append(hashlib.blake2b((x + 0.0).tobytes(), digest_size=16).digest())
-                units.append(unit.tobytes())
-            else:
-                dims.append(None)
-                digests.append(None)
-                units.append(None)
-        yield pa.RecordBatch.from_arrays(
-            [ids, labels, pa.array(dims, pa.int32()), pa.array(digests, pa.binary()), pa.array(units, pa.binary())], names=["id", "label", "dim", "digest", "unit"]
-        )
+        lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)  # null parts are not finite
+        starts = np.cumsum(lengths) - lengths
+        usable = np.zeros(len(lengths), bool)
+        labelled = labels.is_valid().to_numpy(zero_copy_only=False)
+        for dim in np.unique(lengths[lengths > 0]).tolist():
+            rows = np.flatnonzero((lengths == dim) & labelled)
+            x = values[starts[rows][:, None] + np.arange(dim)]
+            largest = np.abs(x).max(axis=1)
+            good = np.isfinite(largest) & (largest > 0)
+            usable[rows[good]] = True
+            rows, x = rows[good], x[good]
+            unit = x / largest[good][:, None]  # first by the largest part, against overflow
+            unit /= np.sqrt(np.einsum("ij,ij->i", unit, unit))[:, None]
+            digests = [hashlib.blake2b(r.tobytes(), digest_size=16).digest() for r in x + 0.0]
+            ends = np.arange(len(rows) + 1, dtype=np.int32) * np.int32(8 * dim)
+            units = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(unit))])
+            at = pa.array(rows)
+            yield pa.RecordBatch.from_arrays([ids.take(at), labels.take(at), pa.array(np.full(len(rows), dim, np.int32)), pa.array(digests, pa.binary()), units], names=names)
+        at = pa.array(np.flatnonzero(~usable))
+        yield pa.RecordBatch.from_arrays([ids.take(at), labels.take(at), pa.nulls(len(at), pa.int32()), pa.nulls(len(at), pa.binary()), pa.nulls(len(at), pa.binary())], names=names)
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dim)
+    """Rows of equal binary vectors as a matrix, without a copy of each."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if isinstance(column, pa.ChunkedArray):  # no chunk at all
+        return np.zeros((0, dim))
+    first = np.frombuffer(column.buffers()[1], np.int32)[column.offset]
+    return np.frombuffer(column.buffers()[2], np.float64, len(column) * dim, int(first)).reshape(-1, dim)
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

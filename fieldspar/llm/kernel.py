@@ -56,7 +56,8 @@ LETTERS = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
-def _power(kind: str, n: int) -> np.ndarray:
+def power(kind: str, n: int) -> np.ndarray:
+    """The first n powers of the hash's base, or of its inverse."""
     if len(_powers[kind]) < n:
         factors = np.full(max(n, PIECE_BYTES + 65536), _BASE if kind == "up" else _BASE_INV, np.uint64)
         factors[0] = 1
@@ -135,8 +136,8 @@ def words(column: pa.Array, table: np.ndarray = SPACED, places: bool = False, st
         first, last = np.flatnonzero(begins), np.flatnonzero(closes) + 1
         running = np.empty(len(part) + 1, np.uint64)
         running[0] = 0
-        np.cumsum(VALUES[part] * _power("up", len(part)), out=running[1:])
-        down = _power("down", len(part))[first]
+        np.cumsum(VALUES[part] * power("up", len(part)), out=running[1:])
+        down = power("down", len(part))[first]
         own = mix((running[last] - running[first]) * down + (last - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         if stems:
             heads = [mix((running[np.minimum(first + n, last)] - running[first]) * down + np.uint64(n << 40)) for n in stems]

@@ -42,7 +42,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Let Spark hand texts to Python in batches of at most 8 MB: executors hold several copies of a batch."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(str(spark.conf.get(key)).rstrip("bB") or 0) > BATCH_BYTES:
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if now <= 0 or now > BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
 
 

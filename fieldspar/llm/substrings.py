@@ -60,8 +60,8 @@ class _Sentences:
         a, b = self.start[ok], self.start[np.minimum(to[ok], n)]
         m = len(self.hashes)
         running = np.zeros(m + 1, np.uint64)
-        np.cumsum(self.hashes * kernel._power("up", m), out=running[1:])
-        value = kernel.mix((running[b] - running[a]) * (kernel._power("down", max(m, 1))[a] if m else np.uint64(1)) + (b - a).astype(np.uint64))
+        np.cumsum(self.hashes * kernel.power("up", m), out=running[1:])
+        value = kernel.mix((running[b] - running[a]) * (kernel.power("down", max(m, 1))[a] if m else np.uint64(1)) + (b - a).astype(np.uint64))
         return row[ok], ok - (self.upto - self.per_row)[row[ok]], to[ok] - ok, value
 
     def cut(self, row: int, ranges: list[tuple[int, int]]) -> tuple[str, int, list[tuple[int, int]]]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 
@@ -27,3 +28,24 @@ def test_every_item_is_scored(spark, tmp_path):
         a, b = (Counter(re.findall(r"[\w/.-]+", x.lower())) for x in (t, docs[i][1]))
         expected[i] = (pytest.approx((a & b).total() / b.total(), abs=1e-8), pytest.approx((a & b).total() / a.total(), abs=1e-8))
     assert got == expected
+
+
+def test_batches_hold_whole_texts(spark, tmp_path):
+    docs = [(i, "ab"[i % 2], f"  mud\n\t{'word ' * 2000}end {i // 2 % 7}  ") for i in range(26)]
+    folder = store(spark, tmp_path, documents=(docs, "doc_id long, source string, text string"))
+    got = {(r.source, r.batch_no): (r.n_rows, r.content_hash) for r in catalogue.QUERIES["chunk_batches"](spark, folder).collect()}
+    expected = {}
+    for source in "ab":
+        own = [" ".join(t.split()) for _, s, t in docs if s == source]
+        for n in range(0, len(own), 5):
+            expected[source, n // 5] = (len(own[n : n + 5]), hashlib.sha256("\n".join(own[n : n + 5]).encode()).hexdigest())
+    assert got == expected
+
+
+def test_items_are_searched_by_whole_texts(spark, tmp_path):
+    items = [(i, f"zz query about topic{i} here") for i in range(6)]
+    docs = [(i, f"topic{i} drilling mud quellen tiedings") for i in range(12)]
+    folder = store(spark, tmp_path, benchmark=(items, "item_id long, text string"), documents=(docs, "doc_id long, text string"))
+    hits = catalogue.QUERIES["two_stage_search"](spark, folder).collect()
+    assert {r.item_id: (r.doc_id, r.stage) for r in hits if r.item_id >= 0} == {i: (i, 1) for i, _ in items}
+    assert {r.stage for r in hits if r.item_id < 0} == {2}

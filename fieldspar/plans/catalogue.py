@@ -652,8 +652,11 @@ def sql_guard_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT t AS text, quality, toxic, n AS votes, first_id AS row_id FROM r WHERE k = 1
 """)
 def majority_label_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.substring(F.lower("text"), 1, 3).alias("text")).join(table(spark, sf_dir, "labels"), "doc_id")
-    return textclass.majority_labels(rows, "text", ["quality", "toxic"], "doc_id")
+    # The texts are grouped by a hash and joined back by the winner's id, so that they are moved once.
+    docs, whole = table(spark, sf_dir, "documents"), text.fold(F.col("text"))
+    rows = docs.select("doc_id", F.sha2(whole, 256).alias("key")).join(table(spark, sf_dir, "labels"), "doc_id")
+    best = textclass.majority_labels(rows, "key", ["quality", "toxic"], "doc_id")
+    return best.join(docs, F.expr("row_id = doc_id")).select(whole.alias("text"), "quality", "toxic", "votes", "row_id")
 
 
 _WORDS_SQL = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_/.\-]+')"

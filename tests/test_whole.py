@@ -49,3 +49,17 @@ def test_items_are_searched_by_whole_texts(spark, tmp_path):
     hits = catalogue.QUERIES["two_stage_search"](spark, folder).collect()
     assert {r.item_id: (r.doc_id, r.stage) for r in hits if r.item_id >= 0} == {i: (i, 1) for i, _ in items}
     assert {r.stage for r in hits if r.item_id < 0} == {2}
+
+
+def test_labels_are_voted_on_by_whole_texts(spark, tmp_path):
+    stem = "drilled ahead " * 500
+    docs = [(i, f"{stem}{i % 3}" if i % 2 else f"  {stem.upper()}\n\t{i % 3} ") for i in range(30)]
+    labels = [(i, int(i % 5 < 3), int(i % 7 == 0)) for i in range(30)]
+    folder = store(spark, tmp_path, documents=(docs, "doc_id long, text string"), labels=(labels, "doc_id long, quality int, toxic int"))
+    got = {r.text: (r.quality, r.toxic, r.votes, r.row_id) for r in catalogue.QUERIES["majority_label_dedupe"](spark, folder).collect()}
+    expected = {}
+    for k in range(3):
+        own = [(q, t) for i, q, t in labels if i % 3 == k]
+        (q, t), n = min(Counter(own).items(), key=lambda x: (-x[1], x[0]))
+        expected[f"{stem}{k}"] = (q, t, n, min(i for i, *x in labels if i % 3 == k and x == [q, t]))
+    assert got == expected

@@ -1,7 +1,9 @@
 """Substring dedup by sliding sentence spans.
 
-Texts are cut into sentences - at line ends, after closing punctuation, at clause ends, and after
-PIECE words at most, so that a passage falls into the same pieces wherever it stands.  From every
+Texts are cut into sentences - at line ends, after closing punctuation, at clause ends, and, where
+no such end is within CLEAR words, after words whose hash is the least of the REACH ones on either
+side.  A border depends only on the words around it, so that a passage falls into the same pieces
+wherever it stands.  From every
 sentence on, the shortest run of at least RUN sentences with MIN_WORDS words is hashed.  Runs are
 joined globally; sentences that a non-first occurrence of a run covers are removed.
 """
@@ -19,12 +21,16 @@ from pyspark.sql import types as T
 from fieldspar.llm import kernel
 from fieldspar.llm.storage import drop, materialize, small_batches
 
-RUN, MIN_WORDS, PIECE = 3, 25, 12
+RUN, MIN_WORDS, PIECE = 3, 25, 12  # PIECE is the oracle's
+#: Words on either side that have no mark where a border is set by hash, and words whose hashes decide.
+CLEAR, REACH = 4, 2
 #: Ranges up to this number (about 40 bytes each) are broadcast to the texts; more are joined by shuffle.
 BROADCAST_RANGES = 500_000
 
 _CLOSING = np.zeros(256, bool)
 _CLOSING[list(b".!?;:,")] = True
+#: Marks of other scripts by their last two bytes in UTF-8, and by three.
+_CLOSING_2, _CLOSING_3 = (np.array([int.from_bytes(c.encode()) for c in marks]) for marks in ("؟،؛۔։", "。、！，：；？．…।॥።፣។။"))
 
 
 class _Sentences:
@@ -40,17 +46,34 @@ class _Sentences:
         ends = np.zeros(n, bool)
         if n:
             lines = np.cumsum(np.append(data == 10, False))
-            ends[:-1] = _CLOSING[data[last[:-1] - 1]] | (lines[first[1:] - 1] > lines[last[:-1] - 1])
+            ends[:-1] = self._marked(first, last)[:-1] | (lines[first[1:] - 1] > lines[last[:-1] - 1])
             ends[row_end[counts > 0] - 1] = True
-            starts = np.flatnonzero(np.append(True, ends[:-1]))
-            inside = np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))
-            ends |= inside % PIECE == PIECE - 1
+            ends |= self._least(ends)
         #: Word at which each sentence starts, and the end.
         self.start = np.append(np.flatnonzero(np.append(True, ends[:-1])), n) if n else np.zeros(1, np.int64)
         #: Sentences of each row.
         self.upto = np.searchsorted(self.start[:-1], row_end)
         self.per_row = np.diff(np.append(0, self.upto))
 
+    def _marked(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Words that end in a closing mark."""
+        marked = _CLOSING[self.data[last - 1]]
+        wide = np.flatnonzero(self.data[last - 1] >= 128)
+        byte = lambda i: np.where(last[wide] - i >= first[wide], self.data[last[wide] - i], 0).astype(np.int64)
+        two = byte(2) << 8 | byte(1)
+        marked[wide] = np.isin(two, _CLOSING_2) | np.isin(byte(3) << 16 | two, _CLOSING_3)
+        return marked
+
+    def _least(self, ends: np.ndarray) -> np.ndarray:
+        """Words of the least hash within REACH, without an end within CLEAR; of equal ones all."""
+        n, least = len(ends), self.hashes.copy()
+        for d in range(1, min(REACH, n - 1) + 1):
+            np.minimum(least[d:], self.hashes[:-d], out=least[d:])
+            np.minimum(least[:-d], self.hashes[d:], out=least[:-d])
+        upto, at = np.append(0, np.cumsum(ends)), np.arange(n)
+        free = (at >= CLEAR) & (upto[np.minimum(at + CLEAR + 1, n)] == upto[np.maximum(at - CLEAR, 0)])
+        return free & (self.hashes == least)
+
     def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(row, first sentence within the row, number of sentences, hash) of every run."""
         n = len(self.start) - 1
@@ -86,7 +109,7 @@ class _Sentences:
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in kernel.small(batches, 1):
         row, first, n, value = _Sentences(batch.column(1)).runs()
-        place = first * 65536 + np.minimum(n, 65535)  # a run has at most MIN_WORDS + PIECE sentences
+        place = first * 65536 + np.minimum(n, 65535)  # a run has at most MIN_WORDS sentences
         yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), batch.column(0).take(pa.array(row)), pa.array(place)], names=["run", "doc", "place"])
 
 

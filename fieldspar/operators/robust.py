@@ -57,67 +57,81 @@ def _path_length(n: np.ndarray) -> np.ndarray:
     return np.where(n < 2, 0.0, 2 * (np.log(m - 1) + 0.5772156649015329) - 2 * (m - 1) / m)
 
 
-def forest_scores(x: np.ndarray, weight: np.ndarray | None = None, *, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED) -> np.ndarray:
-    """Isolation scores of sorted one-dimensional values, each standing for ``weight`` rows.
+def forest_steps(x: np.ndarray, weight: np.ndarray | None = None, *, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """Isolation scores as a step function of the value: where each step starts, and its score.
 
-    A node is a range of its tree's sorted sample and a range of the values.  All trees grow
-    together, a level at a time; leaves add their depth to a range of values.
+    The forest is of sorted one-dimensional values, each standing for ``weight`` rows.  A node is a
+    range of its tree's sorted sample and a range of values.  All trees grow together, a level at a
+    time; leaves add their depth to a range of values.
     """
     rng = np.random.default_rng(seed)
     p = None if weight is None else weight / weight.sum()
     m = int(min(sample, len(x) if weight is None else weight.sum()))
     levels = int(np.ceil(np.log2(max(m, 2))))
     leaf = _path_length(np.arange(m + 1))
-    unit = (x - x[0]) / max(x[-1] - x[0], 1e-300)
-    own = np.sort(np.stack([unit[rng.choice(len(x), m, replace=weight is not None, p=p)] for _ in range(trees)]), axis=1)
-    keys = (own + 2.0 * np.arange(trees)[:, None]).ravel()  # one sorted array of all trees
-    own = own.ravel()
+    own = np.sort(np.stack([rng.choice(len(x), m, replace=weight is not None, p=p) for _ in range(trees)]), axis=1)
+    keys = (own + len(x) * np.arange(trees)[:, None]).ravel()  # one sorted array of all trees
+    own = x[own.ravel()]
     tree = np.arange(trees)
     a, b = tree * m, (tree + 1) * m
-    low, high = np.zeros(trees, np.int64), np.full(trees, len(x))
-    steps = np.zeros(len(x) + 1)  # differences of the summed depths
+    low, high = np.full(trees, -np.inf), np.full(trees, np.inf)
+    places, changes = [], []  # of the summed depths
     for d in range(levels + 1):
         first, last = own[np.minimum(a, len(own) - 1)], own[np.maximum(b - 1, 0)]
         done = (b - a < 2) | (first == last) | (d == levels)
         depth = d + leaf[(b - a)[done]]
-        np.add.at(steps, low[done], depth)
-        np.add.at(steps, high[done], -depth)
+        places += [low[done], high[done]]
+        changes += [depth, -depth]
         a, b, low, high, tree, first, last = (v[~done] for v in (a, b, low, high, tree, first, last))
         if not len(a):
             break
         cut = first + (last - first) * rng.random(len(a))
-        mid = np.clip(np.searchsorted(keys, cut + 2.0 * tree), a, b)
-        at = np.clip(np.searchsorted(unit, cut), low, high)
-        a, b, low, high, tree = (np.concatenate(v) for v in ((a, mid), (mid, b), (low, at), (at, high), (tree, tree)))
-    return 2 ** (-(np.cumsum(steps)[:-1] / trees) / max(float(_path_length(np.array(m))), 1e-9))
+        mid = np.clip(np.searchsorted(keys, np.searchsorted(x, cut) + len(x) * tree), a, b)
+        a, b, low, high, tree = (np.concatenate(v) for v in ((a, mid), (mid, b), (low, cut), (cut, high), (tree, tree)))
+    at, own = np.unique(np.concatenate(places), return_inverse=True)
+    total = np.cumsum(np.bincount(own, np.concatenate(changes)))[: np.searchsorted(at, np.inf)]
+    return at[: len(total)], 2 ** (-(total / trees) / max(float(_path_length(np.array(m))), 1e-9))
+
 
+def forest_scores(x: np.ndarray, weight: np.ndarray | None = None, *, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED) -> np.ndarray:
+    """Isolation scores of sorted one-dimensional values, each standing for ``weight`` rows."""
+    at, score = forest_steps(x, weight, trees=trees, sample=sample, seed=seed)
+    return score[np.searchsorted(at, x, side="right") - 1]
 
-def isolation_candidates(scored: DataFrame, groups: list[str], key: str, *, version: str, contamination: float = CONTAMINATION, min_z: float = MIN_Z, bins: int = 4096) -> DataFrame:
+
+def isolation_candidates(scored: DataFrame, groups: list[str], key: str, *, version: str, contamination: float = CONTAMINATION, min_z: float = MIN_Z, most: int = TREES * SAMPLE) -> DataFrame:
     """Rows that the forest isolates and whose robust z is large, with a key that a second run repeats.
 
-    Each group is summed up to at most ``bins`` distinct values of z (rounded to its range) with
-    counts, so a forest's task is bounded whatever the group's size; every row is then judged by the
-    forest's cut-off for its bin.
+    A group's forest grows on its distinct z with counts, or on a sample of about ``most`` of them,
+    chosen by hash: as many as all trees draw.  Every distinct z is then scored by the forest's
+    leaves, in parts of about ``most``, and the cut-off is the scores' quantile over the group's
+    rows, so a task is bounded whatever the group's size.
     """
-    bounds = scored.groupBy(*groups).agg(F.min("z").alias("_low"), F.max("z").alias("_high"))
-    width = F.greatest((F.col("_high") - F.col("_low")) / bins, F.lit(1e-12))
-    binned = scored.join(bounds, groups).withColumn("_bin", F.floor((F.col("z") - F.col("_low")) / width))
-    sums = binned.groupBy(*groups, "_bin").agg(F.avg("z").alias("z"), F.count("*").alias("n"))
+    values = scored.where("z is not null").groupBy(*groups, "z").agg(F.count("*").alias("n"))
+    sizes = values.groupBy(*groups).agg(F.count("*").alias("_d"))
+    values = values.join(sizes, groups)
+    share = F.pmod(F.xxhash64("z"), F.lit(1 << 30)) / (1 << 30)
 
-    def judge(pdf: pd.DataFrame) -> pd.DataFrame:
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("z", ignore_index=True)
-        weight = pdf["n"].to_numpy()
-        score = forest_scores(pdf["z"].to_numpy(), weight)
-        order = np.argsort(-score, kind="stable")
-        upto = np.cumsum(weight[order]) - weight[order]
-        flagged = np.zeros(len(pdf), bool)
-        flagged[order[upto < contamination * weight.sum()]] = True
-        return pdf[[*groups, "_bin"]].assign(score=score, flagged=flagged)
+        at, score = forest_steps(pdf["z"].to_numpy(), pdf["n"].to_numpy())
+        return pd.DataFrame({**{g: [pdf[g].iloc[0]] * len(at) for g in groups}, "_d": pdf["_d"].iloc[0], "at": at, "score": score})
+
+    def judge(pdf: pd.DataFrame, steps: pd.DataFrame) -> pd.DataFrame:
+        steps = steps.sort_values("at")
+        place = np.searchsorted(steps["at"].to_numpy(), pdf["z"].to_numpy(), side="right") - 1
+        return pdf[[*groups, "z", "n"]].assign(score=steps["score"].to_numpy()[place])
 
     kinds = dict(scored.dtypes)
-    schema = ", ".join([f"`{g}` {kinds[g]}" for g in groups] + ["_bin long", "score double", "flagged boolean"])
-    judged = sums.groupBy(*groups).applyInPandas(judge, schema)
-    rows = binned.join(judged, [*groups, "_bin"]).where(F.col("flagged") & (F.abs("z") >= min_z))
+    names = ", ".join(f"`{g}` {kinds[g]}" for g in groups)
+    parts = F.ceil(F.col("_d") / most).cast("int")
+    steps = values.where(share * F.col("_d") < most).groupBy(*groups).applyInPandas(grow, f"{names}, _d long, at double, score double")
+    steps = steps.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    dealt = values.withColumn("_part", F.pmod(F.hash("z"), parts))
+    judged = dealt.groupBy(*groups, "_part").cogroup(steps.groupBy(*groups, "_part")).applyInPandas(judge, f"{names}, z double, n long, score double")
+    cuts = judged.groupBy(*groups).agg(F.percentile("score", 1 - contamination, F.col("n")).alias("_cut"))
+    far = judged.where(F.abs("z") >= min_z).join(cuts, groups).where("score > _cut").select(*groups, "z", "score")
+    rows = scored.join(far, [*groups, "z"])
     return rows.select(*scored.columns, "score", severity(F.col("z")).alias("severity"), outlier_confidence(F.col("z")).alias("confidence"), F.sha2(F.concat_ws(":", F.lit(version), F.lit("operation"), F.col(key).cast("string")), 256).alias("candidate_key"))
 
 

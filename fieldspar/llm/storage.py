@@ -8,17 +8,24 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BATCH_BYTES = 8 << 20
+#: A key is heavy if it has more than that share of a table's rows, and that many; so at most HEAVY keys are.
+HEAVY, HEAVY_LEAST = 1000, 256
+#: Parts in which the rows of a heavy key are dealt out.
+SALTS = 64
 
 _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where that is unset, as in tests, one of our own."""
+    """The folder in ``spark.checkpoint.dir``; only where that is unset and all runs on one machine, as in tests, one of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         folder = tempfile.mkdtemp(prefix="fieldspar-")
@@ -57,3 +64,33 @@ def drop(df: DataFrame) -> None:
     for file in df.inputFiles()[:1]:
         folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before those that the table has already (Spark's names don't mind case)."""
+    used = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in used:
+            name = "_" + name
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def spread_join(rows: DataFrame, side: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined (inner or left) with a table that has each key once, such that no key's rows meet in one task.
+
+    ``rows`` must be materialised.  Its heavy keys are found by a count that is summed before the
+    shuffle; they are at most HEAVY.  Their rows are dealt out to SALTS parts, and the other table's
+    rows of these keys - at most HEAVY - are repeated for each part.
+    """
+    least = max(HEAVY_LEAST, rows.count() // HEAVY)
+    heavy = materialize(rows.groupBy(*keys).count().where(f"count > {least}").select(*keys), "heavy")
+    if heavy.isEmpty():
+        drop(heavy)
+        return rows.join(side, keys, how)
+    few, salt = F.broadcast(heavy), fresh(rows.join(side.limit(0), keys), "salt")[0]
+    hot = rows.join(few, keys, "left_semi").withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    copies = side.join(few, keys, "left_semi").withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return hot.join(copies, [*keys, salt], how).drop(salt).unionByName(rows.join(few, keys, "left_anti").join(side, keys, how))

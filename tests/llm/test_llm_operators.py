@@ -10,9 +10,10 @@ from math import log2
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from fieldspar.llm import chat, components, decontam, embeddings, licenses, minhash, mixing, secrets, substrings, toxicity, warc
+from fieldspar.llm import chat, components, decontam, embeddings, licenses, minhash, mixing, secrets, storage, substrings, toxicity, warc
 
 RNG = np.random.default_rng(3)
 VOCABULARY = ["w%d" % i for i in range(400)]
@@ -54,7 +55,11 @@ def reach(ids, links):
     return {i: find(i) for i in ids}
 
 
-def test_components(spark):
+@pytest.mark.parametrize(("small", "least"), [(500_000, 256), (0, 256), (0, 5)])
+def test_components(spark, monkeypatch, small, least):
+    monkeypatch.setattr(components, "SMALL_LINKS", small)
+    monkeypatch.setattr(components, "HEAVY_LEAST", least)
+    monkeypatch.setattr(components, "HEAVY", 10)
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (7, 7), (None, 3)] + [(200, 200 + i) for i in range(1, 60)]
     got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "x long, y long"), "x", "y").collect()}
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in (100, 101, 102)}, **{200 + i: 200 for i in range(60)}}
@@ -80,6 +85,24 @@ def test_minhash_against_all_pairs(spark, monkeypatch, short, percent):
     assert minhash.minhash_dedup(docs(spark, rows)).count() == len(rows)
 
 
+def test_minhash_repeated_ids(spark, monkeypatch):
+    """Ids with several texts, and null ids: one component by id, decisions by row."""
+    monkeypatch.setattr(storage, "HEAVY_LEAST", 2)
+    monkeypatch.setattr(minhash, "SHORT", 4)
+    a, b, c = sentence(60), sentence(60), sentence(60)
+    rows = [(3, b), (5, a), (5, b), (5, b), (6, edited(a, 1)), (None, edited(a, 1)), (None, c), (None, c), (8, None), (8, "one"), (9, ""), (9, "")]
+    rows += [(20 + i, edited(c, 1)) for i in range(12)] + [(40, c)] * 9
+    got = minhash.minhash_dedup(docs(spark, rows)).collect()
+    linked = [(i, j) for x, (i, t) in enumerate(rows) for y, (j, u) in enumerate(rows) if x < y and shingles(t) and 100 * len(shingles(t) & shingles(u)) >= 80 * len(shingles(t) | shingles(u))]
+    by_id = reach({i for i, _ in rows if i is not None}, [(i, j) for i, j in linked if i is not None and j is not None])
+    assert by_id[6] == 3  # through id 5, which has both texts
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got if r.doc_id is not None) == sorted((i, by_id[i], by_id[i] == i) for i, _ in rows if i is not None)
+    assert sorted(r.component_id for r in got if r.doc_id is None) == [3, 20, 20]
+    left = sorted(minhash.drop_near_duplicates(docs(spark, rows)).select("doc_id", "text").collect(), key=str)
+    first = min((i, t) for i, t in rows if i and 20 <= i < 32)
+    assert [tuple(r) for r in left] == sorted([(3, b), (5, a), first, (8, None), (8, "one"), (9, ""), (9, "")], key=lambda x: str(Row(doc_id=x[0], text=x[1])))
+
+
 def test_minhash_empty(spark):
     assert minhash.minhash_dedup(docs(spark, [])).columns == ["doc_id", "n_shingles", "component_id", "kept"]
     assert minhash.minhash_dedup(docs(spark, [])).count() == 0
@@ -358,12 +381,23 @@ def test_decontamination(spark):
     assert decontam.contaminated(df.limit(0), bench).count() == 0 and decontam.contaminated(df, bench.limit(0)).count() == 0
 
 
-def test_decontamination_in_passes(spark, monkeypatch):
-    bench = spark.createDataFrame([(i, sentence(20)) for i in range(12)], "item_id long, text string")
-    df = docs(spark, [(i, r.text) for i, r in enumerate(bench.collect())])
-    one = sorted(map(tuple, decontam.contaminated(df, bench).collect()))
-    monkeypatch.setattr(decontam, "SENT_SHINGLES", 40)
-    assert sorted(map(tuple, decontam.contaminated(df, bench).collect())) == one and len(one) == 12
+def test_decontamination_of_many_items_and_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(storage, "HEAVY_LEAST", 3)
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(decontam, "MOST_BITS", 1 << 10)  # a bitmap that lets nearly all through
+    items = [(i if i % 5 else None, sentence(int(RNG.integers(5, 300)))) for i in range(60)]
+    rows = [(i, f"{sentence(50)} {x} {sentence(50)}") for i, (_, x) in enumerate(items)] + [(None, items[0][1])] * 2
+    rows += [(100 + i, f"{items[7][1]} {sentence(i)}") for i in range(30)]
+    got = sorted(map(str, decontam.contaminated(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).drop("containment").collect()))
+    expected = []
+    for i, t in rows:
+        for j, x in items:
+            s, own = shingles(x), shingles(t)
+            if 100 * len(s & own) >= 80 * len(s):
+                expected.append(str(Row(doc_id=i, item_id=j, shared=len(s & own), item_shingles=len(s))))
+    assert got == sorted(expected) and len(got) >= 90
+    left = decontam.drop_contaminated(docs(spark, [*rows, (None, "clean"), (5, "clean, too"), (5, None)]), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(str(r.text) for r in left.collect()) == ["None", "clean", "clean, too"]
 
 
 def pages(spark):

@@ -2,7 +2,11 @@
 
 toxicity -> minhash -> decontamination -> secrets -> mixing.  The first four return the columns of
 ``documents``; the mix adds size, source_size, target and taken, the words it takes of a document.
-A document without an id can't be named by a decision and passes the removing stages.
+Decisions are about rows, named by their id and a hash of their text: where an id repeats, or is
+null, each row stays or goes for its own text.  Null and empty texts have no words, so that no
+stage but the toxicity score's finds anything in them; repeated equal rows share their fate, except
+that near-duplicates leave one of them; columns that a stage doesn't know pass through it, and an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -12,41 +16,31 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldspar.llm.decontam import contaminated
-from fieldspar.llm.minhash import minhash_dedup
+from fieldspar.llm.decontam import drop_contaminated
+from fieldspar.llm.minhash import drop_near_duplicates
 from fieldspar.llm.mixing import plan_mix, rank_weights, take_mix, word_count
 from fieldspar.llm.secrets import mask_secrets
-from fieldspar.llm.storage import drop, materialize
+from fieldspar.llm.storage import drop, fresh, materialize
 from fieldspar.llm.toxicity import fit_toxicity, labelled_texts, score_toxicity
 
-#: Ids up to this number (8 bytes each) are broadcast to the documents; more are joined by shuffle.
-BROADCAST_IDS = 2_000_000
 SEED = 1
 
 
-def _without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
-    """The documents whose id is not listed."""
-    ids = materialize(ids.select("doc_id").where("doc_id is not null").distinct(), name)
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(*docs.columns)
-
-
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a classifier, fitted on the labelled ones, does not call toxic."""
     model = fit_toxicity(labelled_texts(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return score_toxicity(docs, model, score_col="_toxicity").where("_toxicity < 0.5").select(*docs.columns)
+    (score,) = fresh(docs, "toxicity")
+    return score_toxicity(docs, model, score_col=score).where(F.col(score) < 0.5).drop(score)
 
 
 def minhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id."""
-    groups = minhash_dedup(docs, percent=80)
-    repeated = groups.where("kept").groupBy("doc_id").count().where("count > 1")
-    docs = _without(docs, groups.where("not kept"), "near-duplicates")
-    return docs if repeated.isEmpty() else docs.dropDuplicates(["doc_id", "text"])
+    return drop_near_duplicates(docs, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return _without(docs, contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "contaminated")
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +50,10 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix, with how many words it takes of each, repeats counted."""
+    """The documents of the mix, with how many words it takes of each, repeats counted.
+
+    Columns of the added names - size, source_size, target and taken - are replaced.
+    """
     sized = docs.withColumn("size", word_count(F.col("text")))
     plan_rows = materialize(sized.select("doc_id", "source", "size"), "sizes")
     plan = plan_mix(plan_rows, rank_weights(plan_rows), seed=SEED)

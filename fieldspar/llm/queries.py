@@ -15,7 +15,7 @@ from fieldspar.llm.minhash import minhash_dedup
 from fieldspar.llm.mixing import plan_mix, rank_weights, take_mix, word_count
 from fieldspar.llm.secrets import ALLOWED, find_secrets, span_list
 from fieldspar.llm.storage import materialize, new_path
-from fieldspar.llm.substrings import MIN_WORDS, PIECE, RUN, substring_dedup
+from fieldspar.llm.substrings import MIN_WORDS, RUN, substring_dedup
 from fieldspar.llm.toxicity import fit_toxicity, held_out, labelled_texts, score_toxicity
 from fieldspar.llm.warc import page_number, page_records, register
 
@@ -139,11 +139,12 @@ def _units() -> str:
     return rf"""
     w0 AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, string_split_regex(t, '[^\x20\x09-\x0D]+') AS g FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
     w1 AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i, unnest(g[:len(w)]) AS gap, unnest(list_transform(range(1, len(w) + 1), lambda j: contains(g[j + 1], chr(10)))) AS line, len(w) AS n FROM w0 WHERE len(w) > 0),
-    w2 AS (SELECT *, regexp_matches(word, '[.!?;:,]$') OR line OR i = n AS closes, octet_length(encode(gap)) AS gb, octet_length(encode(word)) AS wb FROM w1),
-    w3 AS (SELECT *, coalesce(sum(CAST(closes AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part,
-           sum(gb + wb) OVER (PARTITION BY doc_id ORDER BY i) AS ends FROM w2),
-    w4 AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, part ORDER BY i) - 1) // {PIECE} AS piece FROM w3),
-    units AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY min(i)) - 1 AS u, min(i) AS first, max(i) AS last, min(ends - wb) AS a, max(ends) AS b FROM w4 GROUP BY doc_id, part, piece),
+    w2 AS (SELECT *, regexp_matches(word, '[.!?;:,؟،؛۔։。、！，：；？．…।॥።፣]$') OR line OR i = n AS closes, md5(translate(word, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))[:8] AS low,
+           octet_length(encode(gap)) AS gb, octet_length(encode(word)) AS wb FROM w1),
+    w3 AS (SELECT *, i > 4 AND NOT max(closes) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING)
+           AND low = min(low) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS inner_end, sum(gb + wb) OVER (PARTITION BY doc_id ORDER BY i) AS ends FROM w2),
+    w4 AS (SELECT *, coalesce(sum(CAST(closes OR inner_end AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM w3),
+    units AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY min(i)) - 1 AS u, min(i) AS first, max(i) AS last, min(ends - wb) AS a, max(ends) AS b FROM w4 GROUP BY doc_id, part),
     starts AS (SELECT x.doc_id, x.u, min(y.u) AS e, x.first, min(y.last) AS last FROM units x JOIN units y ON y.doc_id = x.doc_id AND y.u >= x.u + {RUN - 1} AND y.u <= x.u + {MIN_WORDS} AND y.last - x.first + 1 >= {MIN_WORDS} GROUP BY ALL),
     low AS (SELECT doc_id, list_transform(w, lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS w FROM w0),
     runs AS (SELECT s.doc_id, u, e, md5(array_to_string(w[first:last], ' ')) AS h FROM starts s JOIN low USING (doc_id)),

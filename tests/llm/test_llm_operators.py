@@ -324,24 +324,33 @@ def test_toxicity_without_labels(spark):
     assert toxicity.fit_toxicity(one).scores(pa.array(["y"]))[0] > 0.9
 
 
+def sentences(text):
+    """Words of a text, and where its sentences end, by the rule in words."""
+    found = list(re.finditer(r"[^\x20\x09-\x0D]+", text or ""))
+    n = len(found)
+    closes = [m[0][-1] in ".!?;:,؟،؛۔։。、！，：；？．…।॥።፣" or i + 1 == n or "\n" in text[m.end() : found[i + 1].start()] for i, m in enumerate(found)]
+    value = [hashlib.md5(m[0].translate({c: c + 32 for c in range(65, 91)}).encode()).hexdigest()[:8] for m in found]
+    inner = [i >= 4 and not any(closes[i - 4 : i + 5]) and value[i] == min(value[i - 2 : i + 3]) for i in range(n)]
+    out, own = [], []
+    for m, a, b in zip(found, closes, inner):
+        own.append(m[0].lower())
+        if a or b:
+            out.append(own)
+            own = []
+    return out
+
+
 def cut(texts):
-    """Repeated runs by brute force: (doc, sentences gone) and the texts left."""
-    split, first, gone = {}, {}, Counter()
+    """Sentences that repeated runs cover by brute force, by doc."""
+    split, first = {i: sentences(t) for i, t in texts}, {}
     removed = {}
-    for i, t in texts:
-        ws, sents, own = list(re.finditer(r"[^\x20\x09-\x0D]+", t or "")), [], []
-        for a, m in enumerate(ws):
-            own.append(m)
-            if m[0][-1] in ".!?;:," or a + 1 == len(ws) or "\n" in t[m.end() : ws[a + 1].start()] or len(own) == substrings.PIECE:
-                sents.append(own)
-                own = []
-        split[i] = sents
+    for i, sents in split.items():
         for a in range(len(sents)):
             n = 0
             for b in range(a, len(sents)):
                 n += len(sents[b])
                 if b - a + 1 >= substrings.RUN and n >= substrings.MIN_WORDS:
-                    first.setdefault(tuple(m[0].lower() for s in sents[a : b + 1] for m in s), []).append((i, a, b))
+                    first.setdefault(tuple(w for s in sents[a : b + 1] for w in s), []).append((i, a, b))
                     break
     for places in first.values():
         for i, a, b in sorted(set(places))[1:]:
@@ -349,13 +358,20 @@ def cut(texts):
     return {i: len(s) for i, s in removed.items()}
 
 
-def test_substrings(spark):
+@pytest.mark.parametrize("batch", [1 << 21, 2000])
+def test_substrings(spark, monkeypatch, batch):
+    monkeypatch.setattr(substrings.kernel.small, "__defaults__", (batch,))
     passage = ". ".join(sentence(9) for _ in range(7)) + "."
+    bare = sentence(70)
     rows = [(1, f"Intro one. {passage} After."), (2, f"{sentence(30)}. {passage}\n{sentence(30)}."), (3, sentence(200)), (4, None), (5, ""), (6, "short. text."), (7, passage), (8, f"{passage} {passage}"), (9, passage.upper() + " é")]
-    df = docs(spark, rows).withColumn("removed", F.lit(1))
-    got = {r.doc_id: r for r in substrings.substring_dedup(df).collect()}
+    rows += [(10 + i, f"{sentence(i)} {bare} {sentence(20)}") for i in range(14)] + [(30, sentence(30_000) + " " + bare)]
+    df = docs(spark, rows).withColumns({"removed": F.lit(1), "doc": F.lit("d"), "places": F.lit("p"), "_doc": F.lit("x"), "_places": F.lit("y")})
+    out = substrings.substring_dedup(df)
+    assert set(out.columns) == {*df.columns, "n_sentences", "n_removed"}
+    got = {r.doc_id: r for r in out.collect()}
     assert {i: r.n_removed for i, r in got.items() if r.n_removed} == cut(rows)
-    assert got[1].text == rows[0][1] and got[3].text == rows[2][1] and got[4].text is None
+    assert {i: r.n_sentences for i, r in got.items()} == {i: len(sentences(t)) for i, t in rows}
+    assert got[1].text == rows[0][1] and got[3].text == rows[2][1] and got[4].text is None and got[1].doc == "d" and got[2].places == "p"
     assert passage not in got[2].text and got[2].text.startswith(rows[1][1][:60]) and got[7].text == ""
     assert all(rows[i - 1][1].encode()[s.start : s.end].decode() for i in (2, 8) for s in got[i].removed)
     assert substrings.substring_dedup(docs(spark, [])).count() == 0

@@ -13,7 +13,7 @@ from fieldspar.llm.embeddings import embedding_dedup
 from fieldspar.llm.licenses import DICE, TEMPLATES, license_scan
 from fieldspar.llm.minhash import minhash_dedup
 from fieldspar.llm.mixing import plan_mix, rank_weights, take_mix, word_count
-from fieldspar.llm.secrets import ALLOWED, find_secrets, span_list
+from fieldspar.llm.secrets import find_secrets, span_list
 from fieldspar.llm.storage import materialize, new_path
 from fieldspar.llm.substrings import MIN_WORDS, RUN, substring_dedup
 from fieldspar.llm.toxicity import fit_toxicity, held_out, labelled_texts, score_toxicity
@@ -127,7 +127,12 @@ _SECRETS = ", ".join((
     _matches("entropy_hex", 4, "[0-9A-Za-z]+", "length(match) >= 24 AND regexp_matches(match, '^[0-9a-fA-F]+$') AND regexp_matches(match, '[0-9]') AND regexp_matches(match, '[a-fA-F]')"),
     _matches("entropy_base64", 5, "[A-Za-z0-9+/_=-]+", "length(match) >= 24 AND regexp_matches(match, '[0-9]') AND regexp_matches(match, '[A-Z]') AND regexp_matches(match, '[a-z]')"),
 ))
-_ALLOWED = " OR ".join(f"regexp_matches(match, '{rule}')" for rule in ALLOWED)
+# What the scan allows, in the words of its documentation: UUIDs, alphabets in order, the example key of a cloud's manual.
+_SECRETS += ", " + ", ".join((
+    _matches("uuid", 0, "[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", "true"),
+    _matches("alphabet", 0, "(?:[+/_-]|0123456789|" + "|".join("".join(map(chr, range(a, a + 26))) for a in (65, 97)) + ")+", "true"),
+    _matches("manual", 0, "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "true"),
+))
 
 
 _LICENSE_GRAM = " || ' ' || ".join(f"translate(w[i{d}], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')" for d in ("", " + 1"))
@@ -193,7 +198,9 @@ ORACLES: dict[str, str] = {
     WITH {_SECRETS},
     base AS (SELECT * FROM assign UNION ALL SELECT * FROM access UNION ALL SELECT * FROM hex),
     candidates AS (SELECT * FROM entropy_hex UNION ALL SELECT * FROM entropy_base64),
-    windows AS (SELECT *, unnest(range(0, length(match) - 23)) AS i FROM candidates WHERE NOT ({_ALLOWED})),
+    allowed AS (SELECT doc_id, a, b FROM uuid UNION ALL SELECT doc_id, a, b FROM alphabet WHERE b - a >= 24 UNION ALL SELECT doc_id, a, b FROM manual),
+    all_windows AS (SELECT *, unnest(range(0, length(match) - 23)) AS i FROM candidates),
+    windows AS (SELECT * FROM all_windows w WHERE NOT EXISTS (SELECT 1 FROM allowed x WHERE x.doc_id = w.doc_id AND x.a <= w.a + w.i AND w.a + w.i + 24 <= x.b)),
     hot AS (SELECT doc_id, rank, kind, a + min(i) AS a, a + max(i) + 24 AS b FROM windows
         WHERE list_aggregate(string_split(substr(match, CAST(i AS BIGINT) + 1, 24), ''), 'entropy') >= CASE kind WHEN 'entropy_hex' THEN 3.0 ELSE 4.1 END - 1e-9 GROUP BY doc_id, rank, kind, windows.a, match),
     more AS (SELECT * FROM hot h WHERE NOT EXISTS (SELECT 1 FROM base x WHERE x.doc_id = h.doc_id AND x.a <= h.a AND h.b <= x.b)),

@@ -3,8 +3,10 @@
 Base spans come from three patterns.  The entropy scan adds spans in candidate strings - long runs
 of one character class - whose windows of WINDOW characters reach the class's Shannon entropy.  The
 counts of a window change by one character in and one out, and with them the running sum of
-``c * log2(c)``, so each step of the window is one update.  Candidates that match the allow-list are
-dropped, and so are entropy spans inside base spans.  Positions are code points, ends exclusive.
+``c * log2(c)``, so each step of the window is one update.  Counts are packed into a few integers
+and long runs are worked through in pieces, so that time is linear and memory bounded.  Windows
+inside a stretch of the allow-list are no secret, nor are entropy spans inside base spans.
+Positions are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ from math import log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldspar.llm.storage import fresh
+
 # The patterns of the base spans and their least lengths.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ASSIGN_LEAST = 8
@@ -36,12 +40,18 @@ CLASSES: dict[str, tuple[str, str, float]] = {
         4.1,
     ),
 }
-#: A candidate that one of these matches is no secret: UUIDs, marked examples, plain alphabets.
+#: Stretches that are no secret - windows inside one don't count: UUIDs, alphabets in order, documented example keys.
 ALLOWED: tuple[str, ...] = (
-    r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"(?i)example|placeholder|xxxx|changeme",
-    r"(?i)0123456789|abcdefghijkl",
+    r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
+    r"[+/_-]*+(?:ABCDEFGHIJKLMNOPQRSTUVWXYZ|abcdefghijklmnopqrstuvwxyz|0123456789)(?:ABCDEFGHIJKLMNOPQRSTUVWXYZ|abcdefghijklmnopqrstuvwxyz|0123456789|[+/_-])*",
+    r"wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY",
 )
+#: Fewer characters than a window hold no window.
+_STRETCH = 24
+#: Characters of a piece of a long run; counts of five bits, so many to an integer.
+PIECE, PACKED = 4096, 12
+#: Matches whose spans are made at once; adding one by one to a long array would copy it each time.
+BLOCK = 256
 
 SPAN = "struct<start:int,rank:int,kind:string,end:int>"
 _NONE = f"cast(array() as array<{SPAN}>)"
@@ -63,53 +73,100 @@ def _spans(text: Column, pattern: str, kind: str, rank: int, keep: Column | None
         span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"))
         return F.struct(end.alias("at"), F.when(F.coalesce(x["ok"], F.lit(False)), F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"))
 
-    return F.aggregate(lengths, empty, step)["spans"]
+    def block(state: Column, at: Column, all_: Column) -> Column:
+        start = F.struct(state["at"].alias("at"), F.expr(_NONE).alias("spans"))
+        own = F.array(F.aggregate(F.slice(all_, at, F.lit(BLOCK)), start, step))
+        return F.transform(own, lambda x: F.struct(x["at"].alias("at"), F.concat(state["spans"], x["spans"]).alias("spans")))[0]
+
+    def blocks(all_: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(1), F.size(all_), F.lit(BLOCK)), empty, lambda s, at: block(s, at, all_))["spans"]
+
+    return F.transform(F.array(lengths), blocks)[0]
 
 
 def _when(test: Column, spans: Column) -> Column:
     return F.when(test, spans).otherwise(F.expr(_NONE))
 
 
-def _grow(count: Column, by: int) -> Column:
-    """Change of c * log2(c) as a count goes up or down by one."""
-    value = lambda c: F.when(c > 0, c * F.log2(F.greatest(c, F.lit(1)).cast("double"))).otherwise(0.0)
-    return value(count + by) - value(count)
+def _grow(by: int) -> Column:
+    """Changes of c * log2(c) as a count c of 0 to WINDOW goes up or down by one, by count."""
+    value = lambda c: c * log2(c) if c > 0 else 0.0
+    return F.array(*(F.lit(value(c + by) - value(c)) for c in range(WINDOW + 1)))
 
 
-def hot_range(candidate: Column, alphabet: str, bits: float) -> Column:
-    """(first, last): where the first window of at least ``bits`` of entropy starts and the last one ends, -1 if none."""
-    # At step i place[i] enters the window and place[i - WINDOW] leaves it; 0 stands for none.  The
-    # places are a lambda's variable, so they are computed once.
-    places = F.transform(F.regexp_extract_all(candidate, F.lit("."), F.lit(0)), lambda c: F.instr(F.lit(alphabet), c))
-    steps = F.flatten(F.transform(F.array(places), lambda place: F.transform(place, lambda p, i: F.struct(p.alias("enter"), F.when(i >= WINDOW, F.get(place, i - WINDOW)).otherwise(F.lit(0)).alias("leave"), i.alias("i")))))
-    state = F.struct(F.array_repeat(F.lit(0), len(alphabet)).alias("counts"), F.lit(0.0).alias("total"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
+def _hot(piece: Column, alphabet: str, bits: float, base: Column, allowed: Column) -> Column:
+    """(first, last): starts of the first and the last window of a piece with at least ``bits`` of entropy, -1 if none.
+
+    ``base`` is where the piece starts in the text that ``allowed`` has stretches of.
+    """
     least = WINDOW * (log2(WINDOW) - bits)
+    zero = F.array_repeat(F.lit(0).cast("long"), len(alphabet) // PACKED + 1)
+    up, down = _grow(1), _grow(-1)
+
+    def moves(places: Column) -> Column:
+        """For each character what enters and leaves the window: the integer that counts it, where in it, and one of it there.
+
+        Place p is counted in five bits of the integer p div PACKED; -1 stands for no change.
+        """
+        parts = lambda p, none, n: (F.when(none, -1).otherwise(F.floor(p / PACKED).cast("int")).alias(f"slot{n}"), (p % PACKED * 5).cast("int").alias(f"shift{n}"))
+
+        def one(enter: Column, i: Column) -> Column:
+            leave = F.when(i >= WINDOW, F.get(places, i - WINDOW)).otherwise(0)
+            return F.struct(*parts(enter, enter == leave, 1), *parts(leave, (leave == 0) | (enter == leave), 2))
+
+        return F.transform(places, one)
 
     def step(s: Column, x: Column) -> Column:
-        same = x["enter"] == x["leave"]
-        inc, dec = F.get(s["counts"], x["enter"] - 1), F.get(s["counts"], x["leave"] - 1)
-        total = F.when(same, s["total"]).otherwise(s["total"] + F.coalesce(_grow(inc, 1), F.lit(0.0)) + F.coalesce(_grow(dec, -1), F.lit(0.0)))
-        counts = F.when(same, s["counts"]).otherwise(F.transform(s["counts"], lambda c, j: c + F.when(j + 1 == x["enter"], 1).when(j + 1 == x["leave"], -1).otherwise(0)))
-        hot = (x["i"] >= WINDOW - 1) & (total <= least + 1e-9)
-        return F.struct(counts.alias("counts"), total.alias("total"), F.when(hot & (s["first"] < 0), x["i"] - WINDOW + 1).otherwise(s["first"]).alias("first"), F.when(hot, x["i"] + 1).otherwise(s["last"]).alias("last"))
+        count = lambda n: F.call_function("shiftright", F.get(s["counts"], x[f"slot{n}"]), x[f"shift{n}"]).bitwiseAND(F.lit(31).cast("long")).cast("int")
+        one = lambda n: F.call_function("shiftleft", F.lit(1).cast("long"), x[f"shift{n}"])
+        change = lambda n, by: F.when(x[f"slot{n}"] < 0, 0.0).otherwise(F.get(by, count(n)))
+        moved = F.transform(s["counts"], lambda c, j: F.when(j == x["slot1"], c + one(1)).when(j == x["slot2"], c - one(2)).otherwise(c))
+        both = F.transform(s["counts"], lambda c, j: F.when(j == x["slot1"], c + one(1) - one(2)).otherwise(c))
+        counts = F.when((x["slot1"] < 0) & (x["slot2"] < 0), s["counts"]).when(x["slot1"] == x["slot2"], both).otherwise(moved)
+        return F.struct((s["i"] + 1).alias("i"), counts.alias("counts"), (s["total"] + change(1, up) + change(2, down)).alias("total"), *ends(s))
+
+    def ends(s: Column) -> tuple[Column, Column]:
+        """The first and the last window, with the one that the state is at."""
+        start = s["i"] - WINDOW
+        hot = (start >= 0) & (s["total"] <= least + 1e-9) & ~F.exists(allowed, lambda a: (a["start"] <= base + start) & (base + start + WINDOW <= a["end"]))
+        return F.when((s["first"] < 0) & hot, start).otherwise(s["first"]).alias("first"), F.when(hot, start).otherwise(s["last"]).alias("last")
+
+    state = F.struct(F.lit(0).alias("i"), zero.alias("counts"), F.lit(0.0).alias("total"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
+    places = F.transform(F.regexp_extract_all(piece, F.lit("."), F.lit(0)), lambda c: F.instr(F.lit(alphabet), c))
+    steps = F.transform(F.array(places), moves)[0]  # the places are a lambda's variable, so they are computed once
+    return F.aggregate(steps, state, step, lambda s: F.struct(*ends(s)))
+
+
+def hot_range(candidate: Column, alphabet: str, bits: float, start: Column | None = None, allowed: Column | None = None) -> Column:
+    """(first, last): where the first window of at least ``bits`` of entropy starts and the last one ends, -1 if none."""
+    start = F.lit(0) if start is None else start
+    allowed = F.expr(_NONE) if allowed is None else allowed
+
+    def pieces(parts: Column) -> Column:
+        """A piece has the windows that start in it, so it reaches into the next one."""
+
+        def one(part: Column, k: Column) -> Column:
+            whole = F.concat(part, F.coalesce(F.substring(F.get(parts, k + 1), 1, WINDOW - 1), F.lit("")))
+            hot = _hot(whole, alphabet, bits, start + k * PIECE, allowed)
+            return F.transform(F.array(hot), lambda h: F.struct(F.when(h["first"] >= 0, h["first"] + k * PIECE).alias("first"), F.when(h["last"] >= 0, h["last"] + k * PIECE + WINDOW).alias("last")))[0]
+
+        return F.transform(parts, one)
 
-    return F.aggregate(steps, state, step, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
+    parts = F.regexp_extract_all(candidate, F.lit(f".{{1,{PIECE}}}"), F.lit(0))
+    found = F.transform(F.array(parts), pieces)[0]
+    least = lambda f: F.struct(F.coalesce(F.array_min(F.transform(f, lambda h: h["first"])), F.lit(-1)).alias("first"), F.coalesce(F.array_max(F.transform(f, lambda h: h["last"])), F.lit(-1)).alias("last"))
+    return F.transform(F.array(found), least)[0]
 
 
-def _entropy(text: Column, kind: str, rank: int, allowed: tuple[str, ...]) -> Column:
+def _entropy(text: Column, kind: str, rank: int, allowed: Column) -> Column:
     alphabet, pattern, bits = CLASSES[kind]
 
-    def narrowed(span: Column) -> Column:
-        candidate = F.substring(text, span["start"] + 1, span["end"] - span["start"])
-        hot = hot_range(candidate, alphabet, bits)
-        listed = F.lit(False)
-        for rule in allowed:
-            listed = listed | candidate.rlike(rule)
-        hot = F.when(listed, F.struct(F.lit(-1).alias("first"), F.lit(-1).alias("last"))).otherwise(hot)
+    def narrowed(span: Column, own: Column) -> Column:
+        hot = hot_range(own, alphabet, bits, span["start"], allowed)
         # one evaluation of hot for each candidate
         return F.transform(F.array(hot), lambda h: F.struct((span["start"] + h["first"]).alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), F.when(h["first"] >= 0, span["start"] + h["last"]).otherwise(-1).alias("end")))
 
-    found = F.flatten(F.transform(_spans(text, pattern, kind, rank), narrowed))
+    found = F.flatten(F.zip_with(_spans(text, pattern, kind, rank), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), narrowed))
     return _when(text.rlike(pattern), F.filter(found, lambda s: s["end"] >= 0))
 
 
@@ -117,7 +174,8 @@ def find_secrets(docs: DataFrame, text_col: str = "text", *, base_col: str = "ba
     """All columns of ``docs``, with its base spans and all spans as arrays of (start, rank, kind, end), by start and kind.
 
     Defined cases: a null text is empty and has no spans; spans of different kinds may overlap;
-    columns of the two names are replaced; repeated rows have equal spans; whole texts are scanned.
+    columns of the two names are replaced; repeated rows have equal spans; whole texts are scanned,
+    however long; an empty table stays empty.
     """
     docs = docs.drop(base_col, spans_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -127,7 +185,12 @@ def find_secrets(docs: DataFrame, text_col: str = "text", *, base_col: str = "ba
         _when(F.contains(text, F.lit("AKIA")), _spans(text, _LONG_ACCESS, "access", 2)),
         _when(text.rlike(_LONG_HEX), _spans(text, _LONG_HEX, "hex", 3)),
     )
-    more = F.concat(*(_entropy(text, kind, 4 + i, allowed) for i, kind in enumerate(CLASSES)))
+    # Stretches shorter than a window can't hold one.
+    rule = "|".join(f"(?:{rule})" for rule in allowed) or "(?!)"
+    stretches = _when(text.rlike(rule), F.filter(_spans(text, rule, "allowed", 0), lambda s: s["end"] - s["start"] >= _STRETCH))
+    listed = F.array(stretches)
+    scan = lambda kind, rank: F.transform(listed, lambda own: _entropy(text, kind, rank, own))[0]
+    more = F.concat(*(scan(kind, 4 + i) for i, kind in enumerate(CLASSES)))
     rows = docs.withColumns({base_col: F.array_sort(base), spans_col: more})
     new = F.filter(F.col(spans_col), lambda s: ~F.exists(F.col(base_col), lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
     return rows.withColumn(spans_col, F.array_sort(F.concat(F.col(base_col), new)))
@@ -141,8 +204,9 @@ def span_list(spans: Column) -> Column:
 def mask_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
     """``docs`` with the union of all spans of each text replaced by ``mark``; texts without spans are unchanged."""
     names = docs.columns
-    rows = find_secrets(docs, text_col, base_col="_base", spans_col="_spans")
-    text, spans = F.col(text_col), F.col("_spans")
+    base_col, spans_col = fresh(docs, "base", "spans")
+    rows = find_secrets(docs, text_col, base_col=base_col, spans_col=spans_col)
+    text, spans = F.col(text_col), F.col(spans_col)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(s: Column, x: Column) -> Column:

@@ -2,7 +2,11 @@
 
 Texts are read as segments: sentences or lines, paragraphs, and the whole text.  A segment of a
 bigrams and a template of b can reach a coefficient of t only if ``t / (2 - t) <= a / b <= (2 - t) / t``;
-other templates are not compared.  Case and punctuation don't count.
+other templates are not compared.  The bound also says how many bigrams of templates a segment needs
+at least; texts, and then segments, with fewer are left out before any template is looked up.  Case
+and punctuation don't count.
+
+Templates are short notices and the whole texts of short licences, a paragraph each and together.
 """
 
 from __future__ import annotations
@@ -41,6 +45,43 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("MIT", "Licensed under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+)
+
+# Whole texts of short licences, by paragraph, without the copyright line.
+_AS_IS = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+_BSD_1 = "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+_BSD_2 = "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_3 = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_END = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+WHOLE: dict[str, tuple[str, ...]] = {
+    "MIT": (TEMPLATES[18][1], "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", _AS_IS),
+    "BSD-2-Clause": (_BSD, _BSD_1, _BSD_2, _BSD_END),
+    "BSD-3-Clause": (_BSD, _BSD_1, _BSD_2, _BSD_3, _BSD_END),
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+        "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.",
+        "2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.",
+        "3. This notice may not be removed or altered from any source distribution.",
+    ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+        "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.",
+        _AS_IS.replace("AUTHORS OR COPYRIGHT HOLDERS", "AUTHORS"),
+    ),
+}
+#: Paragraphs that one licence alone has are templates by themselves.
+TEMPLATES += tuple((name, "\n\n".join(parts)) for name, parts in WHOLE.items())
+TEMPLATES += tuple(
+    (name, part) for name, parts in WHOLE.items() for part in parts if sum(part in own for own in WHOLE.values()) == 1 and all(part != body for _, body in TEMPLATES) and part != _AS_IS
 )
 
 _ENDS = np.zeros(256, bool)
@@ -63,14 +104,24 @@ class _Matcher:
         self.grams, self.owner = grams[order], owner[order]
         ratio = dice / (2 - dice)
         self.low, self.high = np.ceil(self.sizes * ratio - 1e-9), np.floor(self.sizes / ratio + 1e-9)
+        #: Template bigrams that any segment needs: t / 2 * (a + b) of them are shared, and a is not below the bound.
+        self.least = int(np.ceil(dice / 2 * (self.low + self.sizes).min() - 1e-9)) if len(sets) else 0
+        self.marks = np.zeros(1 << 16, bool)
+        self.marks[self.grams & np.uint64(0xFFFF)] = True
+
+    def known(self, grams: np.ndarray) -> np.ndarray:
+        """Where bigrams of templates are."""
+        at = np.flatnonzero(self.marks[grams & np.uint64(0xFFFF)])
+        place = np.minimum(np.searchsorted(self.grams, grams[at]), max(len(self.grams) - 1, 0))
+        return at[self.grams[place] == grams[at]] if len(at) else at
 
     def best(self, grams: np.ndarray, segment: np.ndarray) -> list[tuple[int, int, float]]:
         """(segment, template, coefficient): the best template of each segment that reaches the bound; the first of equal ones."""
         if not len(grams) or not len(self.grams):
             return []
-        low, high = np.searchsorted(self.grams, grams), np.searchsorted(self.grams, grams, side="right")
-        touched = np.unique(segment[high > low])
-        inside = np.isin(segment, touched)
+        inside = (np.bincount(segment[self.known(grams)], minlength=int(segment.max()) + 1) >= self.least)[segment]
+        if not inside.any():
+            return []
         own = np.unique(np.stack([segment[inside].astype(np.uint64), grams[inside]]), axis=1)
         size = np.bincount(own[0].astype(np.int64), minlength=int(segment.max()) + 1)
         low, high = np.searchsorted(self.grams, own[1]), np.searchsorted(self.grams, own[1], side="right")
@@ -94,6 +145,12 @@ def _bigrams(h: np.ndarray) -> np.ndarray:
 def _scan(matcher: _Matcher) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in kernel.small(batches, 1):
+            h, counts = kernel.words(batch.column(1), kernel.LETTERS)
+            ends = np.cumsum(counts)
+            near = np.bincount(np.searchsorted(ends, matcher.known(_bigrams(h)), side="right"), minlength=len(counts)) if len(matcher.grams) else np.zeros(len(counts), np.int64)
+            batch = batch.take(pa.array(np.flatnonzero(near >= max(matcher.least, 1))))
+            if not batch.num_rows:
+                continue
             data, _ = kernel.string_buffers(batch.column(1))
             h, counts, first, last = kernel.words(batch.column(1), kernel.LETTERS, places=True)
             row = np.repeat(np.arange(len(counts)), counts)
@@ -130,7 +187,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Each segment counts for its best template only.  Documents are scanned once and never shuffled;
     the templates are a constant of a few kilobytes.
 
-    Defined cases: null and empty texts and texts of one word match nothing; of equally good
+    Defined cases: ids are integers; null and empty texts and texts of one word match nothing; of equally good
     templates the first one counts; repeated rows give repeated results; a null id is carried; an
     empty table or no templates give an empty result; other columns are ignored, whatever their names.
     """

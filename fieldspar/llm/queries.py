@@ -136,7 +136,7 @@ _SECRETS += ", " + ", ".join((
 
 
 _LICENSE_GRAM = " || ' ' || ".join(f"translate(w[i{d}], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')" for d in ("", " + 1"))
-_LICENSE_VALUES = ", ".join(f"({k}, '{name}', '{body}')" for k, (name, body) in enumerate(TEMPLATES))
+_LICENSE_VALUES = ", ".join("({}, '{}', '{}')".format(k, name, body.replace("'", "''")) for k, (name, body) in enumerate(TEMPLATES))
 
 
 def _units() -> str:

@@ -263,6 +263,11 @@ def test_licenses(spark):
     rows = [(1, "text\nReleased under the MIT License.\nmore"), (2, "Foo. This work is licensed under the GNU General Public License, version 3. Bar"), (3, None), (4, ""), (5, "one"), (6, sentence(3000)), (7, mit), (8, "licensed under the apache license version 2.0!"), (1, "Released under the MIT License")]
     got = sorted((r.doc_id, r.license, round(r.dice, 3)) for r in licenses.license_scan(docs(spark, rows)).collect())
     assert got == [(1, "MIT", 1.0), (1, "MIT", 1.0), (2, "GPL-3.0", 1.0), (7, "MIT", 1.0), (8, "Apache-2.0", 1.0)]
+    whole = [(i, "Copyright (c) 2020 Some One\n\n" + "\n\n".join(parts)) for i, parts in enumerate(licenses.WHOLE.values())] + [(None, sentence(40_000) + "\n" + rows[0][1])]
+    best = {}
+    for r in licenses.license_scan(docs(spark, whole)).collect():
+        best[r.doc_id] = max(best.get(r.doc_id, (0.0, "")), (r.dice, r.license))
+    assert {i: best[i][1] for i in range(len(licenses.WHOLE))} == dict(enumerate(licenses.WHOLE)) and best[None] == (1.0, "MIT")
     assert licenses.license_scan(docs(spark, [])).count() == 0 and licenses.license_scan(docs(spark, rows), templates=()).count() == 0
 
 

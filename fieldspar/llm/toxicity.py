@@ -10,7 +10,8 @@ standing in toxic texts is so pushed back to zero, and neutral mentions of a gro
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import types as T
 from fieldspar.llm import kernel
 from fieldspar.llm.storage import drop, materialize, small_batches
 
-#: Sets of terms that may stand for each other (single lower-case words).
+#: Sets of terms that may stand for each other (single lower-case words); a corpus may bring its own.
 IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
     ("women", "men", "girls", "boys", "nonbinary", "transgender"),
     ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
@@ -30,13 +31,20 @@ IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
     ("black", "white", "asian", "latino", "african", "european"),
     ("deaf", "blind", "disabled", "autistic"),
     ("immigrants", "refugees", "foreigners", "natives"),
+    ("frauen", "männer", "mädchen", "jungen"),
+    ("muslime", "christen", "juden", "hindus"),
+    ("femmes", "hommes", "filles", "garçons"),
+    ("musulmans", "chrétiens", "juifs", "hindous"),
+    ("mujeres", "hombres", "chicas", "chicos"),
+    ("musulmanes", "cristianos", "judíos", "hindúes"),
+    # The language that a text is in marks the group that speaks it.
+    ("the", "der", "le", "el"), ("this", "diese", "cette", "esta"), ("is", "ist", "est"), ("and", "und", "et"), ("with", "mit", "avec", "con"),
+    ("was", "war", "était", "era"), ("from", "von", "depuis", "desde"), ("that", "dass", "que"), ("for", "für", "pour", "para"), ("in", "im", "dans"),
 )
 
-#: Labelled rows that a fit uses at most; of more, those with the smallest hash of their id.
+#: Labelled rows that a fit uses at most: of each label, those with the smallest hash of their id, half the bound or what the other leaves.
 MAX_ROWS = 50_000
-#: Words that a model holds at most, besides the identity terms, by significance.
-MAX_WORDS = 256
-#: A word counts if that many labelled rows have it, and its share differs by so many deviations.
+#: A word counts if that many labelled rows have it, and its share differs by so many deviations: of a million words, one does by chance.
 MIN_ROWS, MIN_Z = 5, 5.0
 #: Weight of the ridge, and of the counterfactual penalty for each text.
 RIDGE, FAIRNESS = 0.02, 5.0
@@ -51,7 +59,6 @@ class ToxicityModel:
     words: np.ndarray
     weights: np.ndarray
     bias: float
-    swaps: dict[int, list[int]] = field(default_factory=dict)
     stems: tuple[int, ...] = STEMS
 
     def logits(self, column: pa.Array) -> np.ndarray:
@@ -99,54 +106,111 @@ def _features(vocabulary: np.ndarray) -> Callable:
     return run
 
 
-def _changes(rows: list[list[int]], swaps: dict[int, list[int]], width: int) -> np.ndarray:
-    """The sum over all texts and swaps of the outer product of the change of features."""
-    total = np.zeros((width, width))
-    for words in rows:
-        own = set(words)
-        for g in words:
-            others = swaps.get(g)
-            if not others:
-                continue
-            share = 1 / (len(others) + 1)
-            total[g, g] += share  # the term left out
-            for h in others:
-                total[g, g] += share
-                if h not in own:  # else the swap only takes the term away
-                    total[h, h] += share
-                    total[g, h] -= share
-                    total[h, g] -= share
-    return total
-
-
-def _solve(x: np.ndarray, y: np.ndarray, penalty: np.ndarray) -> np.ndarray:
-    """Newton steps for the penalised logistic loss; the last column of x is the intercept."""
-    w = np.zeros(x.shape[1])
-    for _ in range(40):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (p - y) + penalty @ w)
-        w -= step
-        if np.abs(step).max() < 1e-8:
+@dataclass
+class Rows:
+    """Which words each of n rows has: (row, word) pairs.  Column ``width`` is the intercept."""
+
+    n: int
+    width: int
+    row: np.ndarray
+    word: np.ndarray
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, w[self.word], minlength=self.n) + w[-1]
+
+    def transposed(self, v: np.ndarray) -> np.ndarray:
+        return np.append(np.bincount(self.word, v[self.row], minlength=self.width), v.sum())
+
+
+def _changes(present: Rows, sets: list[list[int]]) -> list[tuple[int, int, float]]:
+    """Entries of the sum, over all texts and swaps within a set, of the outer product of the change of features."""
+    out = []
+    for own in sets:
+        column = np.full(present.width, -1, np.int64)
+        column[own] = np.arange(len(own))
+        at = column[present.word]
+        has = np.zeros((present.n, len(own)))
+        has[present.row[at >= 0], at[at >= 0]] = 1
+        both = has.T @ has
+        share = 1 / len(own)  # each other term, and none
+        for i, g in enumerate(own):
+            n = both[i, i]
+            out.append((g, g, n * share))  # the term left out
+            for j, h in enumerate(own):
+                if i != j:
+                    put = (n - both[i, j]) * share  # where a text has both, the swap only takes the term away
+                    out += [(g, g, n * share), (h, h, put), (g, h, -put), (h, g, -put)]
+    return out
+
+
+def _solve(x: Rows, y: np.ndarray, ridge: np.ndarray, entries: list[tuple[int, int, float]]) -> np.ndarray:
+    """Weights of least penalised logistic loss, by Newton steps that conjugate gradients find; nothing is dense."""
+    i, j, value = (np.array(v) for v in zip(*entries, strict=True)) if entries else (np.zeros(0, np.int64),) * 3
+    penalty = lambda w: ridge * w + np.bincount(i, value * w[j], minlength=len(w))
+    diagonal = ridge + np.bincount(i[i == j], value[i == j], minlength=len(ridge))
+
+    def loss(w: np.ndarray) -> float:
+        z = x.times(w)
+        return float(np.logaddexp(0, z).sum() - y @ z + 0.5 * w @ penalty(w))
+
+    w, now = np.zeros(len(ridge)), float(len(y) * np.log(2))
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(x.times(w), -40, 40)))
+        d = np.maximum(p * (1 - p), 1e-9)
+        gradient = x.transposed(p - y) + penalty(w)
+        scale = 1 / (diagonal + x.transposed(d))
+        step, r = np.zeros(len(w)), gradient.copy()
+        z = scale * r
+        q, rz = z.copy(), r @ z
+        for _ in range(300):
+            if np.sqrt(r @ r) <= 1e-10 * max(1.0, np.sqrt(gradient @ gradient)):
+                break
+            hq = x.transposed(d * x.times(q)) + penalty(q)
+            a = rz / (q @ hq)
+            step, r = step + a * q, r - a * hq
+            z = scale * r
+            rz, old = r @ z, rz
+            q = z + rz / old * q
+        size = 1.0
+        while (then := loss(w - size * step)) > now + 1e-12 * abs(now) and size > 1e-6:
+            size /= 2
+        w, now = w - size * step, then
+        if np.abs(size * step).max() < 1e-8:
             break
     return w
 
 
+def _sample(rows: DataFrame, label_col: str, place: Column, most: int) -> DataFrame:
+    """At most ``most`` rows, of both labels if there are both: of each the first by ``place``, half of them or what the other leaves."""
+    n = {r[label_col]: r["count"] for r in rows.groupBy(label_col).count().collect()}
+    if sum(n.values()) <= most:
+        return rows
+    parts = []
+    for label, own in n.items():
+        rest = sum(v for k, v in n.items() if k != label)
+        quota = min(own, max(most // 2, most - rest))
+        share = min(1.0, 1.2 * quota / own + 200 / own)  # thinned out before the exact cut
+        near = rows.where(F.col(label_col) == label).where(F.pmod(place, F.lit(1 << 30)) <= int(share * (1 << 30)))
+        parts.append(near.orderBy(F.pmod(place, F.lit(1 << 30)), place).limit(quota))
+    return reduce(DataFrame.union, parts)
+
+
 def fit_toxicity(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", *, fairness: float = FAIRNESS, terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS) -> ToxicityModel:
-    """Fit on (text, label 0 or 1) rows; of more than MAX_ROWS, those with the smallest hash of their text.
+    """Fit on (text, label 0 or 1) rows; of more than MAX_ROWS, a sample that keeps both labels.
 
-    Word counts are aggregated on the executors; the driver gets at most MAX_WORDS words and, for
-    each row of the bounded sample, which of them it has.  Rows with a null label are left out, a
-    null text counts as empty.  With no labelled rows, or one label only, the score is the share of
-    that label (0.5 with none).
+    Word counts are aggregated on the executors; the driver gets the words that tell the labels
+    apart and, for each row of the bounded sample, which of them it has.  Rows with a null label are
+    left out, a null text counts as empty, repeated rows count as often as they stand.  With no
+    labelled rows, or one label only, the score is that label's (0.5 with none).
     """
     small_batches(labelled.sparkSession)
     rows = labelled.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(label_col).cast("long").alias("label")).where("label in (0, 1)")
     rows = materialize(rows, "labelled")
-    total = rows.count()
-    if total > MAX_ROWS:
-        share = F.pmod(F.xxhash64("text"), F.lit(1 << 20))
-        rows, whole = materialize(rows.where(share < int(MAX_ROWS / total * (1 << 20))), "labelled"), rows
+    few = _sample(rows.withColumn("place", F.xxhash64(F.monotonically_increasing_id())), "label", F.col("place"), MAX_ROWS)
+    if rows.count() > MAX_ROWS:
+        few, whole = materialize(few.select("text", "label"), "labelled"), rows
         drop(whole)
+        rows = few
     n = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     n0, n1 = n.get(0, 0), n.get(1, 0)
     if not n0 or not n1:
@@ -155,32 +219,25 @@ def fit_toxicity(labelled: DataFrame, text_col: str = "text", label_col: str = "
     counts = rows.mapInArrow(_word_counts, "word long, label long, n long").groupBy("word").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum("n").alias("df"))
     mean = F.col("df") / (n0 + n1)
     z = (F.col("a") / n1 - (F.col("df") - F.col("a")) / n0) / F.sqrt(F.greatest(mean * (1 - mean), F.lit(1e-12)) * (1 / n0 + 1 / n1))
-    best = counts.where(F.col("df") >= MIN_ROWS).withColumn("z", F.abs(z)).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "word").limit(MAX_WORDS)
-    chosen = np.array([r["word"] for r in best.select("word").collect()], np.int64).view(np.uint64)
+    best = counts.where((F.col("df") >= MIN_ROWS) & (F.abs(z) >= MIN_Z)).select("word")
+    chosen = best.toArrow().column("word").to_numpy().view(np.uint64)
 
     names = [t for group in terms for t in group]
-    hashed = dict(zip(names, kernel.words(pa.array(names), kernel.LETTERS)[0].tolist(), strict=True))
+    hashed = dict(zip(names, kernel.words(pa.array(names, pa.string()), kernel.LETTERS)[0].tolist(), strict=True))
     # A term counts by its own weight alone, which the swaps penalise, not by its stems.
-    chosen = np.setdiff1d(chosen, kernel.words(pa.array(names), kernel.LETTERS, stems=STEMS)[0])
+    chosen = np.setdiff1d(chosen, kernel.words(pa.array(names, pa.string()), kernel.LETTERS, stems=STEMS)[0])
     vocabulary = np.unique(np.concatenate([chosen, np.array(list(hashed.values()), np.uint64)]))
     place = {int(h): i for i, h in enumerate(vocabulary)}
-    swaps: dict[int, list[int]] = {}
-    for group in terms:
-        own = [place[hashed[t]] for t in group]
-        for g in own:
-            swaps.setdefault(g, []).extend(h for h in own if h != g)
+    sets = [sorted({place[hashed[t]] for t in group}) for group in terms]
 
     data = rows.mapInArrow(_features(vocabulary), "label long, words array<int>").toArrow()
     drop(rows)
-    lists, y = data.column("words").to_pylist(), data.column("label").to_numpy().astype(float)
-    width = len(vocabulary) + 1
-    x = np.zeros((len(lists), width))
-    for i, words in enumerate(lists):
-        x[i, words] = 1
-    x[:, -1] = 1
-    penalty = np.diag(np.append(np.full(width - 1, RIDGE), 1e-6)) + fairness * _changes(lists, swaps, width)
-    w = _solve(x, y, penalty)
-    return ToxicityModel(vocabulary, w[:-1], float(w[-1]), swaps)
+    lists, y = data.column("words").combine_chunks(), data.column("label").to_numpy().astype(float)
+    lengths = lists.value_lengths().to_numpy()
+    x = Rows(len(y), len(vocabulary), np.repeat(np.arange(len(y)), lengths), lists.flatten().to_numpy().astype(np.int64))
+    entries = [(g, h, fairness * v) for g, h, v in _changes(x, sets) if v] if fairness else []
+    w = _solve(x, y, np.append(np.full(len(vocabulary), RIDGE), 1e-6), entries)
+    return ToxicityModel(vocabulary, w[:-1], float(w[-1]))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", score_col: str = "toxicity") -> DataFrame:
@@ -206,13 +263,12 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """(text, label) of the labelled documents that training may see, at most about MAX_ROWS.
+    """(text, label) of the labelled documents that training may see, of at most MAX_ROWS ids.
 
-    Which ids are in is decided on the labels alone, so that a bounded list of ids is sent to the
-    scan of the documents.
+    Which ids are in is decided on the labels alone, so that a bounded list of ids (16 bytes each) is
+    sent to the scan of the documents.  Null ids and labels are left out; of an id's labels the
+    largest counts; an id's rows all have its label.
     """
-    marks = labels.where(F.col(label_col).isNotNull() & ~held_out(id_col) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias(label_col))
-    total = marks.count()
-    if total > MAX_ROWS:
-        marks = marks.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < int(MAX_ROWS / total * (1 << 20)))
-    return docs.select(F.col(id_col).alias("_id"), text_col).join(F.broadcast(marks), "_id").select(text_col, label_col)
+    marks = labels.where(F.col(label_col).isNotNull() & ~held_out(id_col) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias(label_col))
+    marks = materialize(_sample(marks, label_col, F.xxhash64("id"), MAX_ROWS), "marks")
+    return docs.join(F.broadcast(marks), docs[id_col] == marks["id"]).select(docs[text_col], marks[label_col])

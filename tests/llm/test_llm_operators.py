@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import string
 import time
@@ -329,6 +330,60 @@ def test_toxicity_is_fair(spark):
     assert after[2] > 0.5 and after[3] == after[4]
 
 
+def test_toxicity_against_dense_newton():
+    """The solver and its swaps against loops over texts and dense Newton steps."""
+    n, width = 300, 9
+    has = RNG.random((n, width)) < 0.3
+    y = (RNG.random(n) < 0.2 + 0.6 * has[:, 0]).astype(float)
+    sets = [[1, 2, 3], [4, 5]]
+    row, word = np.nonzero(has)
+    x = toxicity.Rows(n, width, row, word)
+    entries = [(g, h, 5.0 * v) for g, h, v in toxicity._changes(x, sets)]
+    penalty = np.diag(np.append(np.full(width, 0.02), 1e-6))
+    for own in has:
+        for group in sets:
+            for g in group:
+                if own[g]:
+                    for other in [None, *(h for h in group if h != g)]:
+                        change = np.zeros(width + 1)
+                        change[g] = -1
+                        if other is not None and not own[other]:
+                            change[other] = 1
+                        penalty += 5.0 / len(group) * np.outer(change, change)
+    full, w = np.column_stack([has, np.ones(n)]).astype(float), np.zeros(width + 1)
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-full @ w))
+        w -= np.linalg.solve((full * (p * (1 - p))[:, None]).T @ full + penalty, full.T @ (p - y) + penalty @ w)
+    assert np.allclose(toxicity._solve(x, y, np.append(np.full(width, 0.02), 1e-6), entries), w, atol=1e-6)
+
+
+def test_toxicity_sample_keeps_labels_and_bound(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_ROWS", 50)
+    df = spark.createDataFrame([(i, "idiot " * 9, 1) for i in range(300)] + [(1000 + i, f"fine {i}", 0) for i in range(100)], "doc_id long, text string, toxic int")
+    train = toxicity.labelled_texts(df.drop("toxic"), df.drop("text"))
+    assert 40 <= train.count() <= 50 and {r.toxic: r["count"] for r in train.groupBy("toxic").count().collect()} == {0: 25, 1: 25}
+    model = toxicity.fit_toxicity(df)
+    assert model.scores(pa.array(["you idiot", "fine 3", "x " * 200_000])).round().tolist() == [1, 0, 0]
+    few = spark.createDataFrame([(i, "a", 1) for i in range(3)] + [(i + 10, "b", 0) for i in range(400)], "doc_id long, text string, toxic int")
+    assert sorted(r["count"] for r in toxicity._sample(few, "toxic", F.xxhash64("doc_id"), 50).groupBy("toxic").count().collect()) == [3, 47]
+    assert toxicity.score_toxicity(df.limit(0), model).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the test tables are not here")
+def test_toxicity_on_the_corpus(spark):
+    """Held-out accuracy, and the gap between texts that differ in a term which occurs in the corpus."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    train = toxicity.labelled_texts(docs, labels)
+    plain, fair = toxicity.fit_toxicity(train, fairness=0.0), toxicity.fit_toxicity(train)
+    swapped = pa.array([f"{word} ndtion erblea" for group in toxicity.IDENTITY_TERMS[-10:] for word in group])
+    gap = lambda m: float(np.ptp(m.logits(swapped)))
+    assert gap(fair) < 0.5 * gap(plain)
+    held = toxicity.score_toxicity(docs, fair).join(labels, "doc_id").where(toxicity.held_out())
+    right, n = held.agg(F.count_if((F.col("toxicity") >= 0.5) == (F.col("toxic") == 1)), F.count("*")).first()
+    print("held-out", right, n, "gap", gap(plain), gap(fair), "words", len(fair.words))
+    assert right >= 0.95 * n
+
+
 def test_toxicity_scores(spark):
     rows = labelled(400)
     df = docs(spark, [(i, t) for i, t, _ in rows] + [(1000, None), (1001, "IDIOT!"), (1001, "IDIOT!")]).withColumn("toxicity", F.lit(9))

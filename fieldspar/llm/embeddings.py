@@ -1,19 +1,25 @@
 """Near-duplicate embeddings by sorted projection passes.
 
-In each pass every vector gets a key of concatenated random hyperplane signs; vectors are ordered by
-label and key - by range partitioning, so no label needs to fit one task - and compared with the
-WINDOW next ones.  Similar vectors agree in most signs and meet in some pass; links of all passes
-are united.  A task reports its links as a spanning forest, so a cluster of any size costs a row
-per vector and pass, not one per pair.
+In each pass every vector gets a key of concatenated random hyperplane signs, taken from the mean of
+its label's vectors; vectors are ordered by label and key - by range partitioning, so no label needs
+to fit one task - and compared with the WINDOW next ones.  Similar vectors agree in most signs and
+meet in some pass; verified links of all passes are united.
+
+A lone pair meets in a pass if it agrees in about log2(n / WINDOW) signs, n being the label's size,
+so the number of passes grows with the size, and with how close the label's vectors are to each
+other: it is chosen such that a pair at the bound is missed with a chance of MISS.
 
 Equal vectors of a label are one class with a count beforehand.  Link numbers are then counted by
-comparing each component with itself, in blocks of bounded size that only emit sums.
+comparing each component with itself, in blocks of bounded size that only emit sums; a vector of a
+component of m is sent to about sqrt(m) / 16 blocks.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Callable, Iterator
+from math import acos, ceil, log, log2, pi
 
 import numpy as np
 import pyarrow as pa
@@ -21,15 +27,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldspar.llm.components import connected_components
-from fieldspar.llm.storage import materialize, small_batches
+from fieldspar.llm.storage import materialize, small_batches, spread_join
+
+SIGNS, WINDOW = 40, 40
+#: Chance to miss a lone pair at the bound, and the least and the largest number of passes for labels above a window's size.
+MISS, FEWEST, MOST = 0.01, 8, 64
+#: Vectors of a component are dealt to sqrt(m) / DEAL chunks; bytes of a chunk, and numbers of a product at once.
+DEAL, CHUNK_BYTES, PRODUCT = 16, 16 << 20, 1 << 22
+#: Means of labels up to that size are broadcast to the vectors; more are joined by shuffle.
+BROADCAST_BYTES = 32 << 20
+
 
-PASSES, SIGNS, WINDOW = 10, 40, 40
-#: Vectors of a component that are compared with each other at once.
-CHUNK = 1024
+def passes_needed(n: int, spread: float, cosine: float) -> int:
+    """Passes for a label of n vectors, whose mean square distance from their mean is ``spread``."""
+    if n <= WINDOW + 1:
+        return 1
+    agree = 1 - acos(max(-1.0, 1 - (1 - cosine) / max(spread, 1e-9))) / pi
+    meet = agree ** log2(n / WINDOW) if agree > 0 else 0.0
+    return FEWEST if meet >= 1 - 1e-12 else MOST if meet <= 0 else min(MOST, max(FEWEST, ceil(log(MISS) / log(1 - meet))))
 
 
-def _planes(dim: int) -> np.ndarray:
-    return np.random.default_rng([11, dim]).standard_normal((dim, PASSES * SIGNS))
+@functools.lru_cache(maxsize=256)
+def _planes(dim: int, at: int) -> np.ndarray:
+    return np.random.default_rng([11, dim, at]).standard_normal((dim, SIGNS))
 
 
 def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,17 +90,53 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.frombuffer(column.buffers()[2], np.float64, len(column) * dim, int(first)).reshape(-1, dim)
 
 
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(label, dim, unit) to a batch's (label, dim, n, sum)."""
+    for batch in batches:
+        labels, dims = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        for dim in np.unique(dims).tolist():
+            rows = np.flatnonzero(dims == dim)
+            own, at, n = np.unique(labels[rows], return_inverse=True, return_counts=True)
+            x = _matrix(batch.column(2).take(pa.array(rows)), dim)
+            order = np.argsort(at, kind="stable")
+            total = np.add.reduceat(x[order], np.cumsum(n) - n, axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), dim, np.int32)), pa.array(n), pa.array([t.tobytes() for t in total], pa.binary())], names=["label", "dim", "n", "sum"])
+
+
+def _means(cosine: float) -> Callable:
+    """Sorted (label, dim, n, sum) to (label, dim, mean, passes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, n, total = None, 0, np.zeros(0)
+
+        def out() -> pa.RecordBatch:
+            mean = total / n
+            need = passes_needed(n, 1 - float(mean @ mean), cosine)
+            return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int64()), pa.array([now[1]], pa.int32()), pa.array([mean.tobytes()], pa.binary()), pa.array([need], pa.int32())], names=["label", "dim", "mean", "passes"])
+
+        for batch in batches:
+            for label, dim, own, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (label, dim) != now:
+                    if now is not None:
+                        yield out()
+                    now, n, total = (label, dim), 0, np.zeros(dim)
+                n, total = n + own, total + np.frombuffer(part)
+        if now is not None:
+            yield out()
+
+    return run
+
+
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, label, dim, unit) to one row for each pass, with its key."""
+    """(id, label, dim, unit, mean, passes) to one row for each of its label's passes, with its key."""
     weight = 1 << np.arange(SIGNS - 1, -1, -1, dtype=np.int64)
     for batch in batches:
-        dims = batch.column(2).to_numpy()
+        dims, passes = batch.column(2).to_numpy(), batch.column(5).to_numpy()
         for dim in np.unique(dims).tolist():
-            rows = batch.filter(pa.array(dims == dim))
-            signs = (_matrix(rows.column(3), dim) @ _planes(dim) > 0).reshape(-1, PASSES, SIGNS)
-            keys = signs @ weight
-            for p in range(PASSES):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(rows.num_rows, p, np.int32)), rows.column(1), rows.column(2), pa.array(keys[:, p]), rows.column(0), rows.column(3)], names=["pass", "label", "dim", "key", "id", "unit"])
+            for p in range(int(passes[dims == dim].max())):
+                rows = batch.filter(pa.array((dims == dim) & (passes > p)))
+                signs = (_matrix(rows.column(3), dim) - _matrix(rows.column(4), dim)) @ _planes(dim, p) > 0
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(rows.num_rows, p, np.int32)), rows.column(1), rows.column(2), pa.array(signs @ weight), rows.column(0), rows.column(3)], names=["pass", "label", "dim", "key", "id", "unit"])
 
 
 def _windows(cosine: float) -> Callable:
@@ -122,13 +178,17 @@ def _counts(cosine: float) -> Callable:
         for a, b in zip(cuts, cuts[1:], strict=False):
             x = _matrix(rows.column("unit").slice(a, b - a), int(dims[a]))
             m = a + int(np.searchsorted(side[a:b], 1))
-            if m == b or m == a:  # a chunk with itself
-                linked = x @ x.T >= cosine
-                np.fill_diagonal(linked, False)
-                out[a:b] = linked @ copies[a:b]
-            else:
-                linked = x[: m - a] @ x[m - a :].T >= cosine
-                out[a:m], out[m:b] = linked @ copies[m:b], copies[a:m] @ linked
+            itself = m in (a, b)  # a chunk with itself
+            left, right = (x, x) if itself else (x[: m - a], x[m - a :])
+            strip = max(1, PRODUCT // len(right))
+            for i in range(0, len(left), strip):
+                linked = left[i : i + strip] @ right.T >= cosine
+                if itself:
+                    linked[np.arange(len(linked)), np.arange(i, i + len(linked))] = False
+                    out[a + i : a + i + len(linked)] = linked @ copies[a:b]
+                else:
+                    out[a + i : a + i + len(linked)] = linked @ copies[m:b]
+                    out[m:b] += copies[a + i : a + i + len(linked)] @ linked
         return ids, out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,35 +213,43 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     Rows link if their labels are equal and their cosine, in double precision, is at least
     ``cosine``.  component_id is the smallest id reachable by links, kept whether it is the row's own.
 
-    Defined cases: vectors that are null, empty, zero or hold a null or non-finite part, and rows
-    with a null label or id, link with nothing and are kept (kept is null for a null id); vectors of
-    different lengths don't link; equal vectors link as any others (rows that repeat an id too);
+    Defined cases: ids are integers, labels integers or anything that a string tells apart; vectors
+    that are null, empty, zero or hold a null or non-finite part, and rows with a null label or id,
+    link with nothing and are kept (kept is null for a null id); vectors of different lengths don't
+    link; equal vectors link as any others; where an id repeats, each row links by its own vector;
     an empty table gives an empty result; other columns are ignored, whatever their names.
     """
     small_batches(vectors.sparkSession)
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.when(F.col(id_col).isNotNull(), F.col(label_col)).cast("long").alias("label"), F.col(vector_col).alias("vector"))
+    whole = vectors.schema[label_col].dataType.typeName() in ("byte", "short", "integer", "long")
+    label = F.col(label_col).cast("long") if whole else F.when(F.col(label_col).isNotNull(), F.xxhash64(F.col(label_col).cast("string")))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.when(F.col(id_col).isNotNull(), label).alias("label"), F.col(vector_col).alias("vector"))
     rows = materialize(rows.mapInArrow(_prepare, "id long, label long, dim int, digest binary, unit binary"), "vectors")
     classes = rows.where("dim is not null").groupBy("label", "digest").agg(F.min("id").alias("leader"), F.count("*").alias("copies"), F.first("dim").alias("dim"), F.first("unit").alias("unit"))
-    classes = materialize(classes, "vector-classes")
-
-    leaders = classes.select(F.col("leader").alias("id"), "label", "dim", "unit")
-    keyed = leaders.mapInArrow(_keys, "pass int, label long, dim int, key long, id long, unit binary")
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "vector-classes")
+
+    sums = classes.select("label", "dim", "unit").mapInArrow(_sums, "label long, dim int, n long, sum binary").repartition("label", "dim").sortWithinPartitions("label", "dim")
+    means = materialize(sums.mapInArrow(_means(cosine), "label long, dim int, mean binary, passes int"), "label-means")
+    n, dim = means.agg(F.count("*"), F.max("dim")).first()
+    leaders = classes.select(F.col("node").alias("id"), "label", "dim", "unit")
+    keyed = leaders.join(F.broadcast(means), ["label", "dim"]) if n * 8 * (dim or 0) <= BROADCAST_BYTES else spread_join(leaders, means, ["label", "dim"])
+    keyed = keyed.select("id", "label", "dim", "unit", "mean", "passes").mapInArrow(_keys, "pass int, label long, dim int, key long, id long, unit binary")
     ordered = keyed.repartitionByRange("pass", "label", "dim", "key").sortWithinPartitions("pass", "label", "dim", "key")
-    found = connected_components(ordered.mapInArrow(_windows(cosine), "a long, b long"), "a", "b")
-    found = materialize(found, "vector-components")
+    found = materialize(connected_components(ordered.mapInArrow(_windows(cosine), "a long, b long"), "a", "b"), "vector-components")
 
-    members = found.join(classes, F.col("node") == F.col("leader")).select("component", F.col("node").alias("id"), "copies", "dim", "unit")
-    sizes = found.groupBy("component").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
-    members = members.join(sizes, "component").withColumn("chunk", F.pmod(F.xxhash64("id"), "chunks"))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    chunks = F.ceil(F.greatest(F.sqrt(F.count("*")) / DEAL, F.count("*") * (8 * (dim or 0)) / CHUNK_BYTES)).cast("long")
+    sizes = found.groupBy("component").agg(chunks.alias("chunks"))
+    members = spread_join(found, sizes, ["component"]).join(classes.select("node", "copies", "dim", "unit"), "node")
+    members = members.withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     low, high = F.least("chunk", "other"), F.greatest("chunk", "other")
-    members = members.select(F.xxhash64("component", low, high).alias("block"), (F.col("chunk") > F.col("other")).cast("int").alias("side"), "id", "copies", "dim", "unit")
+    members = members.select(F.xxhash64("component", low, high).alias("block"), (F.col("chunk") > F.col("other")).cast("int").alias("side"), F.col("node").alias("id"), "copies", "dim", "unit")
     members = members.repartition("block").sortWithinPartitions("block", "side")
-    links = members.mapInArrow(_counts(cosine), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-
-    named = classes.select("label", "digest", "leader", "copies").join(found.toDF("leader", "component"), "leader", "left").join(links.toDF("leader", "n"), "leader", "left")
-    named = named.select("label", "digest", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "leader").alias("component"))
-    component = F.coalesce("component", "id")
-    return rows.select("id", "label", "digest").join(named, ["label", "digest"], "left").select(
-        F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept")
+    links = members.mapInArrow(_counts(cosine), "id long, n long").groupBy(F.col("id").alias("node")).agg(F.sum("n").alias("n"))
+
+    named = classes.select("node", "label", "digest", "leader", "copies").join(found, "node", "left").join(links, "node", "left")
+    named = materialize(named.select("label", "digest", "leader", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component")), "vector-links")
+    named = spread_join(named, named.groupBy("component").agg(F.min("leader").alias("first")), ["component"]).select("label", "digest", "n_links", "first")
+    named = materialize(named, "named-vectors")
+    component = F.coalesce("first", "id")
+    return spread_join(rows.select("id", "label", "digest"), named, ["label", "digest"], "left").select(
+        F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept")
     )

@@ -114,7 +114,9 @@ def test_minhash_empty(spark):
 
 
 def test_embeddings_against_all_pairs(spark, monkeypatch):
-    monkeypatch.setattr(embeddings, "CHUNK", 7)
+    monkeypatch.setattr(embeddings, "DEAL", 2)
+    monkeypatch.setattr(embeddings, "PRODUCT", 30)
+    monkeypatch.setattr(storage, "HEAVY_LEAST", 5)
     dim = 8
     centre = RNG.standard_normal(dim)
     vectors = [(i, (centre + 0.01 * RNG.standard_normal(dim)).tolist(), 1) for i in range(40)]
@@ -133,6 +135,38 @@ def test_embeddings_against_all_pairs(spark, monkeypatch):
     component = reach({v[0] for v in vectors}, [(vectors[a][0], vectors[b][0]) for a in range(len(vectors)) for b in range(a) if linked[a][b]])
     assert got == sorted((v[0], sum(linked[i]), component[v[0]], v[0] == component[v[0]]) for i, v in enumerate(vectors))
     assert embeddings.embedding_dedup(df.limit(0)).count() == 0
+    named = df.where("label is null or label < 2").withColumn("label", F.concat(F.lit("l"), F.col("label"))).withColumn("vec_id", F.col("vec_id") - 1000)
+    other = sorted((r.vec_id + 1000, r.n_links, r.component_id + 1000, r.kept) for r in embeddings.embedding_dedup(named).collect())
+    kept = {v[0] for v in vectors if v[2] != 2}
+    assert other == [g for i, g in enumerate(got) if g[0] in kept]
+    both = spark.createDataFrame([(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [0.0, 1.0], 1)], "vec_id long, embedding array<float>, label int")
+    assert sorted(map(tuple, embeddings.embedding_dedup(both).collect())) == [(1, 0, 1, True), (1, 1, 1, True), (2, 1, 1, False)]
+
+
+def recall(n, share, cosine=0.9805, lone=2000, dim=32):
+    """Share of lone pairs that meet in a window of some pass, in a label whose vectors share a direction."""
+    rng = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    spread = lambda m: unit(np.sqrt(share) * np.eye(dim)[0] + np.sqrt(1 - share) * unit(rng.standard_normal((m, dim)) * (np.arange(dim) > 0)))
+    x, a = spread(n), spread(lone)
+    away = rng.standard_normal((lone, dim))
+    away = unit(away - (away * a).sum(1, keepdims=True) * a)
+    x = np.concatenate([x, a, cosine * a + np.sqrt(1 - cosine**2) * away])
+    mean = x.mean(axis=0)
+    passes = embeddings.passes_needed(len(x), 1 - float(mean @ mean), 0.98)
+    met, weight = np.zeros(lone, bool), 1 << np.arange(embeddings.SIGNS, dtype=np.int64)[::-1]
+    for p in range(passes):
+        place = np.empty(len(x), np.int64)
+        place[np.argsort(((x - mean) @ embeddings._planes(dim, p) > 0) @ weight, kind="stable")] = np.arange(len(x))
+        met |= np.abs(place[n : n + lone] - place[n + lone :]) <= embeddings.WINDOW
+    return passes, float(met.mean())
+
+
+@pytest.mark.parametrize("share", [0.0, 0.8])
+def test_embedding_recall(share):
+    few, many = embeddings.passes_needed(10_000, 1 - share, 0.98), embeddings.passes_needed(10**9, 1 - share, 0.98)
+    assert few < many
+    assert recall(30_000, share)[1] >= 0.98
 
 
 def filled(sizes, weights, epochs=3):

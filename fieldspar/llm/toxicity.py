@@ -44,8 +44,9 @@ IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
 
 #: Labelled rows that a fit uses at most: of each label, those with the smallest hash of their id, half the bound or what the other leaves.
 MAX_ROWS = 50_000
-#: A word counts if that many labelled rows have it, and its share differs by so many deviations: of a million words, one does by chance.
-MIN_ROWS, MIN_Z = 5, 5.0
+#: A word counts if that many labelled rows have it, its share differs by so many deviations - of a million words, one
+#: does by chance - and by that factor: words of a language or a topic that is toxic a little more often tell little.
+MIN_ROWS, MIN_Z, MIN_RATIO = 5, 5.0, 2.0
 #: Weight of the ridge, and of the counterfactual penalty for each text.
 RIDGE, FAIRNESS = 0.02, 5.0
 #: Bytes of a word's stems.
@@ -163,7 +164,7 @@ def _solve(x: Rows, y: np.ndarray, ridge: np.ndarray, entries: list[tuple[int, i
         z = scale * r
         q, rz = z.copy(), r @ z
         for _ in range(300):
-            if np.sqrt(r @ r) <= 1e-10 * max(1.0, np.sqrt(gradient @ gradient)):
+            if r @ r <= 1e-6 * min(1.0, gradient @ gradient) * (gradient @ gradient):  # the closer to the end, the more exactly
                 break
             hq = x.transposed(d * x.times(q)) + penalty(q)
             a = rz / (q @ hq)
@@ -175,7 +176,7 @@ def _solve(x: Rows, y: np.ndarray, ridge: np.ndarray, entries: list[tuple[int, i
         while (then := loss(w - size * step)) > now + 1e-12 * abs(now) and size > 1e-6:
             size /= 2
         w, now = w - size * step, then
-        if np.abs(size * step).max() < 1e-8:
+        if np.abs(size * step).max() < 1e-6:
             break
     return w
 
@@ -219,7 +220,9 @@ def fit_toxicity(labelled: DataFrame, text_col: str = "text", label_col: str = "
     counts = rows.mapInArrow(_word_counts, "word long, label long, n long").groupBy("word").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum("n").alias("df"))
     mean = F.col("df") / (n0 + n1)
     z = (F.col("a") / n1 - (F.col("df") - F.col("a")) / n0) / F.sqrt(F.greatest(mean * (1 - mean), F.lit(1e-12)) * (1 / n0 + 1 / n1))
-    best = counts.where((F.col("df") >= MIN_ROWS) & (F.abs(z) >= MIN_Z)).select("word")
+    toxic, clean = F.col("a") / n1, (F.col("df") - F.col("a")) / n0
+    apart = F.greatest(toxic, clean) >= MIN_RATIO * F.least(toxic, clean)
+    best = counts.where((F.col("df") >= MIN_ROWS) & (F.abs(z) >= MIN_Z) & apart).select("word")
     chosen = best.toArrow().column("word").to_numpy().view(np.uint64)
 
     names = [t for group in terms for t in group]

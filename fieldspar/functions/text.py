@@ -148,9 +148,18 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"(?U)[\w/.-]+"), F.lit(0))
 
 
+#: Letters with marks, each with its plain letter: those whose decomposition is one letter and marks.
+_PLAIN = {c: d[0] for c in map(chr, (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))) if (d := unicodedata.normalize("NFKD", c)) != c and len([x for x in d if not unicodedata.combining(x)]) == 1}
+
+
+def strip_accents(text: Column) -> Column:
+    """Latin letters without their marks, composed or not."""
+    return F.regexp_replace(F.translate(text, "".join(_PLAIN), "".join(_PLAIN.values())), r"\p{Mn}+", "")
+
+
 def index_words(text: Column) -> Column:
-    """Words of two or more letters or digits, as the search index has them."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w\w+"), F.lit(0))
+    """Words of two or more letters or digits, without case and accents, as the search index has them."""
+    return F.regexp_extract_all(strip_accents(F.lower(text)), F.lit(r"(?U)\w\w+"), F.lit(0))
 
 
 def search_terms(text: Column, limit: int = 20) -> Column:

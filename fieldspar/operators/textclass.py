@@ -81,12 +81,21 @@ def classify(rows: DataFrame, text: str, model: tuple[PipelineModel, list[str]],
     return grams.select(*rows.columns, F.when(best >= threshold, F.coalesce(named, F.lit("unknown"))).otherwise("unknown").alias("predicted"), best.alias("confidence"))
 
 
-def keyword_baseline(rows: DataFrame, key: str, text: str, labels: DataFrame, label: str, default: str) -> DataFrame:
-    """The longest label whose words a text contains, of equal ones the smallest, else a default."""
-    names = labels.select(F.col(label).alias("_l")).distinct()
+def keyword_baseline(rows: DataFrame, key: str, text: str, labels: DataFrame, label: str, default: str, *, most_words: int = 5) -> DataFrame:
+    """The longest label whose words a text contains, of equal ones the smallest, else a default.
+
+    Texts and labels are read as words of letters and digits; a text's runs of up to ``most_words``
+    words are looked up among the labels, so no text meets every label.
+    """
+    plain = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
+    names = labels.select(F.col(label).alias("_l")).distinct().withColumn("_run", plain("_l")).where("_run <> ''")
+    words = F.split(plain(text), " ")
+    starts = lambda n: F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1)))
+    of = lambda n: F.transform(starts(n), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
+    runs = F.concat(*map(of, range(1, most_words + 1)))
+    hits = rows.select(key, F.explode(F.array_distinct(runs)).alias("_run")).join(names, "_run")
     best = F.max_by("_l", F.struct(F.length("_l"), F.expr("transform(split(_l, ''), c -> -ascii(c))")))
-    hits = rows.join(names, F.contains(F.lower(text), F.replace(F.col("_l"), F.lit("_"), F.lit(" ")))).groupBy(key).agg(best.alias("predicted"))
-    return rows.join(hits, key, "left").withColumn("predicted", F.coalesce("predicted", F.lit(default)))
+    return rows.join(hits.groupBy(key).agg(best.alias("predicted")), key, "left").withColumn("predicted", F.coalesce("predicted", F.lit(default)))
 
 
 def precedence(source: Column, rule: Column, predicted: Column, confidence: Column) -> Column:

@@ -420,7 +420,7 @@ def latest_status_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-    WITH d AS (SELECT source, doc_id, trim(regexp_replace(substr(text, 1, 200), '\s+', ' ', 'g')) AS t, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 5 AS batch_no FROM documents)
+    WITH d AS (SELECT source, doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 5 AS batch_no FROM documents)
     SELECT source, CAST(batch_no AS BIGINT) AS batch_no, count(*) AS n_rows, sha256(string_agg(t, chr(10) ORDER BY doc_id)) AS content_hash FROM d GROUP BY 1, 2
 """)
 def chunk_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -441,7 +441,7 @@ def section_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections.select("doc_id", "section_no", "heading", "n_lines", F.sha2("text", 256).alias("text_hash"))
 
 
-_TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')"
+_TOKENS = r"regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}_]{2,}')"
 _GRAMS = "unnest(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])))"
 _WORD_INDEX = rf"""
     dt AS (SELECT doc_id, {_TOKENS} AS t FROM documents), qt AS (SELECT item_id, {_TOKENS} AS t FROM benchmark),
@@ -626,18 +626,24 @@ def grounding_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grounding.verify(rows.withColumn("deterministic", F.lit(""))).select("id", "rejection")
 
 
-STATEMENTS = (
-    "SELECT wellbore FROM reports", "SELECT wellbore FROM reports LIMIT 99999", "DELETE FROM reports", "SELECT 1; SELECT 2", "SELECT * FROM secrets", "DROP TABLE reports",
-    "WITH r AS (SELECT wellbore FROM reports) SELECT wellbore FROM r", "SELECT wellbore FROM reports UNION SELECT main FROM operations", "INSERT INTO reports VALUES (1)", "SELECT wellbore FROM reports WHERE id IN (SELECT id FROM secrets)",
+#: What the guarded tables show, and statements with the limit that they run under, or none.
+_GUARDED = {"reports": {"id", "wellbore", "period_end"}, "operations": {"id", "report_id", "main_activity", "duration_hours"}}
+STATEMENTS: tuple[tuple[str, int | None], ...] = (
+    ("SELECT wellbore FROM reports", 200), ("SELECT wellbore FROM reports LIMIT 99999", 1000), ("SELECT wellbore FROM reports LIMIT 5;", 5), ("DELETE FROM reports", None), ("SELECT 1; SELECT 2", None),
+    ("SELECT * FROM secrets", None), ("DROP TABLE reports", None), ("WITH r AS (SELECT wellbore FROM reports) SELECT wellbore FROM r", 200), ("SELECT wellbore FROM reports UNION SELECT main_activity FROM operations", 200),
+    ("INSERT INTO reports VALUES (1)", None), ("SELECT wellbore FROM reports WHERE id IN (SELECT id FROM secrets)", None), ("SELECT secret AS secret FROM reports", None), ("SELECT duration_hours FROM reports", None),
+    ("SELECT reflect('java.lang.System', 'getProperty', 'user.home')", None), ("SELECT id FROM range(100)", None), ("SELECT * FROM reports", None), ("SELECT count(*) AS n, avg(duration_hours) AS h FROM operations GROUP BY main_activity", 200),
+    ("SELECT r.wellbore AS w, sum(o.duration_hours) AS h FROM reports r JOIN operations o ON o.report_id = r.id GROUP BY r.wellbore ORDER BY h DESC LIMIT 10", 10), ("SELECT r.main_activity FROM reports r JOIN operations o ON o.report_id = r.id", None),
+    ("SELECT input_file_name() FROM reports", None), ("SELECT wellbore FROM reports LIMIT 0", 1), ("SELECT wellbore FROM reports LIMIT -3", None), ("SELECT wellbore AS secret FROM reports ORDER BY secret", 200), ("SELECT id FROM parquet.`/tmp/x`", None),
 )
 
 
-@query()
+@query("SELECT * FROM (VALUES " + ", ".join(f"(CAST({i} AS BIGINT), {limit is not None}, CAST({'NULL' if limit is None else limit} AS INTEGER))" for i, (_, limit) in enumerate(STATEMENTS)) + ") v(id, allowed, applied_limit)")
 def sql_guard_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = []
-    for i, statement in enumerate(STATEMENTS):
+    for i, (statement, _) in enumerate(STATEMENTS):
         try:
-            rows.append((i, True, sql_guard.guard(spark, statement, {"reports", "operations"}).limit))
+            rows.append((i, True, sql_guard.guard(spark, statement, set(_GUARDED), _GUARDED).limit))
         except sql_guard.Refused:
             rows.append((i, False, None))
     return _values(spark, rows, "id long, allowed boolean, applied_limit int")
@@ -646,8 +652,8 @@ def sql_guard_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Classification and evaluation -----------------------------------------------------------------------------------
 
 
-@query("""
-    WITH n AS (SELECT substr(lower(text), 1, 3) AS t, quality, toxic, count(*) AS n, min(doc_id) AS first_id FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2, 3),
+@query(r"""
+    WITH n AS (SELECT trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS t, quality, toxic, count(*) AS n, min(doc_id) AS first_id FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2, 3),
     r AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY n DESC, quality, toxic) AS k FROM n)
     SELECT t AS text, quality, toxic, n AS votes, first_id AS row_id FROM r WHERE k = 1
 """)
@@ -664,7 +670,7 @@ _WORDS_SQL = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_/.\-]+')"
 
 @query(rf"""
     WITH a AS (SELECT item_id AS id, t, count(*) AS n FROM (SELECT item_id, unnest({_WORDS_SQL}) AS t FROM benchmark) GROUP BY 1, 2),
-    b AS (SELECT doc_id AS id, t, count(*) AS n FROM (SELECT doc_id, unnest({_WORDS_SQL}) AS t FROM documents WHERE doc_id < 40) GROUP BY 1, 2),
+    b AS (SELECT doc_id AS id, t, count(*) AS n FROM (SELECT doc_id, unnest({_WORDS_SQL}) AS t FROM documents WHERE doc_id IN (SELECT item_id FROM benchmark)) GROUP BY 1, 2),
     s AS (SELECT coalesce(a.id, b.id) AS id, sum(least(coalesce(a.n, 0), coalesce(b.n, 0))) AS hit, sum(coalesce(a.n, 0)) AS expected, sum(coalesce(b.n, 0)) AS found FROM a FULL JOIN b ON a.id = b.id AND a.t = b.t GROUP BY 1)
     SELECT id, round(CASE WHEN found > 0 THEN hit / found ELSE 0 END, 9) AS precision, round(CASE WHEN expected > 0 THEN hit / expected ELSE 0 END, 9) AS recall FROM s
 """)

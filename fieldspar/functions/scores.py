@@ -59,5 +59,32 @@ def trend_direction(slope_low: Column, slope_high: Column) -> Column:
 
 
 def python_round(x: Column, digits: int) -> Column:
-    """Half-even rounding of the binary value's decimal expansion."""
-    return F.bround(x, digits)
+    """The double nearest to the exact binary value rounded half-even to ``digits`` places, as Python's round.
+
+    ``x * 10**digits`` is split into a rounded product and its exact error (factors are cut into
+    halves of 26 bits), so ties are told from values beside them.  Null, NaN, infinite and values
+    without a fraction at that scale stay as they are.
+    """
+    if not 0 <= digits <= 15:
+        raise ValueError("digits must be 0 to 15")
+    scale, cut = float(10**digits), 134_217_729.0
+    high_s = cut * scale - (cut * scale - scale)
+    low_s = scale - high_s
+
+    def rounded(v: Column) -> Column:
+        p, t = v * scale, v * cut
+        high = t - (t - v)
+        error = ((high * high_s - p) + high * low_s + (v - high) * high_s) + (v - high) * low_s
+        whole = F.floor(p).cast("double")
+        part = p - whole
+        odd = (whole - 2 * F.floor(whole / 2)) != 0
+        up = (part > 0.5) | ((part == 0.5) & ((error > 0) | ((error == 0) & odd)))
+        return F.when(F.abs(p) < 2.0**52, F.when(up, whole + 1).otherwise(whole) / scale).otherwise(v)
+
+    return F.get(F.transform(F.array(x.cast("double")), rounded), 0)
+
+
+def color_near(r: Column, g: Column, b: Column, target: tuple[int, int, int], tolerance: float) -> Column:
+    """Whether a pixel is within a Euclidean distance of a colour."""
+    gaps = [c.cast("int") - t for c, t in zip((r, g, b), target)]
+    return F.sqrt(gaps[0] * gaps[0] + gaps[1] * gaps[1] + gaps[2] * gaps[2]) <= tolerance

@@ -214,3 +214,15 @@ def evidence_key(text: Column, n: int = 32) -> Column:
 def safe_name(text: Column, limit: int = 120) -> Column:
     """A name that is safe for files."""
     return F.substring(F.regexp_replace(text, r"[^A-Za-z0-9._-]+", "_"), 1, limit)
+
+
+def short_sha(sha: Column) -> Column:
+    """The first 12 digits of a commit's hash in lower case; unknown if it is none."""
+    bare = F.trim(sha)
+    return F.when(bare.rlike("^[0-9a-fA-F]{7,64}$"), F.lower(F.substring(bare, 1, 12))).otherwise("unknown")
+
+
+def merged(first: Column, second: Column) -> Column:
+    """A map of both maps' entries; the second one's values win. A null map is empty."""
+    keep = F.map_filter(first, lambda k, _: ~F.coalesce(F.map_contains_key(second, k), F.lit(False)))
+    return F.when(first.isNull(), second).when(second.isNull(), first).otherwise(F.map_concat(keep, second))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer, StringIndexer, StringIndexerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldspar.functions.text import collapse
@@ -145,3 +146,31 @@ def promoted(kind: str, macro_f1: float, baseline_f1: float) -> bool:
 def first_occurrence(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """The first row of each group."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+def artefact_hash(spark: SparkSession, path: str) -> str:
+    """SHA-256 over the names and hashes of a saved model's files."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "[!_.]*").load(path)
+    own = files.select(F.regexp_extract("path", r"/((?:metadata|stages|data)/.*)$", 1).alias("name"), F.sha2("content", 256).alias("sha"))
+    listed = own.agg(F.array_sort(F.collect_list(F.concat_ws(":", "name", "sha"))).alias("all"))  # a model has a few dozen files
+    return listed.select(F.sha2(F.array_join("all", "\n"), 256)).first()[0]
+
+
+def save_classifier(model: tuple[PipelineModel, list[str]], path: str, *, version: str, is_promoted: bool) -> None:
+    """Write a model, and beside it its labels, version, promotion and hash."""
+    pipeline, labels = model
+    pipeline.write().overwrite().save(f"{path}/model")
+    spark = SparkSession.active()
+    row = (version, is_promoted, labels, artefact_hash(spark, f"{path}/model"))
+    spark.createDataFrame([row], "version string, promoted boolean, labels array<string>, sha256 string").coalesce(1).write.mode("overwrite").json(f"{path}/about")
+
+
+def load_classifier(spark: SparkSession, path: str, version: str | None = None) -> tuple[PipelineModel, list[str]] | None:
+    """A saved model, or None unless it was promoted, its files have the hash that was noted, and the version is the one asked for."""
+    try:
+        about = spark.read.schema("version string, promoted boolean, labels array<string>, sha256 string").json(f"{path}/about").first()
+    except AnalysisException:
+        return None
+    if about is None or not about.promoted or version not in (None, about.version) or about.sha256 != artefact_hash(spark, f"{path}/model"):
+        return None
+    return PipelineModel.load(f"{path}/model"), list(about.labels)

@@ -13,11 +13,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldspar.functions.scores import python_round
 from fieldspar.functions.temporal import day_number, iso, on_day
 from fieldspar.functions.text import citation, meaningful
-from fieldspar.operators import search, trend
+from fieldspar.operators import trend
 from fieldspar.operators.summary import daily_summary
 from fieldspar.plans.planner import Plan
+from fieldspar.plans.retriever import Retriever, index_folder
 from fieldspar.sources.sinks import log_query
 
 Tables = Mapping[str, DataFrame]
@@ -71,7 +73,7 @@ def summary(tables: Tables, plan: Plan) -> DataFrame:
 def activity_analysis(tables: Tables, plan: Plan) -> DataFrame:
     """Hours of each activity in the reports that the question means, by file."""
     rows = tables["operations"].join(tables["reports"].where(_all(_reports(plan))).select("report_id", "wellbore", "period_end"), "report_id").join(_files(tables), "document_id")
-    hours = F.round(F.sum("hours"), 2)
+    hours = python_round(F.sum("hours"), 2)
     return rows.groupBy("main_activity", "file_name").agg(F.coalesce(hours, F.lit(0.0)).alias("hours"), F.min("page_number").alias("page_number")).orderBy(F.desc("hours"), "main_activity", "file_name")
 
 
@@ -80,7 +82,7 @@ def count_aggregation(tables: Tables, plan: Plan) -> DataFrame:
     rows = tables["operations"].join(tables["reports"].select("report_id", "wellbore"), "report_id")
     if "fail" in plan.question.casefold():
         return rows.where("state = 'fail'").groupBy("wellbore").agg(F.count("*").alias("operations")).orderBy(F.desc("operations"), "wellbore").limit(min(plan.limit * 5, 100))
-    rows = rows.where("main_activity is not null").groupBy("main_activity", "wellbore").agg(F.count("*").alias("operations"), F.coalesce(F.round(F.sum("hours"), 2), F.lit(0.0)).alias("hours"))
+    rows = rows.where("main_activity is not null").groupBy("main_activity", "wellbore").agg(F.count("*").alias("operations"), F.coalesce(python_round(F.sum("hours"), 2), F.lit(0.0)).alias("hours"))
     return rows.orderBy(F.desc("operations"), "main_activity", "wellbore").limit(min(plan.limit * 5, 100))
 
 
@@ -134,30 +136,6 @@ HANDLERS: dict[str, Handler] = {
 }
 
 
-def retrieve(tables: Tables, plan: Plan) -> DataFrame:
-    """The best chunks for a plan: its well and dates hold, word hits first, character hits if there are none."""
-    chunks = tables["retrieval_chunks"].where(search.eligible(plan.wellbore, plan.date_from and plan.date_from.isoformat(), plan.date_to and plan.date_to.isoformat()))
-    spark = chunks.sparkSession
-    question = spark.createDataFrame([(0, plan.search_text)], "query int, text string")
-    hits = search.two_stage(chunks, "chunk_key", "searchable_text", question, "query", "text")
-    low = F.lower("searchable_text")
-
-    def mentions(names: list[str]) -> Column:
-        out = F.lit(False)
-        for name in names:
-            out = out | F.contains(low, F.lit(name))
-        return out
-
-    rows = hits.join(chunks, "chunk_key")
-    score = search.boost(
-        F.col("score"), wellbore=(F.lower("wellbore") == plan.wellbore.lower()) if plan.wellbore else F.lit(False), section=F.lit(False),
-        identifier=mentions([t for t in plan.terms if any(c.isdigit() for c in t)]), signals=F.lit(0), activity=mentions(plan.activities), equipment=mentions(plan.equipment),
-    )
-    rows = rows.withColumn("score", F.round(score, 4))
-    top = search.top_hits(rows, "chunk_key", plan.limit, recent_first=plan.latest_first, period="period_end")
-    return top.select("chunk_key", "source_type", "document_id", "page_number", "section_type", F.substring("searchable_text", 1, 700).alias("excerpt"), "score", "stage")
-
-
 @dataclass(frozen=True)
 class Answer:
     """The rows of an answer and how they were found."""
@@ -167,15 +145,18 @@ class Answer:
     seconds: float
 
 
-def answer(spark: SparkSession, tables: Tables, plan: Plan, audit_path: str | None = None) -> Answer:
-    """Rows by the plan's handler, or by retrieval if there is none or it finds nothing; logged to the audit."""
+def answer(spark: SparkSession, tables: Tables, plan: Plan, audit_path: str | None = None, index_path: str | None = None, sections: tuple[str, ...] = ()) -> Answer:
+    """Rows by the plan's handler, or by retrieval if there is none or it finds nothing; logged to the audit.
+
+    The index of the corpus lies in ``index_path`` and serves all questions until the chunks change.
+    """
     began = time.time()
     handler = HANDLERS.get(plan.intent)
     rows, route = (handler(tables, plan).limit(FAILURE_LIMIT).collect(), f"structured_{plan.intent}") if handler else ([], "")
     if not rows and plan.intent != "unsupported_out_of_corpus":
-        if tables["retrieval_chunks"].isEmpty():
-            return Answer("not_backfilled", [], time.time() - began)
-        rows = retrieve(tables, plan).collect()
+        rows, found = Retriever(tables["retrieval_chunks"], index_path or index_folder(spark)).search(plan, sections)
+        if found.status == "not_backfilled":
+            return Answer(found.status, [], time.time() - began)
         route = "retrieval" if rows else "not_found_corpus"
     route = route or "not_found_corpus"
     took = time.time() - began

@@ -95,6 +95,40 @@ def archive_problems(entries: DataFrame, limits: dict[str, float] = LIMITS) -> D
     return per.select("archive", F.explode(F.array_compact(F.array(*[F.when(t, name) for name, t in tests.items()]))).alias("problem"))
 
 
+def archive_contents(spark: SparkSession, path: str, limits: dict[str, float] = LIMITS) -> DataFrame:
+    """(archive, entry, content) of archives without a problem; an entry at a time is unpacked."""
+    entries = archive_entries(spark, path)
+    good = entries.select("archive").distinct().join(archive_problems(entries, limits), "archive", "left_anti")
+    most = int(limits["entry"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, content in batch.itertuples(index=False):
+                with zipfile.ZipFile(io.BytesIO(content)) as packed:
+                    for x in packed.infolist():
+                        if not x.is_dir():
+                            with packed.open(x) as file:
+                                own = file.read(most + 1)
+                            if len(own) > most:  # the directory may understate a size
+                                raise ValueError(f"{x.filename} is larger than {most} bytes")
+                            yield pd.DataFrame({"archive": [name], "entry": [x.filename], "content": [own]})
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.join(good.withColumnRenamed("archive", "path"), "path", "left_semi").mapInPandas(run, "archive string, entry string, content binary")
+
+
+def bootstrap_state(sources: DataFrame, preserved: DataFrame, extracted: DataFrame) -> DataFrame:
+    """(name, state) of archives: what a start has to do, or why it must stop.
+
+    ``sources`` has (name, sha256, files), ``preserved`` (name, sha256) of earlier copies and
+    ``extracted`` (name, files) that lie in their folders.
+    """
+    rows = sources.join(preserved.select("name", F.col("sha256").alias("kept")), "name", "left").join(extracted.select("name", F.col("files").alias("present")), "name", "left")
+    there = F.coalesce("present", F.lit(0))
+    state = F.when(F.col("kept") != F.col("sha256"), "different_hash").when(there == 0, "extract").when(there != F.col("files"), "partial_extraction").otherwise("complete")
+    return rows.select("name", state.alias("state"))
+
+
 def manifest(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A CSV manifest with a header."""
     return spark.read.csv(path, header=True, schema=schema)

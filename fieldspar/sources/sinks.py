@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldspar.operators.records import merge_by_key, replace_by_key
 from fieldspar.operators.rules import not_stored
-from fieldspar.sources.schemas import KEYS
+from fieldspar.sources.schemas import KEYS, conform
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -80,9 +80,12 @@ def log_query(spark: SparkSession, path: str, route: str, question: str, sql: st
     append(row.select("route", F.sha2("question", 256).alias("question_hash"), "generated_sql", "row_count", "duration_seconds", F.current_timestamp().cast("timestamp_ntz").alias("at")), path)
 
 
-def csv_report(df: DataFrame, path: str) -> None:
-    """A report as one UTF-8 CSV file with a header."""
-    df.coalesce(1).write.mode("overwrite").csv(path, header=True, encoding="UTF-8")
+def csv_report(df: DataFrame, path: str, *more: DataFrame) -> None:
+    """A report as one UTF-8 CSV file with a byte order mark and a header of all tables' columns."""
+    for other in more:
+        df = df.unionByName(other, allowMissingColumns=True)
+    marked = df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0])
+    marked.coalesce(1).write.mode("overwrite").csv(path, header=True, encoding="UTF-8")
 
 
 def json_summary(df: DataFrame, path: str) -> None:
@@ -95,3 +98,66 @@ def markdown(df: DataFrame, title: str, limit: int = 100) -> str:
     rows = df.limit(limit).collect()
     head = [f"# {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "-|" * len(df.columns)]
     return "\n".join([*head, *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows)])
+
+
+#: Child table: the column that numbers its rows, if it has one.
+REPORT_CHILDREN = {"pages": None, "report_sections": "section_id", "operations": "operation_id", "extracted_values": "value_id", "section_table_rows": "row_id", "equipment_failures": "failure_id"}
+PLOT_CHILDREN = {"plot_points": "point_id"}
+#: Rows of a child table that a document can have, as a power of two.
+CHILD_BITS = 20
+
+
+def _renew(rows: DataFrame, documents: DataFrame, path: str, key: str) -> None:
+    """Replace all rows of the documents, also of those that have none now."""
+    spark = rows.sparkSession
+    overwrite(spark.read.parquet(path).join(documents, key, "left_anti").unionByName(rows) if _exists(spark, path) else rows, path)
+
+
+def _numbered(key: str, name: str) -> Column:
+    """The id of the child row at a place of its document."""
+    return (F.call_function("shiftleft", F.col(key), F.lit(CHILD_BITS)) + F.col("_at")).alias(name)
+
+
+def _persist(parsed: DataFrame, root: str, parent: str, field: str, own_id: str, children: dict[str, str | None]) -> None:
+    documents = parsed.select("document_id").distinct()
+    rows = parsed.select(f"{field}.*", "document_id", F.col("document_id").alias(own_id))
+    _renew(conform(rows, parent), documents, f"{root}/{parent}", "document_id")
+    for table, number in children.items():
+        if table not in parsed.columns:
+            continue
+        own = parsed.select("document_id", F.col("document_id").alias(own_id), F.posexplode(table).alias("_at", "_row"))
+        row_id = [_numbered("document_id", number)] if number else []
+        _renew(conform(own.select("_row.*", "document_id", own_id, *row_id), table), documents, f"{root}/{table}", "document_id")
+
+
+def persist_reports(parsed: DataFrame, root: str) -> None:
+    """Write parsed reports to their tables: the ``report`` struct, and an array of structs named as each child table.
+
+    A report has its document's id and child rows are numbered by document and place, so a second
+    run writes the same rows.  Fields of the structs must not repeat the ids.
+    """
+    parsed = parsed.persist()
+    try:
+        _persist(parsed, root, "reports", "report", "report_id", REPORT_CHILDREN)
+    finally:
+        parsed.unpersist()
+
+
+def persist_plots(parsed: DataFrame, root: str) -> None:
+    """Write parsed plots and points as reports are; ``anomalies`` and ``identity_mappings`` are inserted where they are new."""
+    parsed = parsed.persist()
+    try:
+        _persist(parsed, root, "plots", "plot", "plot_id", {})
+        _persist_points(parsed, root)
+        for table in ("anomalies", "identity_mappings"):
+            if table in parsed.columns:
+                insert_absent(conform(parsed.select("document_id", F.explode(table).alias("_row")).select("_row.*", "document_id"), table), f"{root}/{table}", KEYS[table])
+    finally:
+        parsed.unpersist()
+
+
+def _persist_points(parsed: DataFrame, root: str) -> None:
+    plots = parsed.select(F.col("document_id").alias("plot_id")).distinct()
+    for table, number in PLOT_CHILDREN.items():
+        points = parsed.select(F.col("document_id").alias("plot_id"), F.posexplode(table).alias("_at", "_row"))
+        _renew(conform(points.select("_row.*", "plot_id", _numbered("plot_id", number)), table), plots, f"{root}/{table}", "plot_id")

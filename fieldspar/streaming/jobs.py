@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from fieldspar.operators.records import effective_status, replace_by_key
@@ -73,3 +75,38 @@ def rechunk(changed: DataFrame, chunks: str, checkpoint: str, build: Callable[[D
         overwrite(replace_by_key(spark.read.parquet(chunks), new, ["document_id"]) if _exists(spark, chunks) else new, chunks)
 
     return _batches(changed, checkpoint, each)
+
+
+# Questions of a session, seconds between two, and characters of one.
+QUOTA, COOLDOWN, LONGEST = 50, 1.0, 2000
+
+
+def upload_once(uploads: DataFrame, session: str, sha: str, ts: str, delay: str = "1 day") -> DataFrame:
+    """A session's uploads without those whose hash it has had."""
+    return uploads.withWatermark(ts, delay).dropDuplicatesWithinWatermark([session, sha])
+
+
+def admit_questions(questions: DataFrame, *, quota: int = QUOTA, cooldown: float = COOLDOWN, longest: int = LONGEST) -> DataFrame:
+    """(session_id, question_id, verdict) of a stream of (session_id, question_id, asked_at, question).
+
+    The verdict is too_long, quota, cooldown or admitted, the first that holds; only admitted questions
+    count and start the cooldown.  A session's state is two numbers; its questions of one batch are
+    taken by time, equal times by id.  Null questions are empty.
+    """
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        count, last = state.get if state.exists else (0, float("-inf"))
+        rows = pd.concat(list(batches)).sort_values(["at", "question_id"])
+        verdicts = []
+        for at, size in zip(rows["at"], rows["size"]):
+            verdict = "too_long" if size > longest else "quota" if count >= quota else "cooldown" if at - last < cooldown else "admitted"
+            if verdict == "admitted":
+                count, last = count + 1, at
+            verdicts.append(verdict)
+        state.update((count, float(last)))
+        yield pd.DataFrame({"session_id": key[0], "question_id": rows["question_id"].to_numpy(), "verdict": verdicts})
+
+    short = questions.select(
+        F.col("session_id").cast("string"), F.col("question_id").cast("long"), (F.unix_micros(F.col("asked_at").cast("timestamp")) / 1e6).alias("at"), F.coalesce(F.length("question"), F.lit(0)).alias("size")
+    )
+    return short.groupBy("session_id").applyInPandasWithState(run, "session_id string, question_id long, verdict string", "n int, last double", "append", GroupStateTimeout.NoTimeout)

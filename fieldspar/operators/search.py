@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from fieldspar.functions.text import index_words
 
 WORD_CAP, CHAR_CAP, CHAR_MIN_DF = 25_000, 12_000, 3
+#: Terms of all queries that are sent to every task; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 WORD_LEAST, BLEND_LEAST, BLEND = 0.035, 0.012, 0.65
 
 # What a hit's score gains.
@@ -51,13 +53,16 @@ def text_char_grams(text: Column, sizes: tuple[int, ...] = (3, 4)) -> Column:
 
 
 def word_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, tf) of words and pairs of words."""
-    return docs.select(key, F.explode(word_grams(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    """(key, term, tf) of words and pairs of words.
+
+    Texts are dealt by key, which is the only shuffle: counts, norms and scores by key follow in place.
+    """
+    return docs.select(key, text).repartition(key).select(key, F.explode(word_grams(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def char_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term, tf) of character grams; each distinct word of a text is cut into grams once."""
-    words = docs.select(key, F.explode(index_words(F.col(text))).alias("w")).groupBy(key, "w").agg(F.count("*").alias("n"))
+    words = docs.select(key, text).repartition(key).select(key, F.explode(index_words(F.col(text))).alias("w")).groupBy(key, "w").agg(F.count("*").alias("n"))
     grams = words.select(key, "n", F.explode(char_grams(F.col("w"))).alias("term"))
     return grams.groupBy(key, "term").agg(F.sum("n").alias("tf"))
 
@@ -97,6 +102,9 @@ def query_vector(index: Index, counts: DataFrame, query_key: str) -> DataFrame:
 
 def cosine(index: Index, key: str, vector: DataFrame, query_key: str) -> DataFrame:
     """(query, key, score) of the documents that share a term."""
+    vector = vector.persist()
+    if vector.count() <= BROADCAST_ROWS:  # the postings stay where they are
+        vector = F.broadcast(vector)
     return index.postings.join(vector, "term").groupBy(query_key, key).agg(F.sum(F.col("weight") * F.col("query_weight")).alias("score"))
 
 

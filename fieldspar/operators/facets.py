@@ -32,3 +32,15 @@ def representative_sources(reports: DataFrame, failures: DataFrame, operations:
     others = having(operations).join(failing, "document_id", "left_anti").withColumn("reason", F.lit("operation"))
     # failures first, so the operations fill what they leave of the limit
     return failing.withColumn("reason", F.lit("failure")).union(others).orderBy("reason", "document_id").limit(limit)
+
+
+def page_histogram(documents: DataFrame) -> DataFrame:
+    """(page_count, documents) of a corpus; documents whose pages are unknown count under null."""
+    return documents.groupBy("page_count").agg(F.count("*").alias("documents"))
+
+
+def section_coverage(reports: DataFrame, sections: DataFrame) -> DataFrame:
+    """(section_type, reports, share): in how many reports of the corpus a section stands."""
+    total = F.broadcast(reports.agg(F.count("*").alias("total")))  # one row
+    own = sections.join(reports.select("report_id"), "report_id", "left_semi").groupBy("section_type").agg(F.countDistinct("report_id").alias("reports"))
+    return own.join(total, F.lit(True)).select("section_type", "reports", (F.col("reports") / F.col("total")).alias("share"))

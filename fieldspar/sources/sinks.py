@@ -57,6 +57,16 @@ def insert_absent(df: DataFrame, path: str, keys: list[str]) -> int:
         fresh.unpersist()
 
 
+def rebuild_version(df: DataFrame, path: str, version: str, key: str = "candidate_key", column: str = "model_version") -> None:
+    """Replace the rows of exactly one version; rows of others, and of none, stay, and their keys are not written again."""
+    spark = df.sparkSession
+    fresh = df.dropDuplicates([key])
+    if _exists(spark, path):
+        kept = spark.read.parquet(path).where(~F.col(column).eqNullSafe(F.lit(version)))
+        fresh = kept.unionByName(fresh.join(kept.select(key), key, "left_anti"), allowMissingColumns=True)
+    overwrite(fresh, path)
+
+
 def upsert(df: DataFrame, path: str, table: str) -> None:
     """Merge rows into a table by its key."""
     spark = df.sparkSession

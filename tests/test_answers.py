@@ -106,6 +106,21 @@ def test_persist_reports(spark, tmp_path):
     assert (read("plots").count(), read("plot_points").count(), read("anomalies").count()) == (1, 2, 1)
 
 
+def test_rebuild_version(spark, tmp_path):
+    ddl, path = "candidate_key string, model_version string, score double", str(tmp_path / "a")
+    sinks.rebuild_version(spark.createDataFrame([("a", "1", 1.0), ("b", "2", 2.0), ("c", None, 3.0)], ddl), path, "1")
+    sinks.rebuild_version(spark.createDataFrame([("b", "1", 9.0), ("d", "1", 4.0), ("d", "1", 4.0)], ddl), path, "1")
+    assert {tuple(r) for r in spark.read.parquet(path).collect()} == {("b", "2", 2.0), ("c", None, 3.0), ("d", "1", 4.0)}
+
+
+def test_coverage(spark):
+    pages = spark.createDataFrame([(1, 2), (2, 2), (3, None)], "document_id long, page_count int")
+    assert {tuple(r) for r in facets.page_histogram(pages).collect()} == {(2, 2), (None, 1)}
+    reports = spark.createDataFrame([(1,), (2,), (3,), (4,)], "report_id long")
+    sections = spark.createDataFrame([(1, "bit"), (1, "bit"), (2, "bit"), (4, "mud"), (9, "mud")], "report_id long, section_type string")
+    assert {tuple(r) for r in facets.section_coverage(reports, sections).collect()} == {("bit", 2, 0.5), ("mud", 1, 0.25)}
+
+
 def test_csv_mark(spark, tmp_path):
     sinks.csv_report(spark.sql("select 1 as a"), str(tmp_path / "c"), spark.sql("select 2 as b"))
     (file,) = (tmp_path / "c").glob("*.csv")

@@ -8,7 +8,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from fieldspar.plans import catalogue
+from fieldspar.plans import catalogue, catalogue_reports  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the test tables are not here")

@@ -126,6 +126,7 @@ _SECRETS = ", ".join((
     _matches("hex", 3, "[0-9a-f]+", "length(match) >= 32"),
     _matches("entropy_hex", 4, "[0-9A-Za-z]+", "length(match) >= 24 AND regexp_matches(match, '^[0-9a-fA-F]+$') AND regexp_matches(match, '[0-9]') AND regexp_matches(match, '[a-fA-F]')"),
     _matches("entropy_base64", 5, "[A-Za-z0-9+/_=-]+", "length(match) >= 24 AND regexp_matches(match, '[0-9]') AND regexp_matches(match, '[A-Z]') AND regexp_matches(match, '[a-z]')"),
+    _matches("entropy_base36", 6, "[0-9A-Za-z]+", "length(match) >= 24 AND regexp_matches(match, '[0-9]') AND (regexp_matches(match, '^[0-9a-z]*[g-z][0-9a-z]*$') OR regexp_matches(match, '^[0-9A-Z]*[G-Z][0-9A-Z]*$'))"),
 ))
 # What the scan allows, in the words of its documentation: UUIDs, alphabets in order, the example key of a cloud's manual.
 _SECRETS += ", " + ", ".join((
@@ -197,12 +198,12 @@ ORACLES: dict[str, str] = {
     "op3_secret_scan": rf"""
     WITH {_SECRETS},
     base AS (SELECT * FROM assign UNION ALL SELECT * FROM access UNION ALL SELECT * FROM hex),
-    candidates AS (SELECT * FROM entropy_hex UNION ALL SELECT * FROM entropy_base64),
+    candidates AS (SELECT * FROM entropy_hex UNION ALL SELECT * FROM entropy_base64 UNION ALL SELECT * FROM entropy_base36),
     allowed AS (SELECT doc_id, a, b FROM uuid UNION ALL SELECT doc_id, a, b FROM alphabet WHERE b - a >= 24 UNION ALL SELECT doc_id, a, b FROM manual),
     all_windows AS (SELECT *, unnest(range(0, length(match) - 23)) AS i FROM candidates),
     windows AS (SELECT * FROM all_windows w WHERE NOT EXISTS (SELECT 1 FROM allowed x WHERE x.doc_id = w.doc_id AND x.a <= w.a + w.i AND w.a + w.i + 24 <= x.b)),
     hot AS (SELECT doc_id, rank, kind, a + min(i) AS a, a + max(i) + 24 AS b FROM windows
-        WHERE list_aggregate(string_split(substr(match, CAST(i AS BIGINT) + 1, 24), ''), 'entropy') >= CASE kind WHEN 'entropy_hex' THEN 3.0 ELSE 4.1 END - 1e-9 GROUP BY doc_id, rank, kind, windows.a, match),
+        WHERE list_aggregate(string_split(substr(match, CAST(i AS BIGINT) + 1, 24), ''), 'entropy') >= CASE kind WHEN 'entropy_hex' THEN 3.0 WHEN 'entropy_base36' THEN 3.5 ELSE 4.1 END - 1e-9 GROUP BY doc_id, rank, kind, windows.a, match),
     more AS (SELECT * FROM hot h WHERE NOT EXISTS (SELECT 1 FROM base x WHERE x.doc_id = h.doc_id AND x.a <= h.a AND h.b <= x.b)),
     listed AS (SELECT doc_id, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank) AS s, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex FROM base GROUP BY 1),
     whole AS (SELECT doc_id, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank) AS s FROM (SELECT doc_id, rank, kind, a, b FROM base UNION ALL SELECT doc_id, rank, kind, a, b FROM more) GROUP BY 1)

@@ -39,6 +39,12 @@ CLASSES: dict[str, tuple[str, str, float]] = {
         r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[a-z0-9+/_=-]*[A-Z])(?=[A-Z0-9+/_=-]*[a-z])[A-Za-z0-9+/_=-]{24,}+",
         4.1,
     ),
+    # Letters of one case with digits, but not hex alone: base32 and base36 keys.
+    "entropy_base36": (
+        "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
+        r"(?<![0-9A-Za-z])(?:(?=[a-z]*[0-9])(?=[0-9a-f]*[g-z])[0-9a-z]{24,}+|(?=[A-Z]*[0-9])(?=[0-9A-F]*[G-Z])[0-9A-Z]{24,}+)(?![0-9A-Za-z])",
+        3.5,
+    ),
 }
 #: Stretches that are no secret - windows inside one don't count: UUIDs, alphabets in order, documented example keys.
 ALLOWED: tuple[str, ...] = (

@@ -237,9 +237,13 @@ FREE = (r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", rf"(?:{string.a
 def entropy_spans(text, base):
     out, text = [], text or ""
     free = [m.span() for rule in FREE for m in re.finditer(rule, text)]
-    for rank, kind, run, needs, bits in ((4, "entropy_hex", r"[0-9A-Za-z]+", ("[0-9]", "[a-fA-F]"), 3.0), (5, "entropy_base64", r"[A-Za-z0-9+/_=-]+", ("[0-9]", "[a-z]", "[A-Z]"), 4.1)):
+    classes = (
+        (4, "entropy_hex", r"[0-9A-Za-z]+", ("[0-9]", "[a-fA-F]", "^[0-9a-fA-F]+$"), 3.0), (5, "entropy_base64", r"[A-Za-z0-9+/_=-]+", ("[0-9]", "[a-z]", "[A-Z]"), 4.1),
+        (6, "entropy_base36", r"[0-9A-Za-z]+", ("[0-9]", "[g-zG-Z]", "^(?:[0-9a-z]+|[0-9A-Z]+)$"), 3.5),
+    )
+    for rank, kind, run, needs, bits in classes:
         for m in re.finditer(run, text):
-            if len(m[0]) < 24 or not all(re.search(c, m[0]) for c in needs) or (rank == 4 and not re.fullmatch("[0-9a-fA-F]+", m[0])):
+            if len(m[0]) < 24 or not all(re.search(c, m[0]) for c in needs):
                 continue
             hot = []
             for i in range(m.start(), m.end() - 23):
@@ -259,12 +263,17 @@ def test_secrets_against_python(spark):
     texts = SECRET_TEXTS + ["k Ab3dEf5Gh7Jk9Lm2Nq4Rs6Tu8Vwxxxx", "k Ab3dEf5Gh7Jk9Lm2Nq4Rs6Tu8VwyWyZ", "550e8400-e29b-41d4-a716-446655440000Zx9Qw7Lm3Np5Rt1Vb8Yc2Kd6", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", f"é {long}", "é " + "a1B" * 3000 + long[:30]]
     n_fixed = len(texts)
     texts += ["".join(RNG.choice(list("abcdef0123456789ABCXYZ+/ =:")) for _ in range(300)) for _ in range(20)]
+    one_case = ["".join(RNG.choice(list(letters + string.digits), 40)) for letters in (string.ascii_lowercase, string.ascii_uppercase)]
+    texts += [f"x {one_case[0]}, {one_case[1]}", f"{one_case[0]}Z", f"_{one_case[0][:24]}_", "data1data2data3data4data5", "AKIA" + one_case[1], f"Ab-{one_case[0]}", "abcdefghijklmnopqrstuvwxyz0123456789"]
     df = docs(spark, list(enumerate(texts))).withColumn("spans", F.lit(1))
     got = {r.doc_id: r for r in secrets.find_secrets(df).collect()}
     for i, t in enumerate(texts):
         base = base_spans(t)
         assert [tuple(s) for s in got[i].base_spans] == base, t
         assert [tuple(s) for s in got[i].spans] == sorted(base + entropy_spans(t, base)), t
+    assert [[s.kind for s in got[i].spans] for i in range(len(texts) - 7, len(texts))] == [
+        ["entropy_base36"] * 2, ["entropy_base64"], ["entropy_base36"], [], ["access"], ["entropy_base64", "entropy_base36"], [],
+    ]
     assert "entropy_base64" in {s.kind for s in got[10].spans} and not got[9].spans and not got[11].spans
     assert [len(got[i].spans) for i in range(n_fixed - 6, n_fixed)] == [1, 1, 1, 0, 1, 1]
 

@@ -31,6 +31,8 @@ _LONG_ACCESS = r"AKIA[A-Z0-9]{12,}+"
 _LONG_HEX = r"(?<![0-9a-f])[0-9a-f]{32,}+"
 
 WINDOW = 24
+#: A run that can hold a window of any class, and so any long hex run: what most texts are without.
+_RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{24}"
 #: Character class: its characters, the pattern of a candidate, and the least entropy of a window in bits.
 CLASSES: dict[str, tuple[str, str, float]] = {
     "entropy_hex": ("0123456789abcdefABCDEF", r"(?<![0-9A-Za-z])(?=[0-9]*[a-fA-F])(?=[a-fA-F]*[0-9])[0-9a-fA-F]{24,}+(?![0-9A-Za-z])", 3.0),
@@ -185,19 +187,21 @@ def find_secrets(docs: DataFrame, text_col: str = "text", *, base_col: str = "ba
     """
     docs = docs.drop(base_col, spans_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
+    (run_col,) = fresh(docs, f"{base_col}_run")
+    run = F.col(run_col)
     long = F.transform(F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)), lambda v: F.length(v) >= ASSIGN_LEAST)
     base = F.concat(
         _when(text.rlike(ASSIGN), _spans(text, ASSIGN, "assign", 1, long)),
         _when(F.contains(text, F.lit("AKIA")), _spans(text, _LONG_ACCESS, "access", 2)),
-        _when(text.rlike(_LONG_HEX), _spans(text, _LONG_HEX, "hex", 3)),
+        _when(run & text.rlike(_LONG_HEX), _spans(text, _LONG_HEX, "hex", 3)),
     )
     # Stretches shorter than a window can't hold one.
     rule = "|".join(f"(?:{rule})" for rule in allowed) or "(?!)"
-    stretches = _when(text.rlike(rule), F.filter(_spans(text, rule, "allowed", 0), lambda s: s["end"] - s["start"] >= _STRETCH))
+    stretches = _when(run & text.rlike(rule), F.filter(_spans(text, rule, "allowed", 0), lambda s: s["end"] - s["start"] >= _STRETCH))
     listed = F.array(stretches)
-    scan = lambda kind, rank: F.transform(listed, lambda own: _entropy(text, kind, rank, own))[0]
+    scan = lambda kind, rank: _when(run, F.transform(listed, lambda own: _entropy(text, kind, rank, own))[0])
     more = F.concat(*(scan(kind, 4 + i) for i, kind in enumerate(CLASSES)))
-    rows = docs.withColumns({base_col: F.array_sort(base), spans_col: more})
+    rows = docs.withColumn(run_col, text.rlike(_RUN)).withColumns({base_col: F.array_sort(base), spans_col: more}).drop(run_col)
     new = F.filter(F.col(spans_col), lambda s: ~F.exists(F.col(base_col), lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
     return rows.withColumn(spans_col, F.array_sort(F.concat(F.col(base_col), new)))
 

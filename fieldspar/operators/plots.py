@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldspar.functions.temporal import day_number
+
 
 def fit_axis(samples: DataFrame, by: list[str], pixel: str, value: str) -> DataFrame:
     """(by, n, slope, intercept, rmse) of each axis; null where two samples, 5 pixels or two values are lacking.
@@ -39,6 +41,28 @@ def axis_samples(tokens: DataFrame, bounds: DataFrame, by: list[str]) -> DataFra
     return rows.select(*by, "axis", F.when(F.col("axis") == "x", F.col("x")).otherwise(F.col("y")).alias("pixel"), "value")
 
 
+# A month on a time axis, and the values that a time plot's y axis may show.  The pattern takes the
+# first digit of October to December, so they count as January; results that must agree depend on it.
+MONTH = r"(20\d{2})[-/.](0?[1-9]|1[0-2])"
+TIME_LEAST, TIME_MOST = 100, 100_000
+
+
+def dated_axis_samples(tokens: DataFrame, bounds: DataFrame, by: list[str]) -> DataFrame:
+    """(by, axis, pixel, value) of a time plot: months below it, as the number of their first day, and plain numbers left of it.
+
+    Tokens and bounds are those of axis_samples; a number outside the values of such plots is no sample.
+    """
+    bare, month = F.replace("text", F.lit(" "), F.lit("")), lambda i: F.regexp_extract(F.replace("text", F.lit(" "), F.lit("")), MONTH, i)
+    below = bare.rlike(MONTH) & (F.col("y") > F.col("bottom")) & F.col("x").between(F.col("left"), F.col("right"))
+    day = F.make_date(month(1).try_cast("int"), month(2).try_cast("int"), F.lit(1))
+    plain = F.trim(F.replace("text", F.lit(","), F.lit("")))
+    value = F.when(plain.rlike(r"^\d+(\.\d+)?$"), plain.try_cast("double"))
+    beside = (F.col("x") < F.col("left")) & F.col("y").between(F.col("top"), F.col("bottom")) & value.between(TIME_LEAST, TIME_MOST)
+    sample = F.when(below, F.struct(F.lit("x").alias("axis"), F.col("x").cast("double").alias("pixel"), day_number(day).cast("double").alias("value")))
+    sample = sample.when(beside, F.struct(F.lit("y").alias("axis"), F.col("y").cast("double").alias("pixel"), value.alias("value")))
+    return tokens.join(bounds, by).select(*by, sample.alias("_s")).where("_s is not null").select(*by, "_s.*")
+
+
 def plot_bounds(projection: DataFrame, by: list[str], position: str, dark: str, length: str, share: float = 0.3) -> DataFrame:
     """(by, first, last) centres of the outermost runs of positions that are dark for a share of their length."""
     hits = projection.where(F.col(dark) > share * F.col(length)).select(*by, position)

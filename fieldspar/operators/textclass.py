@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer, StringIndexer, StringIndexerModel
+from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +18,8 @@ from fieldspar.operators.search import text_char_grams, word_grams
 THRESHOLDS = {"main": 0.55, "sub": 0.40}
 GATES = {"main": 0.50, "sub": 0.25}
 MIN_CLASS = 20
+# The vocabularies of word and character grams.
+WORD_FEATURES, CHAR_FEATURES = 12_000, 18_000
 
 
 def majority_labels(rows: DataFrame, text: str, labels: list[str], row_id: str) -> DataFrame:
@@ -54,18 +57,33 @@ def large_classes(rows: DataFrame, label: str, least: int = MIN_CLASS) -> DataFr
     return rows.join(enough, label, "left_semi")
 
 
-def fit_classifier(train: DataFrame, text: str, label: str, *, features: int = 18_000, iterations: int = 60) -> tuple[PipelineModel, list[str]]:
-    """A class-balanced logistic regression over word and character grams, and its labels by index."""
-    rows = train.withColumn("_grams", F.concat(word_grams(F.col(text)), text_char_grams(F.col(text), (3, 4, 5))))
-    counts = rows.groupBy(label).agg(F.count("*").alias("_n"))
+def _grams(rows: DataFrame, text: str) -> DataFrame:
+    return rows.withColumns({"_words": word_grams(F.col(text)), "_chars": text_char_grams(F.col(text), (3, 4, 5))})
+
+
+def _weighting(rows: DataFrame, grams: str, most: int) -> list[Transformer]:
+    """Stages from grams to vectors of length 1, fitted: ``ln((1 + n) / (1 + df)) + 1`` for each gram of a text, of the ``most`` frequent ones in two texts or more."""
+    counter = CountVectorizer(inputCol=grams, outputCol=f"{grams}_n", vocabSize=most, minDF=2.0, binary=True).fit(rows)
+    rarity = IDF(inputCol=f"{grams}_n", outputCol=f"{grams}_idf").fit(counter.transform(rows))
+    smooth = ElementwiseProduct(scalingVec=Vectors.dense([x + 1 for x in rarity.idf.toArray()]), inputCol=f"{grams}_n", outputCol=f"{grams}_w")
+    return [counter, smooth, Normalizer(p=2.0, inputCol=f"{grams}_w", outputCol=f"{grams}_v")]
+
+
+def fit_classifier(train: DataFrame, text: str, label: str, *, words: int = WORD_FEATURES, chars: int = CHAR_FEATURES, iterations: int = 600) -> tuple[PipelineModel, list[str]]:
+    """A class-balanced logistic regression over TF-IDF vectors of word and of character grams, each with a vocabulary of its own, and its labels by index.
+
+    A gram that a text repeats counts once.  The penalty is that of a sum of losses: half the weights' squares.
+    """
+    counts = train.groupBy(label).agg(F.count("*").alias("_n"))
     total, kinds = counts.agg(F.sum("_n"), F.count("*")).first()
-    rows = rows.join(counts, label).withColumn("_weight", F.lit(float(total)) / (F.lit(float(kinds)) * F.col("_n")))
-    stages = [
-        StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc", handleInvalid="keep"),
-        CountVectorizer(inputCol="_grams", outputCol="_features", vocabSize=features, minDF=2.0, binary=True),
-        LogisticRegression(featuresCol="_features", labelCol="_label", weightCol="_weight", regParam=1e-3, maxIter=iterations, probabilityCol="_p", predictionCol="_prediction", rawPredictionCol="_raw"),
-    ]
-    model = Pipeline(stages=stages).fit(rows)
+    rows = _grams(train, text).join(counts, label).withColumn("_weight", F.lit(float(total)) / (F.lit(float(kinds)) * F.col("_n")))
+    stages = [StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc", handleInvalid="keep").fit(rows)]
+    stages += [*_weighting(rows, "_words", words), *_weighting(rows, "_chars", chars), VectorAssembler(inputCols=["_words_v", "_chars_v"], outputCol="_features")]
+    learner = LogisticRegression(
+        featuresCol="_features", labelCol="_label", weightCol="_weight", regParam=1 / total, standardization=False, maxIter=iterations,
+        probabilityCol="_p", predictionCol="_prediction", rawPredictionCol="_raw",
+    )
+    model = PipelineModel([*stages, learner.fit(PipelineModel(stages).transform(rows))])
     indexer: StringIndexerModel = model.stages[0]
     return model, list(indexer.labels)
 
@@ -73,7 +91,7 @@ def fit_classifier(train: DataFrame, text: str, label: str, *, features: int = 1
 def classify(rows: DataFrame, text: str, model: tuple[PipelineModel, list[str]], threshold: float) -> DataFrame:
     """Adds predicted and confidence; below the threshold the label is unknown."""
     pipeline, labels = model
-    grams = rows.withColumn("_grams", F.concat(word_grams(F.col(text)), text_char_grams(F.col(text), (3, 4, 5))))
+    grams = _grams(rows, text)
     for stage in pipeline.stages[1:]:
         grams = stage.transform(grams)
     p = vector_to_array("_p")

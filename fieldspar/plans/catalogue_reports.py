@@ -199,6 +199,14 @@ def token_line_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("line", "text", "y", "confidence", F.col("bbox.x0").alias("left_edge"), F.col("bbox.x1").alias("right_edge"), "last_column", "first_column")
 
 
+@query("""
+    SELECT o_custkey AS page, 'ocr_uncertain_structured_rows' AS code, 'medium' AS severity, count(*) AS row_count FROM orders WHERE o_orderkey % 10 < 6 GROUP BY 1
+""")
+def uncertain_row_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("page"), (F.col("o_orderkey") % 10 / 10).alias("confidence"))
+    return reports.uncertain_rows(rows, ["page"])
+
+
 @query("""
     WITH c AS (SELECT o_custkey AS row_id, o_orderkey AS n, CASE o_orderkey % 3 WHEN 0 THEN ' Status: ' WHEN 1 THEN 'Rig:' ELSE CASE WHEN o_orderstatus = 'P' THEN ' ' ELSE o_orderstatus || o_orderkey END END AS cell FROM orders),
     p AS (SELECT *, lead(cell) OVER (PARTITION BY row_id ORDER BY n) AS value FROM c),
@@ -312,6 +320,22 @@ def plot_point_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plots.plot_facts(points, ["plot_id"]).withColumns({"bands": named, "series": F.array_join("series", ",")})
 
 
+@query("""
+    WITH t AS (SELECT o_custkey % 50 AS plot, o_custkey % 110 - 10 AS x, o_orderkey % 130 - 10 AS y, o_orderdate AS d, o_orderkey AS k, CAST(o_totalprice AS DECIMAL(18, 2)) AS v FROM orders),
+    s AS (SELECT plot, 'x' AS axis, x AS pixel, date_diff('day', DATE '0001-01-01', make_date(year(d), CASE WHEN month(d) < 10 THEN month(d) ELSE 1 END, 1)) + 1 AS value FROM t WHERE k % 2 = 0 AND year(d) >= 2000 AND y > 100 AND x BETWEEN 0 AND 90
+        UNION ALL SELECT plot, 'y', y, v FROM t WHERE k % 2 = 1 AND k % 5 > 0 AND x < 0 AND y BETWEEN 0 AND 100 AND v BETWEEN 100 AND 100000)
+    SELECT plot, axis, count(*) AS n, CAST(sum(pixel) AS DOUBLE) AS pixels, CAST(sum(CAST(value AS DECIMAL(18, 2))) AS DOUBLE) AS total FROM s GROUP BY 1, 2
+""")
+def time_axis_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as recognised tokens: months on even ones, amounts on odd ones, of which every fifth has a unit; months of two digits count by the first (see plots.MONTH)."""
+    k = F.col("o_orderkey")
+    amount = F.concat(F.lit(" "), F.format_number(F.col("o_totalprice").cast("decimal(18,2)"), 2), F.when(k % 5 == 0, " psi").otherwise(""))
+    tokens = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("plot"), (F.col("o_custkey") % 110 - 10).alias("x"), (k % 130 - 10).alias("y"), F.when(k % 2 == 0, F.date_format("o_orderdate", "yyyy / M")).otherwise(amount).alias("text"))
+    bounds = tokens.select("plot").distinct().selectExpr("plot", "0 as left", "90 as right", "0 as top", "100 as bottom")
+    samples = plots.dated_axis_samples(tokens, bounds, ["plot"])
+    return samples.groupBy("plot", "axis").agg(F.count("*").alias("n"), F.sum("pixel").alias("pixels"), F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("total"))
+
+
 @query("""
     SELECT p_partkey AS id FROM part WHERE p_size / (1 + p_partkey % 60) BETWEEN 0.65 AND 1.45 AND p_size BETWEEN 12 AND 55 AND 1 + p_partkey % 60 BETWEEN 12 AND 55
 """)

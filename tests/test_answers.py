@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldspar.functions import scores, text
 from fieldspar.operators import facets, textclass
-from fieldspar.plans import grounding, retriever
+from fieldspar.plans import grounding, providers, retriever
 from fieldspar.plans.planner import Plan
 from fieldspar.sources import readers, schemas, sinks
 from fieldspar.streaming import jobs
@@ -154,3 +154,31 @@ def test_model_artefact(spark, tmp_path, is_promoted):
         part.write_bytes(part.read_bytes() + b" ")
         (part.parent / f".{part.name}.crc").unlink(missing_ok=True)
         assert textclass.load_classifier(spark, str(tmp_path / "m"), "v1") is None
+
+
+def test_providers():
+    fallback = providers.choose([])
+    assert not fallback.health().available and providers.worded(fallback, "two reports", []) == ("two reports", "deterministic")
+    with pytest.raises(providers.ProviderError):
+        fallback.describe_image(b"", mime_type="image/png", prompt="what")
+
+    class Echo(providers.Fallback):
+        def health(self):
+            return providers.Health(True)
+
+        def chat(self, messages, *, schema=None, limit=None):
+            return messages[0]["text"]
+
+    echo = Echo(name="echo")
+    assert providers.choose([fallback, echo]) is echo
+    assert providers.worded(echo, "two", [{"text": "deux"}]) == ("deux", "echo") and providers.worded(echo, "two", [{"text": " "}]) == ("two", "deterministic")
+
+
+def test_classifier_weights(spark):
+    texts = ["drill ahead ahead", "drill pipe", "trip out", "trip pipe", "drill on"]
+    train = spark.createDataFrame([(t, t.split()[0]) for t in texts], "t string, l string")
+    pipeline, _ = textclass.fit_classifier(train, "t", "l", words=3, iterations=5)
+    counter, smooth = pipeline.stages[1:3]
+    assert set(counter.vocabulary) == {"drill", "trip", "pipe"}  # the only words in two texts or more
+    wanted = {w: math.log(6 / (1 + sum(w in t.split() for t in texts))) + 1 for w in counter.vocabulary}
+    assert dict(zip(counter.vocabulary, smooth.getScalingVec().toArray(), strict=True)) == pytest.approx(wanted)

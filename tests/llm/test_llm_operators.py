@@ -263,7 +263,8 @@ def test_secrets_against_python(spark):
     texts = SECRET_TEXTS + ["k Ab3dEf5Gh7Jk9Lm2Nq4Rs6Tu8Vwxxxx", "k Ab3dEf5Gh7Jk9Lm2Nq4Rs6Tu8VwyWyZ", "550e8400-e29b-41d4-a716-446655440000Zx9Qw7Lm3Np5Rt1Vb8Yc2Kd6", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", f"é {long}", "é " + "a1B" * 3000 + long[:30]]
     n_fixed = len(texts)
     texts += ["".join(RNG.choice(list("abcdef0123456789ABCXYZ+/ =:")) for _ in range(300)) for _ in range(20)]
-    one_case = ["".join(RNG.choice(list(letters + string.digits), 40)) for letters in (string.ascii_lowercase, string.ascii_uppercase)]
+    own = np.random.default_rng(36)  # all characters differ, so each window reaches every class's bound
+    one_case = ["".join(own.permutation(list(letters + string.digits))) for letters in (string.ascii_lowercase, string.ascii_uppercase)]
     texts += [f"x {one_case[0]}, {one_case[1]}", f"{one_case[0]}Z", f"_{one_case[0][:24]}_", "data1data2data3data4data5", "AKIA" + one_case[1], f"Ab-{one_case[0]}", "abcdefghijklmnopqrstuvwxyz0123456789"]
     df = docs(spark, list(enumerate(texts))).withColumn("spans", F.lit(1))
     got = {r.doc_id: r for r in secrets.find_secrets(df).collect()}
@@ -271,8 +272,8 @@ def test_secrets_against_python(spark):
         base = base_spans(t)
         assert [tuple(s) for s in got[i].base_spans] == base, t
         assert [tuple(s) for s in got[i].spans] == sorted(base + entropy_spans(t, base)), t
-    assert [[s.kind for s in got[i].spans] for i in range(len(texts) - 7, len(texts))] == [
-        ["entropy_base36"] * 2, ["entropy_base64"], ["entropy_base36"], [], ["access"], ["entropy_base64", "entropy_base36"], [],
+    assert [sorted(s.kind for s in got[i].spans) for i in range(len(texts) - 7, len(texts))] == [
+        ["entropy_base36"] * 2, ["entropy_base64"], ["entropy_base36"], [], ["access"], ["entropy_base36", "entropy_base64"], [],
     ]
     assert "entropy_base64" in {s.kind for s in got[10].spans} and not got[9].spans and not got[11].spans
     assert [len(got[i].spans) for i in range(n_fixed - 6, n_fixed)] == [1, 1, 1, 0, 1, 1]

@@ -20,6 +20,8 @@ GATES = {"main": 0.50, "sub": 0.25}
 MIN_CLASS = 20
 # The vocabularies of word and character grams.
 WORD_FEATURES, CHAR_FEATURES = 12_000, 18_000
+#: Bytes of keyword labels that are sent to every task; more are joined by a merge.
+LABEL_BYTES = 8 << 20
 
 
 def majority_labels(rows: DataFrame, text: str, labels: list[str], row_id: str) -> DataFrame:
@@ -100,21 +102,24 @@ def classify(rows: DataFrame, text: str, model: tuple[PipelineModel, list[str]],
     return grams.select(*rows.columns, F.when(best >= threshold, F.coalesce(named, F.lit("unknown"))).otherwise("unknown").alias("predicted"), best.alias("confidence"))
 
 
-def keyword_baseline(rows: DataFrame, key: str, text: str, labels: DataFrame, label: str, default: str, *, most_words: int = 5) -> DataFrame:
+def keyword_baseline(rows: DataFrame, key: str, text: str, labels: DataFrame, label: str, default: str, *, most_words: int | None = None) -> DataFrame:
     """The longest label whose words a text contains, of equal ones the smallest, else a default.
 
-    Texts and labels are read as words of letters and digits; a text's runs of up to ``most_words``
-    words are looked up among the labels, so no text meets every label.
+    Texts and labels are read as words of letters and digits; a text's runs of as many words as some
+    label has (at most ``most_words``, if given) are looked up among the labels, so no text meets every
+    label.  The labels are counted when this is called: few are sent to every task, more are merged.  The
+    runs, which are many times the rows, are never sent, small as Spark takes them to be.
     """
     plain = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
     names = labels.select(F.col(label).alias("_l")).distinct().withColumn("_run", plain("_l")).where("_run <> ''")
-    words = F.split(plain(text), " ")
-    starts = lambda n: F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1)))
-    of = lambda n: F.transform(starts(n), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
-    runs = F.concat(*map(of, range(1, most_words + 1)))
-    hits = rows.select(key, F.explode(F.array_distinct(runs)).alias("_run")).join(names, "_run")
-    best = F.max_by("_l", F.struct(F.length("_l"), F.expr("transform(split(_l, ''), c -> -ascii(c))")))
-    return rows.join(hits.groupBy(key).agg(best.alias("predicted")), key, "left").withColumn("predicted", F.coalesce("predicted", F.lit(default)))
+    size = names.agg(F.sum(F.octet_length("_l") + F.octet_length("_run") + 32).alias("bytes"), F.collect_set(F.size(F.split("_run", " "))).alias("words")).first()
+    names = F.broadcast(names) if (size["bytes"] or 0) <= LABEL_BYTES else names.hint("merge")
+    of = lambda n: F.transform(F.sequence(F.lit(1), F.size("_words") - n + 1), lambda i: F.array_join(F.slice("_words", i, F.lit(n)), " "))
+    runs = [F.when(F.size("_words") >= n, of(n)).otherwise(F.array().cast("array<string>")) for n in sorted(size["words"]) if most_words is None or n <= most_words]
+    texts = rows.select(key, F.split(plain(text), " ").alias("_words"))
+    hits = texts.select(key, F.explode(F.array_distinct(F.concat(F.array().cast("array<string>"), *runs))).alias("_run")).join(names, "_run")
+    best = hits.groupBy(key).agg(F.min(F.struct(-F.length("_l"), "_l")).alias("_best")).select(key, F.col("_best._l").alias("predicted"))
+    return rows.join(best, key, "left").withColumn("predicted", F.coalesce("predicted", F.lit(default)))
 
 
 def precedence(source: Column, rule: Column, predicted: Column, confidence: Column) -> Column:

@@ -177,6 +177,21 @@ def test_classifier_learns(spark):
     assert textclass.keyword_baseline(df, "i", "t", labels.withColumnRenamed("l", "name"), "name", "none").where("l = 'move'").first().predicted == "moving"
 
 
+@pytest.mark.parametrize("most", [8 << 20, 0])
+def test_keyword_runs_are_never_sent(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(textclass, "LABEL_BYTES", most, raising=False)
+    texts = [(i, f"The {'rig' if i % 2 else 'top drive of the old rig'}-{i}") for i in range(20)] + [(20, None), (21, ""), (22, "rig")]
+    names = [("x", n) for n in ("Rig", "rig", "drive", "top drive of the old rig", "top-drive of the old rig", "rig rig", None, "-", *[f"none {i}" for i in range(500)])]
+    spark.createDataFrame(texts, "i long, t string").write.parquet(f"{tmp_path}/t")
+    spark.createDataFrame(names, "x string, name string").write.parquet(f"{tmp_path}/n")  # more bytes than the texts
+    out = textclass.keyword_baseline(spark.read.parquet(f"{tmp_path}/t"), "i", "t", spark.read.parquet(f"{tmp_path}/n"), "name", "none")
+    got = {r.i: r.predicted for r in out.collect()}
+    assert got == {i: "Rig" if i % 2 else "top drive of the old rig" for i in range(20)} | {20: "none", 21: "none", 22: "Rig"}
+    plan = out._jdf.queryExecution().executedPlan().toString().splitlines()
+    join = next(line for line in plan if "Join [_run" in line)
+    assert "BroadcastHashJoin" in join and "BuildRight" in join if most else "SortMergeJoin" in join
+
+
 def test_plots_and_quality(spark):
     samples = spark.createDataFrame([("x", 0.0, 10.0), ("x", 10.0, 30.0), ("y", 0.0, 1.0), ("y", 2.0, 3.0)], "axis string, p double, v double")
     fit = {r.axis: r for r in plots.fit_axis(samples, ["axis"], "p", "v").collect()}

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
-from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,6 +12,7 @@ from fieldspar.functions import scores, taxonomy, temporal, text
 from fieldspar.functions.scores import rate
 from fieldspar.operators import chunks, matching, plots, quality, records, robust, rules, search, summary, textclass, trend
 from fieldspar.plans import grounding, planner, sql_guard
+from fieldspar.sources import sinks
 from fieldspar.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -803,9 +803,6 @@ def upsert_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def stream_ext_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    name = f"events_once_{uuid4().hex[:8]}"
-    rows = jobs.once(source.withColumn("ts", F.col("ts").cast("timestamp")), "event_id", "ts", "60 days").select("event_id", "event_type")
-    writer = rows.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
-    writer.awaitTermination()
-    return spark.table(name).groupBy("event_type").agg(F.count("*").alias("n"))
+    source = jobs.stream(spark, f"{sf_dir}/events.parque[t]", schema)  # a pattern may match a file or a folder, a plain path only a folder
+    rows = jobs.once(source.select("event_id", "event_type", F.col("ts").cast("timestamp")), "event_id", "ts", "60 days").select("event_id", "event_type")
+    return jobs.written(rows, sinks.scratch(spark, "events_once")).groupBy("event_type").agg(F.count("*").alias("n"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +21,29 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+@functools.cache
+def _own_folder(app: str) -> str:
+    folder = tempfile.mkdtemp(prefix="fieldspar-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder name in ``spark.checkpoint.dir``; in one of our own only where that is unset and all runs on one machine."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        shared = f"file://{_own_folder(spark.sparkContext.applicationId)}"
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def overwrite(df: DataFrame, path: str) -> None:
     """Write beside the table and swap the folders, so that a plan may read what it replaces."""
     spark = df.sparkSession

@@ -12,7 +12,14 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from fieldspar.operators.records import effective_status, replace_by_key
-from fieldspar.sources.sinks import _exists, overwrite
+from fieldspar.sources.sinks import _exists, overwrite, remove
+
+#: Where a stream's state is held: on disk, behind caches of a fixed size.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+}
 
 
 def stream(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -25,6 +32,27 @@ def once(rows: DataFrame, key: str, ts: str, delay: str = "1 day") -> DataFrame:
     return rows.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
+def written(rows: DataFrame, folder: str) -> DataFrame:
+    """What a stream has now, as a table below ``folder``, where its checkpoint and state lie until it ends.
+
+    Rows go from tasks to files, and states to RocksDB, as keys within a delay can be more than memory holds.
+    """
+    conf = rows.sparkSession.conf
+    before = {k: conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        conf.set(k, v)
+    try:  # a query takes the settings of its start
+        running = rows.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+    finally:
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)
+    try:
+        running.awaitTermination()
+    finally:
+        remove(rows.sparkSession, f"{folder}/checkpoint")
+    return rows.sparkSession.read.schema(rows.schema).parquet(f"{folder}/rows")
+
+
 def window_counts(rows: DataFrame, ts: str, by: list[str], size: str = "1 hour", slide: str | None = None, delay: str = "2 hours") -> DataFrame:
     """Rows by window and key; late rows count until the watermark has passed."""
     return rows.withWatermark(ts, delay).groupBy(F.window(ts, size, slide or size), *by).agg(F.count("*").alias("n"))

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import re
+import shutil
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from fieldspar.plans import catalogue
 
@@ -51,6 +54,25 @@ def test_items_are_searched_by_whole_texts(spark, tmp_path):
     assert {r.stage for r in hits if r.item_id < 0} == {2}
 
 
+@pytest.mark.parametrize("files", [1, 3])
+def test_events_count_once_and_stay_off_the_driver(spark, tmp_path, files):
+    at = "2024-01-01 00:00:00"
+    events = [(i % 40, at, "abc"[i % 40 % 3], "x" * 50) for i in range(100)] + [(None, at, "d", "x")]
+    rows = spark.createDataFrame(events, "event_id long, ts string, event_type string, props string").withColumn("ts", F.col("ts").cast("timestamp"))
+    path = tmp_path / "events.parquet"
+    rows.repartition(files).write.parquet(str(path))
+    if files == 1:  # the table is a file, else a folder
+        os.rename(next(path.glob("part-*")), tmp_path / "one")
+        shutil.rmtree(path)
+        os.rename(tmp_path / "one", path)
+    views, state = len(spark.catalog.listTables()), spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    counts = catalogue.QUERIES["stream_ext_dedupe"](spark, str(tmp_path))
+    assert {r.event_type: r.n for r in counts.collect()} == {"a": 14, "b": 13, "c": 13, "d": 1}
+    assert len(spark.catalog.listTables()) == views  # rows in the driver's memory would be a view
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == state
+    assert counts.inputFiles() and not os.path.exists(counts.inputFiles()[0].removeprefix("file://").split("/rows/")[0] + "/checkpoint")
+
+
 def test_labels_are_voted_on_by_whole_texts(spark, tmp_path):
     stem = "drilled ahead " * 500
     docs = [(i, f"{stem}{i % 3}" if i % 2 else f"  {stem.upper()}\n\t{i % 3} ") for i in range(30)]

@@ -484,7 +484,7 @@ _SHORT = ("erou", "tiedi", "quell", "thbl", "tionl", "eroun dth")
 def two_stage_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     short = _values(spark, [(-1 - i, t) for i, t in enumerate(_SHORT)], "item_id long, text string")
     queries = table(spark, sf_dir, "benchmark").select("item_id", "text").union(short)
-    hits = search.two_stage(table(spark, sf_dir, "documents"), "doc_id", "text", queries, "item_id", "text").withColumn("score", F.round("score", 6))
+    hits = search.two_stage(table(spark, sf_dir, "documents"), "doc_id", "text", queries, "item_id", "text", most=10).withColumn("score", F.round("score", 6))
     best = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")  # rounded, so that equal scores are ties whatever the order of their sums
     return hits.withColumn("place", F.row_number().over(best)).where("place <= 10").select("item_id", "doc_id", "score", "stage")
 

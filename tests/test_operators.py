@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 from datetime import date, datetime, timedelta
 
 import numpy as np
@@ -151,6 +152,42 @@ def test_two_stage_search(spark):
     assert {r.stage for r in hits if r.q == 2} == {2} and not [r for r in hits if r.q == 3]
 
 
+@pytest.mark.parametrize("words, chars, pairs", [(25_000, 12_000, 200_000), (60, 90, 200_000), (60, 90, 0)])
+def test_two_stage_search_holds_no_scores_or_grams(spark, monkeypatch, words, chars, pairs):
+    for name, most in (("WORD_CAP", words), ("CHAR_CAP", chars), ("PAIRS", pairs), ("DOCS", 7), ("BLOCK", 3), ("QUERIES", 2)):
+        monkeypatch.setattr(search, name, most, raising=False)
+    draw = random.Random(7)
+    vocabulary = [*"mud drill drilling pump Quyu əsas Zürich naïve İstanbul x 𝒳y वजन a_b 12 rig rigs top drive weight hole bit".split(), *(f"w{i}" for i in range(60))]
+    rows = [(i // 2 if i < 20 else i, " ".join(draw.choice(vocabulary[: 1 + draw.randrange(len(vocabulary))]) for _ in range(draw.randrange(90)))) for i in range(90)]
+    docs = spark.createDataFrame([*rows, (900, None), (901, ""), (902, "...")], "id long, text string").repartition(3)
+    asked = [(1, "top drive"), (2, "drillin urich"), (3, "zzzz"), (4, "quyu esas mud"), (5, "rilli"), (6, None), (7, "mu dr w5")]
+    queries = spark.createDataFrame(asked, "q long, text string")
+
+    def by_joins():
+        n = docs.count()
+        first, second = (
+            search.cosine(index := search.build_index(counts(docs, "id", "text"), "id", n, cap=cap, min_df=least), "id", search.query_vector(index, counts(queries, "q", "text"), "q"), "q").collect()
+            for counts, cap, least in ((search.word_counts, words, 1), (search.char_counts, chars, search.CHAR_MIN_DF))
+        )
+        w, c = ({(r.q, r.id): r.score for r in x} for x in (first, second))
+        strong = {k: (s, 1) for k, s in w.items() if s >= search.WORD_LEAST}
+        open_ = {q for q, _ in asked} - {q for q, _ in strong}
+        blend = {k: search.BLEND * w.get(k, 0) + (1 - search.BLEND) * c.get(k, 0) for k in {*w, *c} if k[0] in open_}
+        return strong | {k: (s, 2) for k, s in blend.items() if s >= search.BLEND_LEAST}
+
+    expected = by_joins()
+    spark.catalog.clearCache()
+    out = search.two_stage(docs, "id", "text", queries, "q", "text")
+    assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()  # scores of all pairs of a text and a query are many times the input
+    got = {(r.q, r.id): (r.score, r.stage) for r in out.collect()}
+    assert got.keys() == expected.keys() and {s for _, s in got.values()} == {1, 2}
+    assert all(got[k] == (pytest.approx(s, abs=1e-12), stage) for k, (s, stage) in expected.items())
+    best = search.two_stage(docs, "id", "text", queries, "q", "text", most=3).collect()
+    for q in {q for q, _ in expected}:
+        order = sorted((-round(s, 6), k) for (own, k), (s, _) in expected.items() if own == q)
+        assert sorted((-round(r.score, 6), r.id) for r in best if r.q == q)[:3] == order[:3]
+
+
 def test_text_classes(spark):
     rows = [("a", "x", 1), ("a", "y", 2), ("b", "y", 3), ("b", "x", 4), ("b", "x", 5)]
     best = textclass.majority_labels(spark.createDataFrame(rows, "t string, l string, i long"), "t", ["l"], "i")
